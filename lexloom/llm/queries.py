@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, exact_dedup, html_extract, piece_bpe, secret_scan
+from lexloom.llm import decontaminate, exact_dedup, html_extract, piece_bpe, quality, secret_scan, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"), piece_bpe.model_bytes(tokenizer_path()))
 
@@ -40,6 +44,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = token_count.unigram_model(piece_bpe.model_bytes(tokenizer_path()))
+    return token_count.token_counts(table(spark, sf_dir, "documents"), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extract, op2_decontaminate, op4_sentencepiece, op6_exact_dedup, op7_secret_scan)
+    f.__name__: f
+    for f in (op1_html_extract, op2_decontaminate, op3_quality, op4_sentencepiece, op6_exact_dedup, op7_secret_scan, op8_token_count)
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, exact_dedup, html_extract, piece_bpe, quality, secret_scan, token_count
+from lexloom.llm import decontaminate, exact_dedup, html_extract, piece_bpe, quality, secret_scan, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"), piece_bpe.model_bytes(tokenizer_path()))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extract, op2_decontaminate, op3_quality, op4_sentencepiece, op6_exact_dedup, op7_secret_scan, op8_token_count)
+    for f in (op1_html_extract, op2_decontaminate, op3_quality, op4_sentencepiece, op5_toxicity, op6_exact_dedup, op7_secret_scan, op8_token_count)
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, exact_dedup, html_extract, piece_bpe, quality, secret_scan, token_count, toxicity
+from lexloom.llm import decontaminate, exact_dedup, html_extract, near_dedup, piece_bpe, quality, secret_scan, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,21 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), model)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extract, op2_decontaminate, op3_quality, op4_sentencepiece, op5_toxicity, op6_exact_dedup, op7_secret_scan, op8_token_count)
+    for f in (
+        op1_html_extract,
+        op2_decontaminate,
+        op3_quality,
+        op4_sentencepiece,
+        op5_toxicity,
+        op6_exact_dedup,
+        op7_secret_scan,
+        op8_token_count,
+        op9_near_dedup,
+    )
 }

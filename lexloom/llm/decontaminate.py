@@ -275,46 +275,31 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, drop: bool = True) -> DataFrame:
-    """``docs`` without contaminated documents, or with the hit words cut out of them (``drop=False``).
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` without its contaminated rows, columns unchanged.
 
-    Cutting removes, from documents over the coverage limit, the text from the
-    first to the last byte of each hit range; the columns stay as they are.
+    With one block of items the rows are filtered as they are scanned; with
+    more, an anti-join drops what :func:`contamination` finds over all blocks.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    blocks = list(blocks_of(benchmark, BLOCK_WORDS, "item_id", "text")) if not drop else []
-    if drop:
-        bad = report(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    blocks = blocks_of(benchmark, block_words, "item_id", "text")
+    first, second = next(blocks, []), next(blocks, None)
+    if second is not None:
+        found = contamination(docs, benchmark, window, block_words).withColumn("n_hit", n_hit())
+        bad = found.filter((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc_id").alias("__bad")).distinct()
         return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
-    automata = [Automaton(b, WINDOW) for b in blocks]
-
-    @F.pandas_udf("string")
-    def cut(column):  # noqa: ANN001, ANN202
-        out = []
-        for t in column:
-            raw = (t or "").encode()
-            low = raw.translate(TO_LOWER)
-            places = [m.span() for m in WORD.finditer(low)]
-            words = [low[a:b] for a, b in places]
-            spans = sorted(s for x in automata for s in x.hits(words)[0])
-            mask = np.zeros(len(words), bool)
-            for a, b in spans:
-                mask[a:b] = True
-            if not mask.any() or 20 * mask.sum() < len(words):
-                out.append(t)
-                continue
-            keep, at = [], 0
-            for a, b in spans:
-                keep.append(raw[at : places[a][0]])
-                at = max(at, places[b - 1][1])
-            keep.append(raw[at:])
-            out.append(b"".join(keep).decode())
-        import pandas as pd
+    ship(docs.sparkSession)
+    scan = _scan(Automaton(first, window))
+    ids, text = docs.columns.index("doc_id"), docs.columns.index("text")
 
-        return pd.Series(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = pa.RecordBatch.from_arrays([batch.column(ids), batch.column(text)], names=["doc_id", "text"])
+            for found in scan(iter([pair])):
+                hit = [sum(h[1::2]) - sum(h[::2]) for h in found.column(3).to_pylist()]
+                keep = [n == 0 or 20 * n < w for n, w in zip(hit, found.column(2).to_pylist(), strict=True)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.withColumn("text", cut("text"))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def brute_force(text: str | None, items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[int, int, list[str], str]:

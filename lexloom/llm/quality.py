@@ -284,6 +284,29 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     return scored(stats, fit(training_rows(stats, labels, "quality", usable, train_rows)), threshold)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, learn: Column | None = None, train_rows: int = TRAIN_ROWS, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, columns unchanged.
+
+    Statistics of all rows are taken once more instead of being joined, so no
+    text is shuffled.
+    """
+    spark = docs.sparkSession
+    usable = F.lit(True) if learn is None else learn
+    model = fit(training_rows(written(stats_table(docs), "quality-stats"), labels, "quality", usable, train_rows))
+    sent = spark.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            data, offsets = texts_of(batch.column(at))
+            parts = [m.score(statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in groups(offsets)]
+            if parts:
+                yield batch.filter(pa.array(np.concatenate(parts) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted; labels of held-out rows are not learned."""
     out = quality_scores(docs, labels, crc_rest("doc_id", 4) != 2)

@@ -23,21 +23,13 @@ def _affix(word: Column, affixes: list[str], front: bool, spare: int) -> Column:
     return out
 
 
-def _rest(word: Column, prefix: Column, suffix: Column) -> Column:
-    return F.substr(word, F.length(prefix) + 1, F.length(word) - F.length(prefix) - F.length(suffix))
-
-
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def split_marked(word: Column) -> Column:
     """Segmentation with boundary marks: words of at most three characters stay as they are."""
     low = F.lower(word)
 
     def with_prefix(p: Column) -> Column:
         rest = F.substr(low, F.length(p) + 1)
-        return _let(
+        return T.let(
             _affix(rest, R.SUFFIXES + R.INFLECTIONS, False, 2),
             lambda s: F.filter(
                 F.array(
@@ -49,7 +41,7 @@ def split_marked(word: Column) -> Column:
             ),
         )
 
-    return F.when(F.length(word) <= 3, F.array(word)).otherwise(_let(_affix(low, R.PREFIXES, True, 2), with_prefix))
+    return F.when(F.length(word) <= 3, F.array(word)).otherwise(T.let(_affix(low, R.PREFIXES, True, 2), with_prefix))
 
 
 def split_plain(word: Column, prefixes: list[str] | None = None, suffixes: list[str] | None = None) -> Column:
@@ -59,12 +51,12 @@ def split_plain(word: Column, prefixes: list[str] | None = None, suffixes: list[
 
     def with_prefix(p: Column) -> Column:
         rest = F.substr(word, F.length(p) + 1)
-        return _let(
+        return T.let(
             _affix(rest, suffixes, False, 0),
             lambda s: F.filter(F.array(p, F.substr(rest, F.lit(1), F.length(rest) - F.length(s)), s), lambda x: x != ""),
         )
 
-    return _let(_affix(word, prefixes, True, 0), with_prefix)
+    return T.let(_affix(word, prefixes, True, 0), with_prefix)
 
 
 def marked_line(line: Column) -> Column:
@@ -79,7 +71,7 @@ def plain_line(line: Column, prefixes: list[str] | None = None, suffixes: list[s
 
     def parts(w: Column) -> Column:
         special = w.startswith("*") | w.startswith("[") | (w == "...")
-        return _let(
+        return T.let(
             T.strip_edges(w),
             lambda c: F.when(special | (c == ""), F.array(w)).otherwise(split_plain(F.lower(c), prefixes, suffixes)),
         )

@@ -59,8 +59,8 @@ def has_url(line: Column) -> Column:
 
 def code_share(line: Column) -> Column:
     """Share of tokens with a brace or semicolon; 0 without tokens."""
-    t = tokens(line)
-    return F.coalesce(F.size(F.filter(t, lambda x: x.rlike("[{};]"))) / F.nullif(F.size(t), F.lit(0)), F.lit(0.0))
+    share = let(tokens(line), lambda t: F.size(F.filter(t, lambda x: x.rlike("[{};]"))) / F.nullif(F.size(t), F.lit(0)))
+    return F.coalesce(share, F.lit(0.0))
 
 
 def table_share(line: Column) -> Column:
@@ -71,7 +71,7 @@ def table_share(line: Column) -> Column:
 
 def percent(part: Column, whole: Column) -> Column:
     """Two-place percentage as text, null where the whole is 0."""
-    return F.format_string("%.2f%%", F.round(part / F.nullif(whole, F.lit(0)) * 100, 2))
+    return F.when(whole != 0, F.format_string("%.2f%%", F.round(part / F.nullif(whole, F.lit(0)) * 100, 2)))
 
 
 def k_label(n: Column) -> Column:
@@ -98,6 +98,17 @@ def pretty_metric(name: Column) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``: inside a lambda it would be evaluated for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def distinct_trigrams(t: Column) -> Column:
+    """Share of distinct word 3-grams; at least three tokens."""
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 2, F.lit(1))), lambda i: F.array_join(F.slice(t, i, 3), " "))
+    return let(grams, lambda g: F.size(F.array_distinct(g)) / F.nullif(F.size(g), F.lit(0)))
+
+
 def quality_score(line: Column) -> Column:
     """0 to 100 for a stripped line: length, letters, digits, punctuation, repetition."""
     n = F.length(line)
@@ -111,11 +122,7 @@ def quality_score(line: Column) -> Column:
         .when(p < 0.02, p / 0.02 * R.W_PUNCT)
         .otherwise(F.greatest(F.lit(0.0), 1 - (p - 0.10) / 0.10) * R.W_PUNCT)
     )
-    t = tokens(line)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 2, F.lit(1))), lambda i: F.array_join(F.slice(t, i, 3), " "))
-    repeat = F.when(F.size(t) >= 3, F.size(F.array_distinct(grams)) / F.nullif(F.size(grams), F.lit(0)) * R.W_REPEAT).otherwise(
-        F.lit(float(R.W_REPEAT))
-    )
+    repeat = let(tokens(line), lambda t: F.when(F.size(t) >= 3, distinct_trigrams(t) * R.W_REPEAT).otherwise(F.lit(float(R.W_REPEAT))))
     return F.when(n == 0, F.lit(0.0)).otherwise(F.round(length + alpha + digit + punct + repeat, 2))
 
 

@@ -74,7 +74,6 @@ def bigram_scores(long: DataFrame, corpus: DataFrame) -> DataFrame:
 
     The first word follows <s>. Everything is a join on words: no model leaves the executors.
     """
-    words = lambda df, keys: df.select(*keys, F.posexplode(F.filter(F.split("text", r"[ \n]+"), lambda w: w != "")).alias("pos", "word"))
     chain = corpus.select(F.explode(_bigrams(F.col("text"))).alias("g"))
     pairs = chain.groupBy(F.col("g.prev").alias("prev"), F.col("g.word").alias("word")).agg(F.count(F.lit(1)).alias("c"))
     prevs = pairs.groupBy("prev").agg(F.sum("c").alias("cp"))
@@ -84,7 +83,6 @@ def bigram_scores(long: DataFrame, corpus: DataFrame) -> DataFrame:
     # one row with the size of the vocabulary
     joined = asked.join(pairs, ["prev", "word"], "left").join(prevs, "prev", "left").join(F.broadcast(size), F.lit(True))
     nll = -F.log((F.coalesce("c", F.lit(0)) + 1) / (F.coalesce("cp", F.lit(0)) + F.col("v")))
-    del words
     return joined.groupBy("subset", "pair_id", "side").agg(
         F.sum(F.when(F.col("word").isNotNull(), -nll)).alias("lp"),
         F.count("word").cast("int").alias("n_tokens"),
@@ -243,7 +241,8 @@ def error_trend(by_delta: DataFrame) -> DataFrame:
 
 def gap_rank(accuracy: DataFrame) -> DataFrame:
     """Difference of bpb and per-token accuracy by subset, with both rankings."""
-    gap = accuracy.select("subset", (F.col("bpb") - F.col("normalized_log_prob")).alias("gap"))
+    # rounded, so that equal accuracies tie whatever their last bits
+    gap = accuracy.select("subset", F.round(F.col("bpb") - F.col("normalized_log_prob"), 9).alias("gap"))
     # at most as many rows as there are subsets
     return gap.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("gap"), "subset"))).withColumn(
         "abs_rank", F.row_number().over(Window.orderBy(F.desc(F.abs("gap")), "subset"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.rules import NEAR_THRESHOLD
+from lexloom.functions.text import let
 from lexloom.session import written
 
 PERMUTATIONS, BANDS = 128, 8
@@ -13,17 +14,19 @@ PERMUTATIONS, BANDS = 128, 8
 
 def byte_grams(line: Column, n: int = 3) -> Column:
     """Distinct byte n-grams as hex strings."""
-    h = F.hex(F.encode(line, "UTF-8"))
-    size = (F.length(h) / 2).cast("int")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substr(h, i * 2 - 1, F.lit(2 * n)))
+    size = F.octet_length(line)
+    grams = let(
+        F.hex(F.encode(line, "UTF-8")),
+        lambda h: F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substr(h, i * 2 - 1, F.lit(2 * n))),
+    )
     return F.when(size >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
 def signature(line: Column, permutations: int = PERMUTATIONS) -> Column:
     """Smallest hash of each permutation; lines below three bytes share the empty sketch."""
-    hashes = F.transform(byte_grams(line), lambda g: F.xxhash64(g))
     seeds = F.sequence(F.lit(1), F.lit(permutations))
-    return F.transform(seeds, lambda s: F.coalesce(F.array_min(F.transform(hashes, lambda g: F.xxhash64(g, s))), F.lit((1 << 63) - 1)))
+    least = lambda hashes, s: F.coalesce(F.array_min(F.transform(hashes, lambda g: F.xxhash64(g, s))), F.lit((1 << 63) - 1))
+    return let(F.transform(byte_grams(line), lambda g: F.xxhash64(g)), lambda hashes: F.transform(seeds, lambda s: least(hashes, s)))
 
 
 def lsh_pairs(lines: DataFrame, threshold: float = NEAR_THRESHOLD, bands: int = BANDS) -> DataFrame:

@@ -17,7 +17,7 @@ def benchmark_table(models: DataFrame, tokenizers: DataFrame) -> DataFrame:
     size = F.regexp_extract("label", r"-([^-]*)$", 1)
     key = F.when(F.col("label").contains("Baseline"), "baseline").when(F.col("label").contains("Morph-"), F.concat(F.lit("morph_"), size))
     cell = lambda c: F.coalesce(c, F.lit("-"))
-    number = lambda c, n: F.format_string(f"%.{n}f", F.round(F.col(c), n))
+    number = lambda c, n: F.when(F.col(c).isNotNull(), F.format_string(f"%.{n}f", F.round(F.col(c), n)))
     out = models.withColumn("tokenizer", key).join(F.broadcast(tokenizers), "tokenizer", "left")
     return out.select(
         F.col("label").alias("model"),

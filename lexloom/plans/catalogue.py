@@ -14,6 +14,7 @@ from lexloom.functions import rules as R
 from lexloom.functions import text as X
 from lexloom.operators import curate, minpair, neardup, report, tokenize, training
 from lexloom.plans import inputs as I
+from lexloom.session import written
 from lexloom.sources import corpora
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,12 +183,12 @@ def mixture_targets(spark, d):
 
 @query(f"WITH {I.PHASE1}, {I.sampled(TARGET)} SELECT corpus, doc_id, pos, n_tokens, cum FROM s1 WHERE total <= target OR cum <= target")
 def budget_prefix(spark, d):
-    return curate.budget_prefix(curate.kept(curate.phase1(I.lines(spark, d))), TARGET).select("corpus", "doc_id", "pos", "n_tokens", "cum")
+    return curate.budget_prefix(_kept(spark, d), TARGET).select("corpus", "doc_id", "pos", "n_tokens", "cum")
 
 
 @query(f"WITH {I.phase2(TARGET)} SELECT corpus, doc_id, pos, reason FROM p2")
 def phase2_reasons(spark, d):
-    return curate.phase2(curate.kept(curate.phase1(I.lines(spark, d))), TARGET).select("corpus", "doc_id", "pos", "reason")
+    return _phase2(spark, d).select("corpus", "doc_id", "pos", "reason")
 
 
 @query(
@@ -198,14 +199,23 @@ def phase2_stats(spark, d):
     return curate.stats(_phase2(spark, d))
 
 
+def _kept(spark, d):
+    """Phase boundaries are written once, as the sampling after them reads them twice."""
+    return written(curate.kept(curate.phase1(I.lines(spark, d))), "kept1")
+
+
 def _phase2(spark, d):
-    return curate.phase2(curate.kept(curate.phase1(I.lines(spark, d))), TARGET)
+    return curate.phase2(_kept(spark, d), TARGET)
 
 
 def _full(spark, d):
     return _phase2(spark, d).filter("reason IS NULL").select("corpus", "doc_id", "pos", "line", "n_tokens")
 
 
+def _scored(spark, d):
+    return written(curate.scored(_full(spark, d)), "scored")
+
+
 # ---------------------------------------------------------------- phases 3 and 4
 
 
@@ -221,12 +231,12 @@ def quality_histogram(spark, d):
 
 @query(f"WITH {I.top(TARGET, TOP)} SELECT corpus, doc_id, pos, score + 0.0 AS score FROM top3")
 def top_fraction(spark, d):
-    return curate.top_fraction(curate.scored(_full(spark, d)), TOP).select("corpus", "doc_id", "pos", "score")
+    return curate.top_fraction(_scored(spark, d), TOP).select("corpus", "doc_id", "pos", "score")
 
 
 @query(f"WITH {I.top(TARGET, TOP)} SELECT coalesce(min(score), 0.0) + 0.0 AS threshold FROM top3")
 def quality_threshold(spark, d):
-    return curate.threshold_of(curate.top_fraction(curate.scored(_full(spark, d)), TOP))
+    return curate.threshold_of(curate.top_fraction(_scored(spark, d), TOP))
 
 
 _NEAREST = f"""{I.top(TARGET, TOP)}, {I.sampled(SAMPLE, 'top3', 's4')},
@@ -239,7 +249,7 @@ def nearest_prefix(spark, d):
 
 
 def _phase4(spark, d):
-    return curate.nearest_prefix(curate.top_fraction(curate.scored(_full(spark, d)), TOP), SAMPLE)
+    return curate.nearest_prefix(written(curate.top_fraction(_scored(spark, d), TOP), "top"), SAMPLE)
 
 
 @query(f"WITH {_NEAREST} SELECT t.corpus, t.target, count(p.line) AS lines, CAST(coalesce(sum(p.n_tokens), 0) AS BIGINT) AS tokens FROM s4t t LEFT JOIN p4 p USING (corpus) GROUP BY t.corpus, t.target")
@@ -253,7 +263,7 @@ def nearest_prefix_mixture(spark, d):
   printf('%.2f%%', round((SELECT count(*) FROM kept2) / count(*) * 100, 2)) AS retention FROM p1"""
 )
 def cleaning_summary(spark, d):
-    one = curate.phase1(I.lines(spark, d))
+    one = written(curate.phase1(I.lines(spark, d)), "phase1")
     return report.summary(curate.stats(one), curate.phase2(curate.kept(one), TARGET).filter("reason IS NULL").count())
 
 
@@ -465,7 +475,7 @@ def error_trend(spark, d):
 SELECT subset, {r6('gap')}, row_number() OVER (ORDER BY round(gap, 9) DESC, subset) AS rank, row_number() OVER (ORDER BY round(abs(gap), 9) DESC, subset) AS abs_rank FROM g"""
 )
 def metric_gap_rank(spark, d):
-    return minpair.gap_rank(_accuracy(spark, d).withColumn("bpb", F.round("bpb", 12)))
+    return minpair.gap_rank(_accuracy(spark, d))
 
 
 _MODELS = f"""{I.ACCURACY}, avgs AS (SELECT {', '.join(f'avg({m}) AS {m}' for m in R.METRICS)} FROM acc),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -25,13 +26,20 @@ def ship(spark: SparkSession) -> None:
         return
     here = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(here)
-    path = os.path.join(tempfile.mkdtemp(prefix="lexloom-"), "lexloom_pkg.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for folder, _, names in os.walk(here):
             for name in sorted(names):
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, root))
+    path = f"{shared_dir(spark)}/lexloom/package-{uuid.uuid4().hex}.zip"
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+    try:
+        out.write(bytearray(packed.getvalue()))
+    finally:
+        out.close()
     sc.addPyFile(path)
     _SHIPPED[app] = path
 

@@ -89,26 +89,31 @@ def anchors(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nda
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` symbols at least; symbols are 0 to 256."""
+    """Suffixes sorted by their first ``depth`` symbols at least; symbols are 0 to 256.
+
+    Ranks of the first symbols are tripled in reach while three of them fit in
+    a key, doubled beyond that.
+    """
     n = len(text)
     padded = np.zeros(n + 7, np.uint64)
     padded[:n] = text
     key = np.zeros(n, np.uint64)
     for i in range(7):
         key = (key << np.uint64(9)) | padded[i : i + n]
-    reach = 7
+    reach, parts = 7, 3 if n < (1 << 21) - 1 else 2
+    bits = np.uint64(63 // parts)
     while True:
         order = np.argsort(key)
         ranked = key[order]
-        change = np.concatenate(([0], (ranked[1:] != ranked[:-1]).astype(np.uint64))).astype(np.uint64)
         rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(change) + np.uint64(1)
-        if reach >= depth or int(rank.max()) == n:
+        rank[order] = np.cumsum(np.concatenate(([True], ranked[1:] != ranked[:-1])), dtype=np.uint64)
+        if reach >= depth or int(rank[order[-1]]) == n:
             return order
-        later = np.zeros(n, np.uint64)
-        later[: max(n - reach, 0)] = rank[reach:]
-        key = (rank << np.uint64(32)) | later
-        reach *= 2
+        key = rank.copy()
+        for i in range(1, parts):
+            key <<= bits
+            key[: max(n - i * reach, 0)] |= rank[i * reach :]
+        reach *= parts
 
 
 def open_places(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -119,7 +124,7 @@ def open_places(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     share one symbol less than the string has. Separators (0) are not extended.
     """
     n = len(text)
-    before = text[order - 1].astype(np.int64)
+    before = text[order - 1]
     by_symbol = np.argsort(before, kind="stable")
     back = np.empty(n, np.int64)
     back[by_symbol] = np.arange(n)
@@ -141,10 +146,16 @@ def open_places(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
         places = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + lo[origin]
         real = before[places] != 0
         q, origin = back[places[real]], origin[real]
-        at = np.argsort(q)
-        q, origin = q[at], origin[at]
         if not len(q):
             break
+        if 8 * len(q) > n:
+            spread = np.full(n, -1, np.int64)
+            spread[q] = origin
+            q = np.flatnonzero(spread >= 0)
+            origin = spread[q]
+        else:
+            at = np.argsort(q)
+            q, origin = q[at], origin[at]
         new = np.flatnonzero(np.concatenate(([True], (q[1:] != q[:-1] + 1) | (origin[1:] != origin[:-1]) | (head[q[1:]] != head[q[:-1]]))))
         lo, hi = q[new], q[np.concatenate((new[1:], [len(q)])) - 1] + 1
         fresh = open_[hi]

@@ -9,6 +9,7 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lexloom.functions import rules as R
 
@@ -48,7 +49,7 @@ def score(long: DataFrame, scorer: Scorer) -> DataFrame:
             losses = scorer([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(losses, pa.list_(pa.float64()))], names=[*batch.schema.names, "token_nll"])
 
-    return long.mapInArrow(run, long.schema.add("token_nll", "array<double>"))
+    return long.mapInArrow(run, StructType([*long.schema, StructField("token_nll", ArrayType(DoubleType()))]))
 
 
 def masked(losses: Column, labels: Column, ignore: int = -100) -> Column:

@@ -1 +1 @@
-"""functions of the reference-level engine."""
+"""Scalar functions as Column builders."""

@@ -1 +1 @@
-"""operators of the reference-level engine."""
+"""Curation, tokenizer, evaluation and report operators."""

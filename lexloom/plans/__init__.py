@@ -1 +1 @@
-"""plans of the reference-level engine."""
+"""Pipelines and the query catalogue."""

@@ -1 +1 @@
-"""sources of the reference-level engine."""
+"""Readers and writers."""

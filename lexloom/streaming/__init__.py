@@ -1 +1 @@
-"""streaming of the reference-level engine."""
+"""Operators over streams."""

@@ -38,7 +38,7 @@ STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 SHORT = 32
 NONE = float("-inf")
 #: Encoded stretches that a worker remembers, and the longest that it remembers.
-REMEMBERED, LONGEST = 700_000, 48
+REMEMBERED, LONGEST = 150_000, 48
 
 
 def read_model(raw: bytes):

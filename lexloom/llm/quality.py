@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.text import Words, groups, texts_of
+from lexloom.llm.text import Words, groups, release, texts_of
 from lexloom.session import ship, written
 
 #: At most about so many labelled rows are learned from.
@@ -303,6 +303,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, learn: Column | None = None, t
             parts = [m.score(statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in groups(offsets)]
             if parts:
                 yield batch.filter(pa.array(np.concatenate(parts) >= threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

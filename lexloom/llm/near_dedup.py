@@ -9,18 +9,20 @@ all documents, so its error is a fixed share of their number at any scale.
 1. Sketch: partitions sum counters, the counters are summed by block.
 2. Signatures: consistent weighted samples of each distinct text of a partition
    in bands; texts with the same words collapse within the partition first.
-3. Groups: texts that share a band key. Keys are dealt with a salt that keeps
-   an expected group at ``GROUP`` texts; the first texts of the salted groups
-   meet in the next level, until one level has them all.
+3. Groups: texts that share a band key. A hot key, of more than ``GROUP`` texts
+   by count, is first dealt into salted groups of that expected size, whose
+   first texts meet in the next level, until one level has them all.
 4. Verification: every pair within a group, by weighted Jaccard similarity of
    at least ``THRESHOLD``. A task holds one group at a time and gives back the
-   links that connect its verified classes, at most one per text.
+   links that connect its verified classes, at most one per text. Texts of a
+   hot key that these links leave in different components then meet in pairs of
+   blocks, so every two texts of any key are compared or already connected.
 5. Classes: connected components of the links, by passing the smallest doc_id
    along them until nothing changes.
 
 A pair of similarity s shares a group with probability 1 - (1 - s^4)^16: 0.9998
-at 0.8. For keys with more texts than a group holds, two texts meet if some of
-the sixteen bands deals them together or links lead from one to the other.
+at 0.8. The classes are those of comparing all pairs of every key. The cost of
+a hot key grows with the product of the sizes of its unconnected parts.
 
 Null counts as empty. Texts without words are classes of their own row each. A
 text of fewer than five words, but not none, is one shingle. Repeated rows are
@@ -46,6 +48,8 @@ BANDS, ROWS = 16, 4
 RARE, FLOOR = 1 / 200, 0.75
 WIDTH_BITS, DEPTH, BLOCK_CELLS = 20, 2, 8192
 GROUP = 256
+#: Hot keys, and nodes of theirs, are sent to the executors up to this number, joined beyond it.
+SENT_KEYS = 1_000_000
 #: Columns of the similarity matrix that are worked on at once.
 COLUMNS = 4096
 SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * BASE) | np.uint64(1)
@@ -288,27 +292,53 @@ def _verify(threshold: float):
     return run
 
 
-def candidate_groups(nodes: DataFrame, n: int, group: int = GROUP) -> DataFrame:
-    """Distinct groups (gid, members) of nodes that share a band key."""
+def band_rows(nodes: DataFrame, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """(node, key) of keys with 2 to ``group`` texts, and (node, key, n) of larger ones, by the counted size of each key."""
     rows = nodes.filter(F.size("bands") > 0).select("node", F.explode("bands").alias("key"))
-    salts = 1
-    while salts * 3 * group < n:
-        salts *= 2
-    found = []
-    while True:
-        salt = F.pmod(F.xxhash64("node", "key"), F.lit(salts)) if salts > 1 else F.lit(0).cast("long")
-        level = rows.groupBy("key", salt.alias("salt")).agg(F.array_sort(F.collect_list("node")).alias("members"))
-        found.append(level.filter(F.size("members") > 1).select("members"))
-        if salts == 1:
-            break
-        rows = level.select(F.element_at("members", 1).alias("node"), "key")
-        salts = max(1, salts // group)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hot = written(sizes.filter(F.col("n") > group), "hot-keys")
+    if hot.count() <= SENT_KEYS:
+        hot = hot.hint("broadcast")
+    return rows.join(hot, "key", "left_anti"), written(rows.join(hot, "key"), "hot-rows")
+
+
+def candidate_groups(cold: DataFrame, hot: DataFrame, group: int = GROUP) -> DataFrame:
+    """Distinct groups (gid, members): all texts of a cold key, salted groups and their first texts of a hot one."""
+    every = cold.groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("members")).filter(F.size("members") > 1).select("members")
+    most = hot.agg(F.max("n")).first()[0] or 0
+    rows = hot.select("node", "key", F.ceil(F.col("n") / group).alias("salts"))
+    most = -(-most // group)
+    while most > 0:
+        salt = F.pmod(F.xxhash64("node", "key"), F.col("salts"))
+        level = rows.groupBy("key", "salts", salt.alias("salt")).agg(F.array_sort(F.collect_list("node")).alias("members"))
+        every = every.unionByName(level.filter(F.size("members") > 1).select("members"))
+        rows = level.filter("salts > 1").select(F.element_at("members", 1).alias("node"), "key", F.ceil(F.col("salts") / group).alias("salts"))
+        most = -(-most // group) if most > 1 else 0
     return every.select(F.xxhash64("members").alias("gid"), "members").dropDuplicates(["gid"])
 
 
+def unmet_groups(hot: DataFrame, parts: DataFrame, group: int = GROUP) -> DataFrame:
+    """gid and node: pairs of blocks that hold every pair of texts of a hot key not yet in one component.
+
+    ``parts`` has the component (label) of nodes with links. A component with
+    half a group of a key's texts has blocks of its own, which do not meet each
+    other; the key's other texts share blocks, which meet all.
+    """
+    half = max(group // 2, 1)
+    placed = written(hot.join(parts.select("node", "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("part")), "hot-parts")
+    shares = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    several = shares.groupBy("key").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key")
+    shares = written(shares.join(several, "key").withColumn("of", F.when(F.col("n") >= half, F.col("part")).otherwise(F.lit(-1))), "hot-shares")
+    slots = shares.groupBy("key", "of").agg(F.ceil(F.sum("n") / half).alias("slots"))
+    place = shares.join(slots, ["key", "of"]).select("key", "part", "of", "slots")
+    members = placed.join(place, ["key", "part"]).select("key", "of", F.pmod(F.xxhash64("node"), F.col("slots")).alias("slot"), "node")
+    blocks = slots.select("key", "of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"))
+    other = blocks.select("key", F.col("of").alias("of2"), F.col("slot").alias("slot2"))
+    meet = blocks.join(other, "key").filter("of < of2 OR of = -1 AND of2 = -1 AND slot < slot2").withColumn("gid", F.xxhash64("key", "of", "slot", "of2", "slot2"))
+    sides = meet.select("gid", "key", "of", "slot").unionByName(meet.select("gid", "key", F.col("of2").alias("of"), F.col("slot2").alias("slot")))
+    return sides.join(members, ["key", "of", "slot"]).select("gid", "node")
+
+
 def lifted(edges: DataFrame) -> DataFrame:
     """Fewer links (a before b) with the same components: each node keeps its smallest neighbour, which takes over the others."""
     small = edges.groupBy("b").agg(F.min("a").alias("low"))
@@ -345,11 +375,20 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", th
     levels = spark.sparkContext.broadcast(idf_levels(source))
     nodes = written(source.mapInArrow(_nodes(levels), NODES_SQL), "nodes")
     least = nodes.groupBy("node").agg(F.min("doc_id").alias("least"))
-    n = nodes.filter(F.col("bands").isNotNull()).count()
-    pairs = candidate_groups(nodes.select("node", "bands"), n, group).select("gid", F.explode("members").alias("node"))
     sets = nodes.filter(F.size("bands") > 0).select("node", "elements", "levels")
-    dealt = pairs.join(sets.hint("shuffle_merge"), "node").select("gid", "node", "elements", "levels").repartition(F.col("gid"))
-    edges = written(dealt.sortWithinPartitions("gid", "node").mapInArrow(_verify(threshold), "a long, b long"), "verified")
+
+    def verified(pairs: DataFrame, sets: DataFrame = sets) -> DataFrame:
+        dealt = pairs.join(sets.hint("shuffle_merge"), "node").select("gid", "node", "elements", "levels").repartition(F.col("gid"))
+        return written(dealt.sortWithinPartitions("gid", "node").mapInArrow(_verify(threshold), "a long, b long"), "verified")
+
+    cold, hot = band_rows(nodes.select("node", "bands"), group)
+    edges = verified(candidate_groups(cold, hot, group).select("gid", F.explode("members").alias("node")))
+    if not hot.isEmpty():
+        parts = classes_of(edges, sets.select("node", F.col("node").alias("least")))
+        unmet = written(unmet_groups(hot, parts, group), "unmet")
+        few = written(unmet.select("node").distinct(), "unmet-nodes")
+        some = sets.join(few.hint("broadcast"), "node", "left_semi") if few.count() <= SENT_KEYS else sets
+        edges = edges.unionByName(verified(unmet, some))
     labels = classes_of(edges, least)
     classes = least.join(labels, "node", "left").select("node", F.coalesce("label", "least").alias("class_id"))
     return (

@@ -265,6 +265,16 @@ def test_near_classes(spark, group):
     assert near_dedup.near_classes(frame(spark, [])).count() == 0
 
 
+def test_hot_key_star(spark):
+    """Copies similar to their original only, in keys of many groups: the classes of comparing all pairs."""
+    a = words(300, 21, 5000)
+    texts = [*[edited(a, 5, 1000 + s) for s in range(1000)], " ".join(a)]
+    docs = frame(spark, texts).repartition(3)
+    small, whole = ({r.doc_id: r.class_id for r in near_dedup.near_classes(docs, group=g).collect()} for g in (8, 5000))
+    assert small == whole
+    assert sum(c == whole[1000] for c in whole.values()) > 900
+
+
 def test_sampling_estimates_weighted_similarity():
     rng = np.random.default_rng(5)
     h = near_dedup.mix64(rng.integers(0, 1 << 62, 600).astype(np.uint64))

@@ -4,10 +4,13 @@ The standard library's parser streams a page's events. Block-level tags split
 the page into lines; every line has its characters of text, its tags and the
 containers it stands in. The ratio of text to tags per line is smoothed with a
 Gaussian, two-means clustering of the smoothed ratios sets a threshold, and the
-lines above it vote for the container that holds the content. All lines of
-that container are kept whatever their length, except those inside menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments.
+lines above it vote for the container that holds the content: the innermost
+article or main with nearly all votes, else with most, else the innermost
+container with nearly all. All lines of that container are kept whatever their
+length, except those inside menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles and reader comments. Inside an article or main a class or
+id that hints at such a part drops only a whole block whose own ratio is below
+the threshold.
 
 Null and empty pages give an empty text, so do pages without content. Character
 references are decoded, white space inside a block is one space, blocks are
@@ -35,7 +38,9 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-CONTAINERS = frozenset("article main section div body td blockquote center".split())
+CONTAINERS = frozenset("article main section div body td center".split())
+#: Blocks that a class or id inside an article can drop.
+WHOLE = frozenset("aside center dd details div dl footer header hgroup li menu nav ol section table tbody td tr ul".split())
 DROPPED = frozenset(
     "nav footer aside form menu script style noscript template head title iframe object svg math button select option textarea"
     " input label dialog canvas audio video map applet noframes".split()
@@ -54,13 +59,13 @@ SPACE = re.compile(r"\s+")
 
 
 class Line:
-    __slots__ = ("parts", "tags", "where", "dropped", "links")
+    __slots__ = ("parts", "tags", "where", "dropped", "links", "doubt")
 
-    def __init__(self, where: tuple, dropped: bool):
+    def __init__(self, where: tuple, dropped: bool, doubt: int):
         self.parts: list[str] = []
         self.tags = 0
         self.links = 0
-        self.where, self.dropped = where, dropped
+        self.where, self.dropped, self.doubt = where, dropped, doubt
 
     def text(self) -> str:
         return SPACE.sub(" ", "".join(self.parts)).strip()
@@ -76,13 +81,15 @@ class Reader(HTMLParser):
         self.number = 0
         self.lines: list[Line] = []
         self.line: Line | None = None
+        self.articles: set[int] = set()
+        self.doubtful: set[int] = set()
 
     def _break(self) -> None:
         self.line = None
 
     def _now(self) -> Line:
         if self.line is None:
-            self.line = Line(tuple(n for name, _, n in self.stack if name in CONTAINERS), self.depth > 0)
+            self.line = Line(tuple(n for name, _, n in self.stack if name in CONTAINERS), self.depth > 0, next((n for _, _, n in self.stack if n in self.doubtful), 0))
             self.lines.append(self.line)
         return self.line
 
@@ -117,13 +124,21 @@ class Reader(HTMLParser):
                 self.line.tags += 1
             return
         bad = tag in DROPPED or (tag == "header" and not any(x[0] in ("article", "main") for x in self.stack))
+        doubt = False
         if not bad and attrs and tag not in ("html", "body", "article", "main"):
+            inside = any(x[0] in ("article", "main") for x in self.stack)
             for key, value in attrs:
-                if value and (key in ("class", "id") and HINT.search(value) or key == "role" and value.lower() in ROLES):
+                if value and key in ("class", "id") and HINT.search(value):
+                    bad, doubt = bad or not inside, inside and tag in WHOLE or doubt
+                elif value and key == "role" and value.lower() in ROLES:
                     bad = True
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and value and "display:none" in value.replace(" ", ""):
                     bad = True
         self.number += 1
+        if tag in ("article", "main"):
+            self.articles.add(self.number)
+        if doubt:
+            self.doubtful.add(self.number)
         if bad and tag not in BLOCKS:
             self._break()
         self.stack.append((tag, bad, self.number))
@@ -207,16 +222,22 @@ def extract(html: str | None, sigma: float = 1.0) -> str:
     ratio = [len(t) / max(1, line.tags) for line, t in lines]
     smooth = smoothed(ratio, sigma)
     cut = threshold(smooth)
+    chars, tags = Counter(), Counter()
+    for line, t in lines:
+        chars[line.doubt] += len(t)
+        tags[line.doubt] += line.tags
+    low = {d for d in chars if d and chars[d] / max(1, tags[d]) < cut}
     votes: Counter = Counter()
     total = 0
     for (line, t), s in zip(lines, smooth, strict=True):
-        if s >= cut:
+        if s >= cut and line.doubt not in low:
             total += len(t)
             for c in line.where:
                 votes[c] += len(t)
-    # the innermost container that holds most of the voting text
-    best = max((c for c, v in votes.items() if v >= 0.6 * total), default=None)
-    return "\n".join(t for line, t in lines if best is None or best in line.where)
+    nearly = [c for c, v in votes.items() if v >= 0.9 * total]
+    most = [c for c, v in votes.items() if v >= 0.6 * total and c in reader.articles]
+    best = max([c for c in nearly if c in reader.articles] or most or nearly, default=None)
+    return "\n".join(t for line, t in lines if line.doubt not in low and (best is None or best in line.where))
 
 
 PAGES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -47,6 +47,23 @@ def test_html_regions():
     )
 
 
+def test_html_whole_article():
+    long, lead, end = "long text " * 90, "lead words " * 27, "end words " * 20
+    wrap = lambda x: f"<body><div class=nav>Menu</div>{x}</body>"
+    for page in (
+        f"<article><h1>Head</h1><section><p>{long}</section><section><p>{lead}</section></article>",
+        f"<article><h1>Head</h1><section><p>{long}</section><section><p>{lead}</section><section><p>{end}</section></article>",
+        f"<article><h1>Head</h1><p>{lead}<blockquote><p>{long}</blockquote><p>{end}</article>",
+        f"<article><p>{long}<h2 id='related-work'>Related work</h2><p>{lead}</article>",
+        f"<article><p>{long}<div class='article-side'><p>{long.upper()}</div></article>",
+        f"<div><h1>Head</h1><p>{lead}<blockquote><p>{long}</blockquote><p>{end}</div>",
+    ):
+        got = html_extract.extract(wrap(page))
+        for part in (x for x in (long, long.upper(), lead, end, "Head<", "Related work<") if x in page):
+            assert part.strip().rstrip("<") in got, (part[:20], page[:60])
+        assert "Menu" not in got
+
+
 def test_html_awkward(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<p>x"), (3, None, "<p>x"), (4, "u", "plain"), (5, "u", "<nav>only</nav>"), (6, "u", "<p>" + "a " * 50_000)]
     got = {(r.page_id, r.text, r.n_chars) for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

@@ -242,7 +242,9 @@ def similar_pairs(sets: list[np.ndarray], levels: list[np.ndarray], threshold: f
         dense[owner[i:j], column[i:j] - a] = np.sqrt(weight[i:j])
         both += dense @ dense.T
     union = total[:, None] + total[None, :] - both
-    return both >= threshold * union - 1e-4
+    similar = both >= threshold * union - 1e-4
+    np.fill_diagonal(similar, True)  # elements of one set only are not in ``both``
+    return similar
 
 
 def links(nodes: list[int], similar: np.ndarray) -> list[tuple[int, int]]:

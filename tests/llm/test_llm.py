@@ -308,22 +308,35 @@ def test_sampling_estimates_weighted_similarity():
 # ------------------------------------------------------------------ 10
 
 
-@pytest.mark.parametrize("sent", [4_000_000, 0])
-def test_substrings_brute_force(spark, sent):
+@pytest.mark.parametrize(("sent", "hot"), [(4_000_000, None), (0, None), (4_000_000, ((3, 15), (9, 19))), (0, ((3, 15), (9, 19)))])
+def test_substrings_brute_force(spark, monkeypatch, sent, hot):
+    if hot:
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        # workers read the levels of the module, so the second grams stay the default ones there
     rng = random.Random(6)
     base = "".join(rng.choice("abcdé ") for _ in range(3000))
     texts = [*AWKWARD, *[base[a : a + rng.randrange(300)] + "".join(rng.choice("xyz") for _ in range(rng.randrange(80))) for a in (rng.randrange(2900) for _ in range(40))], "ab" * 200, "q" * 500]
     raw = [(t or "").encode() for t in texts]
     want = substring_dedup.brute_force(raw, 60)
-    rows = substring_dedup.cut_repeats(frame(spark, texts).repartition(3), length=60, gram=20, sent_anchors=sent).collect()
+    passages = substring_dedup.brute_force_passages(texts, 9)
+    rows = substring_dedup.cut_repeats(frame(spark, texts).repartition(3), length=60, gram=20, sent_anchors=sent, passage=9, word_gram=3).collect()
     assert len(rows) == len(texts)
     for r in rows:
         t, s = raw[r.doc_id], want[r.doc_id]
         kept = b"".join(t[x:y] for x, y in zip([0, *[b for _, b in s]], [*[a for a, _ in s], len(t)], strict=True))
         assert (r.n_bytes, r.n_spans, bytes(r.kept)) == (len(t), len(s), kept)
+        assert (r.n_passages, r.n_passage_words) == (len(passages[r.doc_id]), sum(b - a for a, b in passages[r.doc_id])), r.doc_id
     assert substring_dedup.report(frame(spark, [])).count() == 0
 
 
+def test_passages_of_another_document(spark):
+    """Repeats within one document are no passage; copies of it and edited ones are."""
+    line, other = " ".join(words(60, 31, 5000)), " ".join(words(70, 32, 5000))
+    texts = [f"{line} x {line}", f"a {other} b", f"c {other.replace(chr(119), chr(87))}! d", f"e {' '.join(other.split()[:50])} f", f"{line[:-1]}"]
+    got = {r.doc_id: (r.n_passages, r.n_passage_words) for r in substring_dedup.report(frame(spark, texts)).collect()}
+    assert got == {0: (2, 118), 1: (1, 70), 2: (1, 70), 3: (0, 0), 4: (1, 59)}
+
+
 def test_windows_of_repeated_strings():
     rng = random.Random(8)
     for _ in range(40):
@@ -334,7 +347,7 @@ def test_windows_of_repeated_strings():
         for s in strings:
             for i in range(len(s) - n + 1):
                 count[s[i : i + n]] = count.get(s[i : i + n], 0) + 1
-        got = substring_dedup.repeated(strings, n)
+        got = substring_dedup.repeated([np.frombuffer(x, np.uint8) for x in strings], n)
         assert [g.tolist() for g in got] == [[count[s[i : i + n]] > 1 for i in range(len(s) - n + 1)] for s in strings]
 
 

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.text import Words, groups, mix64, powers, release
+from lexloom.llm.text import BASE, Words, groups, mix64, powers, release
 from lexloom.llm.text import texts_of as _texts_of
 from lexloom.session import ship, written
 
@@ -55,7 +55,7 @@ SENT_ANCHORS = 4_000_000
 #: From so many places on an anchor's windows pick a second gram, which has so many symbols of a window's 20.
 HOT = ((256, 15), (8192, 19))
 #: Symbols of contexts in one transform, and of a text that is hashed at once.
-BLOCK, PIECE = 1 << 19, 1 << 20
+BLOCK, PIECE = 1 << 18, 1 << 18
 BYTES, WORDS = 0, 1
 
 
@@ -107,7 +107,7 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
     a key, doubled beyond that.
     """
     n = len(text)
-    bits = max(int(text.max(initial=1)).bit_length(), 8)
+    bits = int(text.max(initial=1)).bit_length()
     reach = first_reach = min(63 // bits, depth)
     padded = np.zeros(n + reach, np.uint64)
     padded[:n] = text
@@ -181,15 +181,19 @@ def open_places(text: np.ndarray, order: np.ndarray, first: np.ndarray, level: i
     return open_[:n]
 
 
-def repeated(strings: list[np.ndarray], length: int, owners: np.ndarray | None = None) -> list[np.ndarray]:
-    """For each string, which of its windows of ``length`` symbols occur more than once in all of them.
+def repeated(strings: list[np.ndarray], length: int, low: np.ndarray, high: np.ndarray, apart: bool = False) -> list[np.ndarray]:
+    """For each string, which of its windows of ``length`` symbols occur more than once.
 
-    With ``owners`` a window counts only if strings of two owners have it.
+    A string stands for all its occurrences, of owners between ``low`` and
+    ``high``. Equal windows have more than one occurrence if there are several
+    of them or if these owners differ; ``apart`` asks for different owners.
     """
     sizes = np.array([len(s) for s in strings])
     starts = np.concatenate(([0], np.cumsum(sizes + 1)))
     symbols = np.concatenate(strings)
-    if symbols.dtype != np.uint8:
+    if symbols.dtype == np.uint8:
+        symbols = (np.cumsum(np.bincount(symbols, minlength=256) > 0) - 1)[symbols]
+    else:
         symbols = np.unique(symbols, return_inverse=True)[1]
     text = np.zeros(starts[-1], np.uint32)
     text[np.arange(len(symbols)) + np.repeat(np.arange(len(sizes)), sizes)] = symbols.astype(np.uint32) + 1
@@ -199,14 +203,13 @@ def repeated(strings: list[np.ndarray], length: int, owners: np.ndarray | None =
     same = open_places(text, order, first, level, length)
     same[1:] &= whole[1:] & whole[:-1]
     same[0] = False
-    if owners is not None:
-        own = np.repeat(owners, sizes + 1)[order]
-        heads = np.flatnonzero(~same)
-        several = np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads)
-        same &= several[np.cumsum(~same) - 1]
+    heads = np.flatnonzero(~same)
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)[order]
+    several = np.minimum.reduceat(low[owner], heads) != np.maximum.reduceat(high[owner], heads)
+    if not apart:
+        several |= np.diff(np.concatenate((heads, [len(text)]))) > 1
     flags = np.zeros(len(text), bool)
-    flags[order[same]] = True
-    flags[order[np.flatnonzero(same) - 1]] = True
+    flags[order] = several[np.cumsum(~same) - 1] & whole
     return [flags[a : a + max(n - length + 1, 0)] for a, n in zip(starts, sizes, strict=False)]
 
 
@@ -237,8 +240,8 @@ def block_spans(contexts: list[tuple[object, bytes]], length: int, unit: int = B
     """Spans, relative to its context, of the windows of each (document, symbols) that repeat.
 
     Words have to repeat in another document. Window hashes leave out what
-    cannot repeat; the transform decides. Equal stretches enter it twice at
-    most, of two documents if there are two.
+    cannot repeat; the transform decides. Equal stretches enter it once, with
+    the range of their owners.
     """
     kind = SYMBOL[unit]
     bodies = [np.frombuffer(c[1], kind) for c in contexts]
@@ -255,24 +258,16 @@ def block_spans(contexts: list[tuple[object, bytes]], length: int, unit: int = B
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
     if not stretches:
         return out
-    strings: list[np.ndarray] = []
-    names: list[bytes] = []
-    owners: list[int] = []
     numbers: dict = {}
-    for s, uses in stretches.items():
-        docs = [numbers.setdefault(contexts[i][0], len(numbers)) for i, _ in uses]
-        second = next((d for d in docs if d != docs[0]), docs[-1])
-        for d in (docs[0], second)[: len(uses)]:
-            strings.append(np.frombuffer(s, kind))
-            names.append(s)
-            owners.append(d)
-    done: set[bytes] = set()
-    for s, flags in zip(names, repeated(strings, length, np.array(owners) if unit == WORDS else None), strict=True):
-        if s in done:
-            continue
-        done.add(s)
+    low, high = [], []
+    for uses in stretches.values():
+        each = [numbers.setdefault(contexts[i][0] if unit == WORDS else (i, a), len(numbers)) for i, a in uses]
+        low.append(min(each))
+        high.append(max(each))
+    found = repeated([np.frombuffer(s, kind) for s in stretches], length, np.array(low), np.array(high), unit == WORDS)
+    for uses, flags in zip(stretches.values(), found, strict=True):
         for a, b in runs(flags):
-            for i, shift in stretches[s]:
+            for i, shift in uses:
                 out[i].append((a + shift, b + shift + length - 1))
     return out
 
@@ -310,7 +305,7 @@ def _units(batches: Iterator[pa.RecordBatch], sizes: Sizes) -> Iterator[tuple[li
     for batch in batches:
         data, offsets = _texts_of(batch.column(batch.num_columns - 1))
         meta = [batch.column(i).to_pylist() for i in range(batch.num_columns - 1)]
-        for i, j in groups(offsets):
+        for i, j in groups(offsets, PIECE):
             part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             some = [m[i:j] for m in meta]
             if sizes[BYTES][0]:
@@ -435,17 +430,21 @@ class Sender:
                 again = unit == BYTES and len(context[4]) > 1
                 self.seen[digest] = None if again else place
                 if again:
-                    self.rows.append((None, *place, None))
+                    self._known(place)
                 continue
             before = self.seen[digest]
             if unit == WORDS and before is not None and before[1:3] == (doc, tag):
                 continue
             if before is not None:
-                self.rows.append((None, *before, None))
+                self._known(before)
                 self.seen[digest] = None
-            self.rows.append((None, *place, None))
+            self._known(place)
         return out
 
+    def _known(self, place: tuple) -> None:
+        """Places that repeat need no symbols; they travel by their document."""
+        self.rows.append((((place[1] or 0) ^ place[2]) * int(BASE) % (1 << 63), *place, None))
+
     def _send(self, key: int, unit: int, doc: int | None, tag: int, symbols: np.ndarray, starts: list[int]) -> None:
         self.rows.append((key, unit, doc, tag, starts, len(symbols), symbols.tobytes()))
         self.size += symbols.nbytes
@@ -498,7 +497,7 @@ SPANS_SQL = "doc_id long, tag long, unit int, start long, stop long"
 
 def _blocks(sizes: Sizes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by unit and hash; whole groups are gathered into blocks."""
+        """Rows come sorted by unit and hash; whole groups are gathered into blocks. Rows without symbols are spans."""
         block: list[tuple] = []
         group: list[tuple] = []
         now, size, held = None, 0, 0
@@ -512,6 +511,13 @@ def _blocks(sizes: Sizes):
             group.clear()
             held = 0
 
+        def out() -> Iterator[pa.RecordBatch]:
+            if found:
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "unit", "start", "stop"])
+                found.clear()
+
         def work() -> Iterator[pa.RecordBatch]:
             nonlocal size
             if block:
@@ -520,15 +526,16 @@ def _blocks(sizes: Sizes):
                     found.extend((row[2], row[3], unit, start + a, start + b) for start in row[4] for a, b in spans)
             block.clear()
             size = 0
-            if found:
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "unit", "start", "stop"])
-                found.clear()
+            yield from out()
 
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(7)]
             for row in zip(*columns, strict=True):
+                if row[6] is None:
+                    found.extend((row[2], row[3], row[1], start, start + row[5]) for start in row[4])
+                    if len(found) > 100_000:
+                        yield from out()
+                    continue
                 if row[:2] != now:
                     close_group()
                     if size > BLOCK or now is not None and row[1] != now[1]:
@@ -563,13 +570,7 @@ def repeated_spans(docs: DataFrame, sizes: Sizes, sent_anchors: int = SENT_ANCHO
         listed = places.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(place)).alias("places"))
         met = listed.alias("p").join(docs.alias("d").hint("shuffle_merge"), F.col("p.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("p.tag") == F.col("d.tag")))
         contexts = met.select("d.doc_id", "d.tag", "p.places", "d.text").mapInArrow(_contexts(sizes, None), CONTEXT_SQL)
-    contexts = written(contexts, "contexts")
-    across = (
-        contexts.filter("hash IS NOT NULL").repartition(F.col("hash")).sortWithinPartitions("unit", "hash").mapInArrow(_blocks(sizes), SPANS_SQL)
-    )
-    inside = contexts.filter("hash IS NULL").select("doc_id", "tag", "unit", "span", F.explode("starts").alias("start"))
-    inside = inside.select("doc_id", "tag", "unit", "start", (F.col("start") + F.col("span")).alias("stop"))
-    every = inside.unionByName(across)
+    every = contexts.repartition(F.col("hash")).sortWithinPartitions("unit", "hash").mapInArrow(_blocks(sizes), SPANS_SQL)
     return every.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(F.struct("unit", "start", "stop"))).alias("spans"))
 
 
@@ -628,7 +629,8 @@ def cut_repeats(
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     source = source.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tag"), "text")
     spans = repeated_spans(source, ((length, gram), (passage, word_gram)), sent_anchors)
-    joined = source.alias("d").join(spans.alias("s"), (F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))) & (F.col("d.tag") == F.col("s.tag")), "left")
+    # the side that is held has a row per text with spans, about a hundredth of a partition's bytes, and no hot key
+    joined = source.alias("d").join(spans.hint("shuffle_hash").alias("s"), (F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))) & (F.col("d.tag") == F.col("s.tag")), "left")
     return joined.select("d.doc_id", "d.text", "s.spans").mapInArrow(_cut, CUT_SQL)
 
 

@@ -51,7 +51,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i below n."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 2 * BLOCK)
+        size = max(1 << 18, 1 << (n - 1).bit_length())
         up = np.full(size, BASE, dtype=np.uint64)
         down = np.full(size, np.uint64(pow(int(BASE), -1, 1 << 64)), dtype=np.uint64)
         up[0] = down[0] = 1

@@ -347,7 +347,8 @@ def test_windows_of_repeated_strings():
         for s in strings:
             for i in range(len(s) - n + 1):
                 count[s[i : i + n]] = count.get(s[i : i + n], 0) + 1
-        got = substring_dedup.repeated([np.frombuffer(x, np.uint8) for x in strings], n)
+        owner = np.arange(len(strings))
+        got = substring_dedup.repeated([np.frombuffer(x, np.uint8) for x in strings], n, owner, owner)
         assert [g.tolist() for g in got] == [[count[s[i : i + n]] > 1 for i in range(len(s) - n + 1)] for s in strings]
 
 

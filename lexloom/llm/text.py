@@ -15,6 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lexloom.session import written
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -138,3 +142,24 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out = out * BASE + hashes[i : n - k + 1 + i]
     return mix64(out + np.uint64(k))
+
+
+def row_tag(text: str) -> Column:
+    """Hash of a row's text: with the doc_id it tells rows apart where doc_ids repeat."""
+    return F.coalesce(F.xxhash64(F.col(text).cast("string")), F.lit(0))
+
+
+def only_rows(docs: DataFrame, kept: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """One row of ``docs`` for every ``of`` in ``kept`` (doc_id, tag, of), columns unchanged.
+
+    Where several rows of an ``of`` are in ``kept``, one with the smallest tag stays.
+    """
+    chosen = written(kept.groupBy("of").agg(F.min(F.struct("tag", "doc_id")).alias("row"), F.count(F.lit(1)).alias("n")), "kept-rows")
+    rows = chosen.select(F.col("row.doc_id").alias("__id"), F.col("row.tag").alias("__tag"), "n")
+    same = F.col("__id").eqNullSafe(docs[doc_id].cast("long")) & (F.col("__tag") == F.col("__mark"))
+    marked = docs.withColumn("__mark", row_tag(text))
+    if rows.filter("n > 1").isEmpty():
+        return marked.join(rows.drop("n"), same, "left_semi").drop("__mark")
+    once = marked.join(rows.filter("n = 1").drop("n"), same, "left_semi")
+    ties = marked.join(rows.filter("n > 1").drop("n"), same, "left_semi").dropDuplicates([doc_id, "__mark"])
+    return once.unionByName(ties).drop("__mark")

@@ -292,6 +292,76 @@ def test_hot_key_star(spark):
     assert sum(c == whole[1000] for c in whole.values()) > 900
 
 
+@pytest.mark.parametrize("n", [3, 30, 900])
+def test_chains_of_any_length(spark, n):
+    """Links in a row, given in a random order of their nodes, and pairs beside them."""
+    order = list(range(n))
+    random.Random(n).shuffle(order)
+    links = [(min(x, y), max(x, y)) for x, y in zip(order, order[1:])] + [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(5)]
+    edges = spark.createDataFrame(links, "a long, b long").repartition(3)
+    nodes = sorted({x for link in links for x in link})
+    least = spark.createDataFrame([(x, 50_000 - x) for x in nodes], "node long, least long")
+    got = {r.node: (r.root, r.label) for r in near_dedup.classes_of(edges, least).collect()}
+    want = {x: (0, 50_001 - n) for x in range(n)} | {x: (x // 2 * 2, 50_000 - x // 2 * 2 - 1) for x in nodes if x >= 10_000}
+    assert got == want
+    assert near_dedup.classes_of(edges.limit(0), least).count() == 0
+
+
+@pytest.mark.parametrize("n", [190, 210])
+def test_near_classes_all_pairs(spark, n):
+    """The classes of comparing all pairs by the weighted similarity, on either side of 200 rows."""
+    rng = random.Random(n)
+    bases = [words(rng.randrange(60, 200), 100 + i, 3000) for i in range(20)]
+    texts = [edited(b := rng.choice(bases), rng.randrange(len(b) // 12), i) for i in range(n)]
+    df = {}
+    bags = []
+    for t in texts:
+        raw = t.encode()
+        h = near_dedup.shingles(near_dedup.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hashes, 5)
+        bags.append(dict(zip(*(x.tolist() for x in np.unique(h, return_counts=True)), strict=True)))
+        for x in bags[-1]:
+            df[x] = df.get(x, 0) + 1
+    weight = {x: 0.75 + 0.25 * min(1, max(0, np.log((n + 200) / c) / np.log(200))) for x, c in df.items()}
+    parent = list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    edge = set()
+    for i in range(n):
+        for j in range(i):
+            both = sum(min(bags[i][x], bags[j][x]) * weight[x] for x in bags[i].keys() & bags[j].keys())
+            union = sum(c * weight[x] for b in (bags[i], bags[j]) for x, c in b.items()) - both
+            if abs(both / union - 0.8) < 0.003:
+                edge.add((i, j))
+            elif both >= 0.8 * union and root(i) != root(j):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(frame(spark, texts).repartition(3)).collect()}
+    unsure = {root(i) for pair in edge for i in pair}
+    assert len({root(i) for i in range(n)}) > 10 and len(unsure) < 20
+    sure = [i for i in range(n) if root(i) not in unsure]
+    assert len({(got[i], root(i)) for i in sure}) == len({got[i] for i in sure}), "texts of different classes were joined"
+    # a pair at 0.8 is sampled with a probability of 0.9998: one link of them all may be missed
+    assert len({got[i] for i in sure}) <= len({root(i) for i in sure}) + 1
+
+
+def test_repeated_identifiers_and_nulls(spark):
+    """One row of a group stays, by row and not by doc_id; a null doc_id comes last."""
+    a, b = " ".join(words(60, 41, 5000)), " ".join(words(60, 42, 5000))
+    rows = [(1, a), (1, a), (2, b), (1, b), (0, b + " "), (None, b), (None, "x y z"), (None, "x  y z"), (None, None), (7, ""), (8, None)]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, tag string, n string").repartition(3)
+    exact = sorted(((r.doc_id, " ".join((r.text or "").split())[:9]) for r in exact_dedup.keep_first(docs).collect()), key=str)
+    assert exact == sorted([(1, a[:9]), (0, b[:9]), (1, b[:9]), (None, "x y z"), (7, "")], key=str)
+    found = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs).collect()}
+    assert found >= {(1, 1, 2, True), (None, None, 2, True), (None, 7, 3, False), (7, 7, 3, True), (0, 0, 1, True), (None, 1, 3, False)}
+    near = [(r.doc_id, (r.text or "")[:9]) for r in near_dedup.keep_first(docs).collect()]
+    assert sorted(x for x in near if len(x[1]) > 6) == sorted([(1, a[:9]), (0, b[:9])]) and exact_dedup.keep_first(docs).columns == docs.columns
+    assert sum(x == (None, "x y z") or x == (None, "x  y z") for x in near) == 1
+    assert exact_dedup.keep_first(docs.limit(0)).count() == near_dedup.keep_first(docs.limit(0)).count() == 0
+
+
 def test_sampling_estimates_weighted_similarity():
     rng = np.random.default_rng(5)
     h = near_dedup.mix64(rng.integers(0, 1 << 62, 600).astype(np.uint64))

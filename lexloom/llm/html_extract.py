@@ -2,21 +2,28 @@
 
 The standard library's parser streams a page's events. Block-level tags split
 the page into lines; every line has its characters of text, its tags and the
-containers it stands in. The ratio of text to tags per line is smoothed with a
-Gaussian, two-means clustering of the smoothed ratios sets a threshold, and the
-lines above it vote for the container that holds the content: the innermost
-article or main with nearly all votes, else with most, else the innermost
-container with nearly all. All lines of that container are kept whatever their
-length, except those inside menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments. Inside an article or main a class or
-id that hints at such a part drops only a whole block whose own ratio is below
-the threshold.
-
-Null and empty pages give an empty text, so do pages without content. Character
-references are decoded, white space inside a block is one space, blocks are
-trimmed and joined by a line feed. Rows are independent: repeated rows give
-repeated results, other columns are ignored, an empty table gives an empty
-result. Unclosed and crossed tags are repaired as browsers do for blocks.
+container it stands in. The ratio of text to tags per line is smoothed with a
+Gaussian, and two-means clustering of the smoothed ratios sets a threshold. The
+lines above it vote with their characters:
+
+1. Blocks whose class or id names a part that is no content are doubtful. Where
+   no article or main stands outside of them, one that holds most votes is
+   content after all. Others go if their name is a sure one (comments, adverts,
+   notices, sidebars and the like), else if their own ratio is below the
+   threshold; names of headers do not count inside an article or main, and an
+   article is doubtful only inside another, by a sure name.
+2. The container of the content is the innermost article or main with nearly
+   all votes, else with most, else the innermost container with nearly all. All
+   its lines are kept whatever their length.
+
+Menus, headers, footers, sidebars, forms, scripts and styles that are elements
+or roles of their own are left out by the parser. Null and empty pages give an
+empty text, so do pages without content. Character references are decoded, white
+space inside a block is one space, blocks are trimmed and joined by a line feed.
+Rows are independent: repeated rows give repeated results, other columns are
+ignored, an empty table gives an empty result. Unclosed and crossed tags are
+repaired as browsers do for blocks, marked sections are comments as there. The
+time is linear in a page's length, however deep its blocks are nested.
 """
 
 from __future__ import annotations
@@ -39,67 +46,85 @@ BLOCKS = frozenset(
     " h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("article main section div body td center".split())
-#: Blocks that a class or id inside an article can drop.
-WHOLE = frozenset("aside center dd details div dl footer header hgroup li menu nav ol section table tbody td tr ul".split())
+#: Blocks that a class or id can make doubtful.
+WHOLE = frozenset("center dd details div dl footer header hgroup li ol section table tbody td tr ul".split())
 DROPPED = frozenset(
-    "nav footer aside form menu script style noscript template head title iframe object svg math button select option textarea"
+    "nav footer aside form menu search script style noscript template head title iframe object svg button select option textarea"
     " input label dialog canvas audio video map applet noframes".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
 CLOSES_P = BLOCKS - {"body", "html"}
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|header|masthead|cookies?"
-    r"|consent|gdpr|notice|popup|modal|newsletter|subscribe|social|share|sharing|related|recommend\w*|comments?|disqus|replies|respond"
-    r"|login|signup|search|widget|skip|pagination|pager|toolbar|copyright|legal)(?:$|[\s_-])",
-    re.I,
+
+
+def names(words: str) -> re.Pattern[str]:
+    return re.compile(rf"(?:^|[\s_-])(?:{'|'.join(words.split())})(?:$|[\s_-])", re.I)
+
+
+SURE = names(
+    r"ads? advert\w* sponsor\w* promo\w* breadcrumbs? sidebar cookies? consent gdpr popup modal newsletter subscribe comments? disqus replies respond"
 )
+MAYBE = names(
+    r"banner nav\w* menu\w* side footer notice social share sharing related recommend\w* login signup search widget skip pagination pager toolbar copyright legal"
+)
+HEADER = names("header masthead")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
 SPACE = re.compile(r"\s+")
 
 
 class Line:
-    __slots__ = ("parts", "tags", "where", "dropped", "links", "doubt")
+    __slots__ = ("parts", "tags", "node", "doubt")
 
-    def __init__(self, where: tuple, dropped: bool, doubt: int):
+    def __init__(self, node: int, doubt: int):
         self.parts: list[str] = []
         self.tags = 0
-        self.links = 0
-        self.where, self.dropped, self.doubt = where, dropped, doubt
+        self.node, self.doubt = node, doubt
 
     def text(self) -> str:
         return SPACE.sub(" ", "".join(self.parts)).strip()
 
 
 class Reader(HTMLParser):
-    """Turns parser events into lines."""
+    """Turns parser events into lines.
+
+    Containers and doubtful blocks are numbered as they open; ``outer`` has the
+    number of the next one around each, so a number is above its outer's.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # name, starts something dropped, number
+        #: name, starts something dropped, the container and doubtful block around what follows
+        self.stack: list[tuple[str, bool, int, int]] = []
+        self.open: Counter = Counter()
         self.depth = 0
-        self.number = 0
         self.lines: list[Line] = []
         self.line: Line | None = None
+        self.outer, self.outer_doubt = [0], [0]
         self.articles: set[int] = set()
-        self.doubtful: set[int] = set()
+        self.sure: set[int] = set()
+        #: an article or main stands outside of all doubtful blocks
+        self.plain = False
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i, report)
 
     def _break(self) -> None:
         self.line = None
 
     def _now(self) -> Line:
         if self.line is None:
-            self.line = Line(tuple(n for name, _, n in self.stack if name in CONTAINERS), self.depth > 0, next((n for _, _, n in self.stack if n in self.doubtful), 0))
+            self.line = Line(*self.stack[-1][2:]) if self.stack else Line(0, 0)
             self.lines.append(self.line)
         return self.line
 
     def _pop(self, at: int) -> None:
-        for _, bad, _ in self.stack[at:]:
+        for name, bad, _, _ in self.stack[at:]:
             self.depth -= bad
+            self.open[name] -= 1
         del self.stack[at:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and self.open["p"]:
             for i in range(len(self.stack) - 1, -1, -1):
                 name = self.stack[i][0]
                 if name == "p":
@@ -107,7 +132,7 @@ class Reader(HTMLParser):
                     break
                 if name in BLOCKS:
                     break
-        if tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
+        if tag in ("li", "dd", "dt", "td", "th", "tr", "option") and self.open[tag]:
             for i in range(len(self.stack) - 1, -1, -1):
                 name = self.stack[i][0]
                 if name == tag:
@@ -117,38 +142,40 @@ class Reader(HTMLParser):
                     break
         if tag in BLOCKS:
             self._break()
-        elif tag == "br":
+        elif tag == "br" and not self.depth:
             self._now().parts.append(" ")
         if tag in VOID:
             if self.line:
                 self.line.tags += 1
             return
-        bad = tag in DROPPED or (tag == "header" and not any(x[0] in ("article", "main") for x in self.stack))
-        doubt = False
-        if not bad and attrs and tag not in ("html", "body", "article", "main"):
-            inside = any(x[0] in ("article", "main") for x in self.stack)
+        inside = self.open["article"] + self.open["main"] > 0
+        bad = tag in DROPPED or tag == "header" and not inside
+        sure = maybe = False
+        if not bad and attrs and tag not in ("html", "body", "main"):
             for key, value in attrs:
-                if value and key in ("class", "id") and HINT.search(value):
-                    bad, doubt = bad or not inside, inside and tag in WHOLE or doubt
+                if value and key in ("class", "id") and (tag in WHOLE or tag == "article" and inside):
+                    sure = sure or bool(SURE.search(value))
+                    maybe = tag != "article" and (maybe or bool(MAYBE.search(value)) or not inside and bool(HEADER.search(value)))
                 elif value and key == "role" and value.lower() in ROLES:
                     bad = True
-                elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and value and "display:none" in value.replace(" ", ""):
-                    bad = True
-        self.number += 1
-        if tag in ("article", "main"):
-            self.articles.add(self.number)
-        if doubt:
-            self.doubtful.add(self.number)
-        if bad and tag not in BLOCKS:
-            self._break()
-        self.stack.append((tag, bad, self.number))
+        _, _, node, doubt = self.stack[-1] if self.stack else ("", False, 0, 0)
+        if not bad and not self.depth:
+            if tag in CONTAINERS:
+                self.outer.append(node)
+                node = len(self.outer) - 1
+                if tag in ("article", "main"):
+                    self.articles.add(node)
+                    self.plain = self.plain or not doubt
+            if sure or maybe:
+                self.outer_doubt.append(doubt)
+                doubt = len(self.outer_doubt) - 1
+                if sure:
+                    self.sure.add(doubt)
+        self.stack.append((tag, bad, node, doubt))
+        self.open[tag] += 1
         self.depth += bad
-        if tag not in BLOCKS and not bad:
-            self._now().tags += 1
-        elif tag in BLOCKS:
+        if not self.depth:
             self._now().tags += 1
-        if tag == "a" and self.line:
-            self.line.links += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -158,24 +185,22 @@ class Reader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID:
             return
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                bad = any(x[1] for x in self.stack[i:])
-                self._pop(i)
-                if tag in BLOCKS or bad:
-                    self._break()
-                elif self.line:
-                    self.line.tags += 1
-                return
-            if tag not in BLOCKS and self.stack[i][0] in BLOCKS:
-                return
-        if tag == "p":
+        if self.open[tag]:
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.stack[i][0] == tag:
+                    self._pop(i)
+                    if tag in BLOCKS:
+                        self._break()
+                    elif self.line and not self.depth:
+                        self.line.tags += 1
+                    return
+                if tag not in BLOCKS and self.stack[i][0] in BLOCKS:
+                    return
+        elif tag == "p":
             self._break()
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1][0] in RAW:
-            return
-        if data.strip() or self.line is not None:
+        if not self.depth and (data.strip() or self.line is not None):
             self._now().parts.append(data)
 
 
@@ -209,6 +234,13 @@ def threshold(values: list[float], rounds: int = 20) -> float:
     return (low + high) / 2
 
 
+def summed(own: list[float], outer: list[int]) -> list[float]:
+    """Sums over all that is inside each number; inner numbers are larger."""
+    for k in range(len(own) - 1, 0, -1):
+        own[outer[k]] += own[k]
+    return own
+
+
 def extract(html: str | None, sigma: float = 1.0) -> str:
     """The main text of one page."""
     if not html:
@@ -216,28 +248,37 @@ def extract(html: str | None, sigma: float = 1.0) -> str:
     reader = Reader()
     reader.feed(html)
     reader.close()
-    lines = [(line, t) for line in reader.lines if not line.dropped and (t := line.text())]
+    lines = [(line, t) for line in reader.lines if (t := line.text())]
     if not lines:
         return ""
-    ratio = [len(t) / max(1, line.tags) for line, t in lines]
-    smooth = smoothed(ratio, sigma)
+    smooth = smoothed([len(t) / max(1, line.tags) for line, t in lines], sigma)
     cut = threshold(smooth)
-    chars, tags = Counter(), Counter()
-    for line, t in lines:
+    voters = [len(t) if s >= cut else 0 for (_, t), s in zip(lines, smooth, strict=True)]
+    # doubtful blocks; number 0 is none
+    doubts = len(reader.outer_doubt)
+    chars, tags, votes = [0.0] * doubts, [0.0] * doubts, [0.0] * doubts
+    for (line, t), v in zip(lines, voters, strict=True):
         chars[line.doubt] += len(t)
         tags[line.doubt] += line.tags
-    low = {d for d in chars if d and chars[d] / max(1, tags[d]) < cut}
-    votes: Counter = Counter()
-    total = 0
-    for (line, t), s in zip(lines, smooth, strict=True):
-        if s >= cut and line.doubt not in low:
-            total += len(t)
-            for c in line.where:
-                votes[c] += len(t)
-    nearly = [c for c, v in votes.items() if v >= 0.9 * total]
-    most = [c for c, v in votes.items() if v >= 0.6 * total and c in reader.articles]
-    best = max([c for c in nearly if c in reader.articles] or most or nearly, default=None)
-    return "\n".join(t for line, t in lines if line.doubt not in low and (best is None or best in line.where))
+        votes[line.doubt] += v
+    chars, tags, votes = (summed(x, reader.outer_doubt) for x in (chars, tags, votes))
+    out = [False] * doubts
+    for d in range(1, doubts):
+        few = reader.plain or 2 * votes[d] < votes[0]
+        out[d] = out[reader.outer_doubt[d]] or few and (d in reader.sure or chars[d] < cut * max(1, tags[d]))
+    # the container of the content; number 0 is the page
+    own = [0.0] * len(reader.outer)
+    for (line, _), v in zip(lines, voters, strict=True):
+        own[line.node] += 0 if out[line.doubt] else v
+    inner = summed(own, reader.outer)
+    total = inner[0]
+    nearly = [c for c in range(1, len(inner)) if inner[c] >= 0.9 * total]
+    most = [c for c in reader.articles if inner[c] >= 0.6 * total]
+    best = max([c for c in nearly if c in reader.articles] or most or nearly, default=0)
+    inside = [best == 0] * len(inner)
+    for c in range(1, len(inner)):
+        inside[c] = c == best or inside[reader.outer[c]]
+    return "\n".join(t for line, t in lines if inside[line.node] and not out[line.doubt])
 
 
 PAGES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -64,11 +64,61 @@ def test_html_whole_article():
         assert "Menu" not in got
 
 
+def test_html_votes_decide(monkeypatch):
+    """Without names and articles only the ratios tell content from a list of links."""
+    links = "".join(f"<li><a href=/{i}>Go to part {i}</a></li>" for i in range(30))
+    text = "".join(f"<p>{'plain words of the text ' * 12}</p>" for _ in range(4))
+    page = f"<body><div><ul>{links}</ul></div><div><h2>Title</h2>{text}</div></body>"
+    got = html_extract.extract(page)
+    assert got.startswith("Title\nplain words") and "Go to" not in got
+    monkeypatch.setattr(html_extract, "threshold", lambda values: 0.0)
+    assert "Go to part 3" in html_extract.extract(page)
+
+
+def test_html_doubtful_blocks():
+    long = "long text of the article " * 30
+    keep = (
+        f"<article><div class='article-header'><h1>Title</h1></div><p>{long}</p></article>",
+        f"<article><h1>Title</h1><p>{long} <span class='share'>market share</span> <math><mi>x</mi></math></p></article>",
+        f"<div class='nav-layout'><article><h1>Title</h1><p>{long}</p></article></div>",
+        f"<div class='content header'><h1>Title</h1><p>{long}</p></div>",
+    )
+    for page in keep:
+        assert html_extract.extract(f"<body><nav>Menu</nav>{page}</body>").startswith("Title\n" + long.strip())
+    assert html_extract.extract(keep[1]).endswith("market share x")
+    for gone in (
+        f"<section class='comments'><h2>Replies</h2><p>{'me too ' * 300}</p></section>",
+        "<article class='comment'><p>first!</p></article>",
+        "<div class='advert'><p>Buy this now, it is cheap and good for all of you.</p></div>",
+        "<div class='share'><a>f</a> <a>t</a></div>",
+        "<p>a<button>Click</button></p>",
+    ):
+        got = html_extract.extract(f"<body><main><h1>Title</h1><p>{long}</p>{gone}<p>The end.</p></main></body>")
+        assert got.replace("\na\n", "\n") == f"Title\n{long.strip()}\nThe end.", gone[:40]
+
+
+def test_html_broken_and_deep():
+    import time
+
+    assert html_extract.extract("<p>a<![foo[bar]]>b</p>") == "ab"
+    rng = random.Random(1)
+    marks = ["<", ">", "<![", "[", "]]>", "<!--", "-->", "<p>", "</p>", "<div class=ad>", "</div>", "a", "&amp", "&#x", '"', "<a href=", " ", "<script>", "</script>", "<?", "<td>", "<li>", "<svg>", "\x00"]
+    for _ in range(3000):
+        html_extract.extract("".join(rng.choice(marks) for _ in range(rng.randrange(25))))
+    start = time.time()
+    # the innermost container with nine tenths of the votes
+    assert html_extract.extract("<div>x" * 50_000).count("x") == 45_000
+    assert html_extract.extract("<div>x" * 25_000 + "</section>" * 25_000).count("x") == 22_500
+    assert time.time() - start < 4
+
+
 def test_html_awkward(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<p>x"), (3, None, "<p>x"), (4, "u", "plain"), (5, "u", "<nav>only</nav>"), (6, "u", "<p>" + "a " * 50_000)]
     got = {(r.page_id, r.text, r.n_chars) for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {(1, "", 0), (2, "", 0), (3, "x", 1), (4, "plain", 5), (5, "", 0), (6, ("a " * 50_000).strip(), 99_999)}
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    clash = spark.createDataFrame([(1, "u", "<p>x", "y", 5)], "page_id long, url string, html string, text string, n_chars long")
+    assert [tuple(r) for r in html_extract.main_text(clash).collect()] == [(1, "u", "x", 1)]
 
 
 def test_smoothing_and_threshold():

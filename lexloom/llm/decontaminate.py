@@ -8,11 +8,15 @@ are hit.
 
 The automaton is sent to every task, so items are taken in blocks of at most
 ``block_words`` words; each block is one automaton and one pass over the
-documents, and the hits of the blocks are merged per document. A benchmark
-below that size, a fixed bound, is one pass.
+documents, and the hits of the blocks are merged per row. A benchmark below that
+size, a fixed bound, is one pass; for more, the rows are numbered in one written
+table that every pass reads.
 
-Null texts have no words: no hits, not contaminated. Null and empty items have
-no windows. Items that share an item_id count once. Repeated documents give
+``clean`` drops contaminated documents. ``remove_spans`` cuts hit spans above a
+length out of the texts and drops documents above a share of hit words.
+
+Null texts have no words: no hits, not contaminated. Null and empty items, and
+those without an item_id, have no windows. Items that share an item_id count once. Repeated documents give
 repeated results. An empty benchmark leaves every document clean; an empty
 document table gives an empty result. Other columns are ignored.
 """
@@ -22,11 +26,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.llm.text import Words, groups, texts_of
 from lexloom.session import ship, written
@@ -137,23 +143,14 @@ class Automaton:
         return spans, found
 
 
-SPANS = pa.schema(
-    [("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]
-)
-SPANS_SQL = "doc_id long, row long, n_words long, hits array<long>, items array<string>"
-
-
-def _scan(automaton: Automaton):
+def _scan(automaton: Automaton, at: int):
+    """Rows with their word count, hit word ranges (flat) and items; the text is column ``at``."""
     vocabulary = automaton.vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 33
         known = None
         for batch in batches:
-            data, offsets = texts_of(batch.column(1))
-            docs = batch.column(0).to_pylist()
+            data, offsets = texts_of(batch.column(at))
             counts, hits, items = [], [], []
             for a, b in groups(offsets):
                 words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -162,8 +159,8 @@ def _scan(automaton: Automaton):
                     w = Words(np.frombuffer(listed, np.uint8), np.array([0, len(listed)]))
                     known = np.sort(w.hashes)
                 # a match lies within consecutive words of the vocabulary
-                at = np.searchsorted(known, words.hashes)
-                inside = known[np.minimum(at, len(known) - 1)] == words.hashes if len(known) else np.zeros(len(words.hashes), bool)
+                place = np.searchsorted(known, words.hashes)
+                inside = known[np.minimum(place, len(known) - 1)] == words.hashes if len(known) else np.zeros(len(words.hashes), bool)
                 for k in range(b - a):
                     i, j = int(words.first[k]), int(words.first[k + 1])
                     counts.append(j - i)
@@ -177,15 +174,49 @@ def _scan(automaton: Automaton):
                                 found |= names
                     hits.append(spans)
                     items.append(sorted(found))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(range(row, row + len(docs)), pa.int64()), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                schema=SPANS,
-            )
-            row += len(docs)
+            yield with_marks(batch, counts, hits, items)
+
+    return run
+
+
+MARKS = T.StructType(
+    [T.StructField("__n_words", T.LongType()), T.StructField("__hits", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))]
+)
+
+
+def with_marks(batch: pa.RecordBatch, counts: list, hits: list, items: list) -> pa.RecordBatch:
+    marks = [pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays([*batch.columns, *marks], names=[*batch.schema.names, *MARKS.names])
+
+
+def _merge(at: int):
+    """Rows whose last two columns list hits and items of several passes: word counts and unions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, last = batch.select(batch.schema.names[:-2]), batch.num_columns
+            data, offsets = texts_of(batch.column(at))
+            counts: list[int] = []
+            for a, b in groups(offsets):
+                counts += np.diff(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).first).tolist()
+            hits = [union(each or []) for each in batch.column(last - 2).to_pylist()]
+            items = [sorted({x for some in each or [] for x in some}) for each in batch.column(last - 1).to_pylist()]
+            yield with_marks(rows, counts, hits, items)
 
     return run
 
 
+def union(each: list[list[int]]) -> list[int]:
+    """Flat union of flat lists of ranges."""
+    out: list[int] = []
+    for a, b in sorted(pair for hits in each for pair in zip(hits[::2], hits[1::2], strict=True)):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
+
+
 def blocks_of(benchmark: DataFrame, block_words: int, item_id: str, text: str) -> Iterator[list[tuple[str, list[bytes]]]]:
     """Items in blocks of at most ``block_words`` words (a longer item is a block by itself).
 
@@ -205,56 +236,30 @@ def blocks_of(benchmark: DataFrame, block_words: int, item_id: str, text: str) -
         yield held
 
 
-def contamination(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    window: int = WINDOW,
-    block_words: int = BLOCK_WORDS,
-    text: str = "text",
-    doc_id: str = "doc_id",
-    item_id: str = "item_id",
-    item_text: str = "text",
+def marked(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """doc_id, n_words, hits (start and end of each hit word range, flat) and items of every row."""
+    """``docs`` with __n_words, __hits (start and end of each hit word range, flat) and __items (sorted)."""
     ship(docs.sparkSession)
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = [source.mapInArrow(_scan(Automaton(block, window)), SPANS_SQL) for block in blocks_of(benchmark, block_words, item_id, item_text)]
-    if not found:
-        found = [source.mapInArrow(_scan(Automaton([], window)), SPANS_SQL)]
-    if len(found) == 1:
-        return found[0].drop("row")
-    # the scan numbers rows alike in every pass over the same files
-    merged = written(found[0], "hits")
-    for more in found[1:]:
-        merged = merged.unionByName(written(more.filter(F.size("items") > 0), "hits"))
-    one = merged.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_words").alias("n_words"),
-        F.collect_list("hits").alias("each"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    pairs = F.array_sort(
-        F.flatten(
-            F.transform(
-                F.col("each"),
-                lambda h: F.transform(
-                    F.filter(F.sequence(F.lit(0), F.size(h)), lambda i: (i % 2 == 0) & (i < F.size(h))),
-                    lambda i: F.struct(F.get(h, i).alias("a"), F.get(h, i + 1).alias("b")),
-                ),
-            )
-        )
-    )
-    union = F.aggregate(
-        pairs,
-        F.array().cast("array<bigint>"),
-        lambda acc, p: F.when((F.size(acc) > 0) & (p["a"] <= F.get(acc, F.size(acc) - 1)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.get(acc, F.size(acc) - 1), p["b"])))).otherwise(
-            F.concat(acc, F.array(p["a"], p["b"]))
-        ),
-    )
-    return one.select("doc_id", "n_words", union.alias("hits"), "items")
-
-
-def n_hit(hits: str = "hits"):
+    schema = T.StructType(docs.schema.fields + MARKS.fields)
+    blocks = blocks_of(benchmark, block_words, item_id, item_text)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return docs.mapInArrow(_scan(Automaton(first, window), docs.columns.index(text)), schema)
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    slim = numbered.select("__row", text)
+    passes = T.StructType(slim.schema.fields + MARKS.fields)
+    found = None
+    for block in chain((first, second), blocks):
+        hits = slim.mapInArrow(_scan(Automaton(block, window), 1), passes).filter(F.size("__items") > 0).select("__row", "__hits", "__items")
+        hits = written(hits, "hits")
+        found = hits if found is None else found.unionByName(hits)
+    listed = found.groupBy("__row").agg(F.collect_list("__hits").alias("__each"), F.collect_list("__items").alias("__names"))
+    both = numbered.join(listed, "__row", "left").select(*docs.columns, "__each", "__names")
+    return both.mapInArrow(_merge(docs.columns.index(text)), schema)
+
+
+def n_hit(hits: str = "__hits") -> Column:
     """Number of hit words."""
     h = F.col(hits)
     return F.aggregate(
@@ -262,10 +267,16 @@ def n_hit(hits: str = "hits"):
     )
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """doc_id, n_words, hits (start and end of each hit word range, flat), n_hit and items of every row."""
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    found = marked(source, benchmark, **options)
+    return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__hits").alias("hits"), n_hit().alias("n_hit"), F.col("__items").alias("items"))
+
+
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256 and contaminated."""
-    found = contamination(docs, benchmark).withColumn("n_hit", n_hit())
-    return found.select(
+    return contamination(docs, benchmark).select(
         "doc_id",
         "n_words",
         "n_hit",
@@ -276,30 +287,49 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` without its contaminated rows, columns unchanged.
+    """``docs`` without its contaminated rows, columns unchanged."""
+    found = marked(docs, benchmark, window, block_words)
+    return found.filter((n_hit() == 0) | (20 * n_hit() < F.col("__n_words"))).select(*docs.columns)
+
+
+def remove_spans(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    least_words: int = WINDOW,
+    most_cover: float = 0.5,
+    window: int = WINDOW,
+    block_words: int = BLOCK_WORDS,
+    text: str = "text",
+) -> DataFrame:
+    """``docs`` with hit spans of at least ``least_words`` words cut out of the text, from their first to their last word.
 
-    With one block of items the rows are filtered as they are scanned; with
-    more, an anti-join drops what :func:`contamination` finds over all blocks.
+    Rows of whose words a share above ``most_cover`` is hit go. Columns stay.
     """
-    blocks = blocks_of(benchmark, block_words, "item_id", "text")
-    first, second = next(blocks, []), next(blocks, None)
-    if second is not None:
-        found = contamination(docs, benchmark, window, block_words).withColumn("n_hit", n_hit())
-        bad = found.filter((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
-    ship(docs.sparkSession)
-    scan = _scan(Automaton(first, window))
-    ids, text = docs.columns.index("doc_id"), docs.columns.index("text")
+    at = docs.columns.index(text)
+    found = marked(docs, benchmark, window, block_words, text).filter(n_hit() <= F.lit(most_cover) * F.col("__n_words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pair = pa.RecordBatch.from_arrays([batch.column(ids), batch.column(text)], names=["doc_id", "text"])
-            for found in scan(iter([pair])):
-                hit = [sum(h[1::2]) - sum(h[::2]) for h in found.column(3).to_pylist()]
-                keep = [n == 0 or 20 * n < w for n, w in zip(hit, found.column(2).to_pylist(), strict=True)]
-                yield batch.filter(pa.array(keep, pa.bool_()))
+            texts = []
+            for t, hits in zip(batch.column(at), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                spans = [(a, b) for a, b in zip(hits[::2], hits[1::2], strict=True) if b - a >= least_words]
+                texts.append(cut(t.as_py(), spans) if spans else t.as_py())
+            columns = [*batch.columns[:-1]]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return found.select(*docs.columns, "__hits").mapInArrow(run, docs.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """A text without the word ranges."""
+    raw = text.encode()
+    words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(raw[at : words.starts[a]])
+        at = int(words.ends[b - 1])
+    return b"".join([*kept, raw[at:]]).decode()
 
 
 def brute_force(text: str | None, items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[int, int, list[str], str]:
@@ -318,5 +348,3 @@ def brute_force(text: str | None, items: list[tuple[str, str | None]], window: i
                     found.add(str(item))
     names = sorted(found)
     return len(words), len(hit), names, hashlib.sha256(",".join(names).encode()).hexdigest()
-
-

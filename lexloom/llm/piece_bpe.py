@@ -7,8 +7,9 @@ first cut where no piece can reach across (a piece has U+2581 only at its
 front, and only some characters stand side by side in pieces),
 which leaves the result unchanged and lets equal stretches share one encoding.
 Short stretches keep the agenda as a list of pair scores, long ones as a heap.
-New stretches of an Arrow batch are checked against the
-sentencepiece library in one call; a difference raises.
+All new stretches of an Arrow batch are checked against the
+sentencepiece library, encoding and decoding, in one call each; a difference
+raises.
 
 Supported models: type BPE, identity normalisation, dummy prefix, no removal
 of white space, byte fallback; others are refused. Null counts as empty, and
@@ -83,7 +84,6 @@ class MergeTokenizer:
             self.eos = i if p.piece == (spec.eos_piece or "</s>") else self.eos
         self.pairs = {pair for p in self.ids for pair in zip(p, p[1:])}
         self.inner: dict[str, bytes] = {}
-        self.unchecked: set[str] = set()
         self.library = sentencepiece.SentencePieceProcessor(model_proto=raw) if check else None
         self.known: dict[str, bytes] = {}
 
@@ -104,7 +104,6 @@ class MergeTokenizer:
             ids = known.get(part)
             if ids is None:
                 ids = pack("<%dI" % len(m := self.merge(part)), *m)
-                self.unchecked.add(stretch)
                 if len(known) < REMEMBERED and len(part) <= LONGEST:
                     known[part] = ids
             out.append(ids)
@@ -189,13 +188,21 @@ class MergeTokenizer:
         return b"".join(out)
 
     def settle(self, fresh: dict[str, bytes]) -> None:
-        """Check a batch's new stretches that have new parts against the library, then remember them."""
-        names = [s for s in self.unchecked if s[0] == MARK]
-        self.unchecked.clear()
+        """Check a batch's new stretches against the library, both ways, then remember them.
+
+        A text's later stretches start with the mark that its spaces are; only
+        the mark itself, alone, cannot be given to the library as a text.
+        """
+        names = [s for s in fresh if s[0] == MARK and len(s) > 1]
         if self.library is not None and names:
-            for s, ids in zip(names, self.library.encode([s[1:].replace(MARK, " ") for s in names], num_threads=1), strict=True):
-                if np.asarray(ids, "<u4").tobytes() != fresh[s] and len(s) > 1:
+            plain = [s[1:].replace(MARK, " ") for s in names]
+            found = self.library.encode(plain, num_threads=1)
+            for s, ids in zip(names, found, strict=True):
+                if pack("<%dI" % len(ids), *ids) != fresh[s]:
                     raise ValueError(f"the library encodes {s[:200]!r} differently")
+            for s, ids, text in zip(names, found, self.library.decode(found, num_threads=1), strict=True):
+                if self.decode(ids) != text:
+                    raise ValueError(f"the library decodes {s[:200]!r} differently")
         room = REMEMBERED - len(self.known)
         for s, ids in fresh.items():
             if room <= 0:

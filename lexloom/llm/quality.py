@@ -3,10 +3,11 @@
 1. Every text becomes a short vector of document statistics (shares of byte
    classes, word lengths, repetition, entropy), computed from the whole text.
 2. Random Fourier features approximate a Gaussian kernel over the standardised
-   vectors. Partitions sum the normal equations of the labelled rows; the sums
-   give ridge weights.
-3. Isotonic regression over fixed bins of the raw score, on labelled rows that
-   the ridge fit has not seen, makes it a probability.
+   vectors. Partitions sum the normal equations of the labelled rows by fold;
+   the sums give ridge weights, and weights without each fold.
+3. Isotonic regression over fixed bins of the raw score makes it a probability.
+   Each labelled row enters it with the score of the fit that has not seen its
+   fold.
 
 Labels are learned from a bounded sample: at most about ``TRAIN_ROWS`` labelled
 rows, chosen by a hash of doc_id. Only statistics of the text are inputs of a
@@ -36,7 +37,7 @@ from lexloom.session import ship, written
 TRAIN_ROWS = 200_000
 #: Random features, kernel width in standard deviations, ridge, parts that sum the equations.
 FEATURES, WIDTH, RIDGE, PARTS = 384, 4.0, 1e-3, 8
-BINS = 400
+BINS, FOLDS = 400, 4
 
 #: Byte classes of the statistics.
 CLASSES = {
@@ -198,43 +199,45 @@ def fit(rows: DataFrame, n_features: int = FEATURES, width: float = WIDTH, ridge
     omega, phase = rng.normal(size=(k, n_features)) / width, rng.uniform(0, 2 * np.pi, n_features)
     d = n_features + k + 1
 
-    def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, right = np.zeros((d, d)), np.zeros(d)
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
             x = np.asarray(batch.column(0).flatten()).reshape(-1, k)
-            y = np.asarray(batch.column(1))
-            use = np.asarray(batch.column(2)) < 75
-            f = features(np.clip((x[use] - mean) / scale, -8, 8), omega, phase)
-            gram += f.T @ f
-            right += f.T @ y[use]
-        yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], names=["gram", "rhs"])
-
-    gram, right = np.zeros((d, d)), np.zeros(d)
-    for r in rows.mapInArrow(equations, "gram binary, rhs binary").toLocalIterator():
-        gram += np.frombuffer(r[0]).reshape(d, d)
-        right += np.frombuffer(r[1])
+            yield features(np.clip((x - mean) / scale, -8, 8), omega, phase), np.asarray(batch.column(1)), np.asarray(batch.column(2)) % FOLDS
+
+    def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, right = np.zeros((FOLDS, d, d)), np.zeros((FOLDS, d))
+        for f, y, fold in parts_of(batches):
+            for i in range(FOLDS):
+                use = fold == i
+                gram[i] += f[use].T @ f[use]
+                right[i] += f[use].T @ y[use]
+        for i in range(FOLDS):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i], pa.int32()), pa.array([gram[i].tobytes()], pa.binary()), pa.array([right[i].tobytes()], pa.binary())], names=["fold", "gram", "rhs"]
+            )
+
+    gram, right = np.zeros((FOLDS, d, d)), np.zeros((FOLDS, d))
+    for r in rows.mapInArrow(equations, "fold int, gram binary, rhs binary").toLocalIterator():
+        gram[r[0]] += np.frombuffer(r[1]).reshape(d, d)
+        right[r[0]] += np.frombuffer(r[2])
     penalty = np.full(d, ridge * n)
     penalty[-1] = 1e-9
-    weights = np.linalg.solve(gram + np.diag(penalty), right)
+    every, rhs = gram.sum(axis=0) + np.diag(penalty), right.sum(axis=0)
+    weights = np.linalg.solve(every, rhs)
+    others = np.stack([np.linalg.solve(every - gram[i], rhs - right[i]) for i in range(FOLDS)], axis=1)
     edges = np.linspace(-0.5, 1.5, BINS)
-    model = Model(mean, scale, omega, phase, weights, edges, edges)
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, 2, BINS))
-        for batch in batches:
-            x = np.asarray(batch.column(0).flatten()).reshape(-1, k)
-            y, bucket = np.asarray(batch.column(1)), np.asarray(batch.column(2))
-            at = np.clip(np.rint((model.raw(x) + 0.5) / 2 * (BINS - 1)), 0, BINS - 1).astype(int)
-            for s, use in enumerate((bucket >= 75, bucket < 75)):
-                total[s, 0] += np.bincount(at[use], minlength=BINS)
-                total[s, 1] += np.bincount(at[use], y[use], minlength=BINS)
+        total = np.zeros((2, BINS))
+        for f, y, fold in parts_of(batches):
+            raw = (f @ others)[np.arange(len(y)), fold]
+            at = np.clip(np.rint((raw + 0.5) / 2 * (BINS - 1)), 0, BINS - 1).astype(int)
+            total[0] += np.bincount(at, minlength=BINS)
+            total[1] += np.bincount(at, y, minlength=BINS)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["bins"])
 
-    parts = [np.frombuffer(r[0]).reshape(3, 2, BINS) for r in rows.mapInArrow(binned, "bins binary").collect()]
-    total = np.sum(parts, axis=0)
-    held = total[0] if total[0, 0].sum() >= 50 else total[0] + total[1]
-    model.levels = isotonic(edges, held[0], held[1])
-    return model
+    total = np.sum([np.frombuffer(r[0]).reshape(2, BINS) for r in rows.mapInArrow(binned, "bins binary").collect()], axis=0)
+    return Model(mean, scale, omega, phase, weights, edges, isotonic(edges, total[0], total[1]))
 
 
 def isotonic(edges: np.ndarray, count: np.ndarray, ones: np.ndarray) -> np.ndarray:

@@ -13,6 +13,7 @@ result. Very long texts are one row and stay whole.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -125,7 +126,7 @@ def _hot_windows(candidate: Column, c: EntropyClass) -> Column:
                 (acc["i"] + 1).alias("i"),
             ),
             lambda y: _let(
-                (y["i"] >= w) & (F.lit(LOG2[w]) - y["held"] / w >= c.bits),
+                (y["i"] >= w) & (F.lit(math.log2(w)) - y["held"] / w >= c.bits),
                 lambda hot: F.struct(
                     y["n"].alias("n"),
                     y["held"].alias("held"),
@@ -147,9 +148,6 @@ def _hot_windows(candidate: Column, c: EntropyClass) -> Column:
     )
 
 
-LOG2 = {20: 4.321928094887363, 16: 4.0, 24: 4.584962500721156, 32: 5.0}
-
-
 def _entropy(text: Column, c: EntropyClass, rank: int) -> Column:
     spans = _found(text, c.pattern, 0, c.window, c.kind, rank)
 

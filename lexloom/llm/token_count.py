@@ -14,9 +14,11 @@ between those, and equal stretches share one search.
 Public tokenizer files here have merge-type scores (ranks); ``unigram_model``
 turns the same pieces into a unigram model with score -ln(id + 1), rounded to a
 sixteenth, which the library loads too and against which the counts are tested.
-Sums of such scores are exact here. The library adds in 32 bits, which is exact
-down to a sum of -2**20, some 130,000 pieces; a longer text's sums are rounded
-there, and its ties may fall differently.
+The library adds scores in 32 bits. While a text's sums are exact in 32 bits
+(multiples of some power of two, within 2**24 of them; for sixteenths some
+130,000 pieces), a stretch's search does not depend on where it stands and is
+remembered; from there on, and for scores of any other kind, every stretch is
+searched with the 32-bit sums that the library has at its place.
 
 Null counts as empty: 0 tokens. Begin and end ids are not counted. Repeated
 rows give repeated results; other columns are ignored; an empty table gives an
@@ -32,6 +34,7 @@ import math
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,37 +77,53 @@ class Counter:
             self.automaton.add_word(p.piece, (len(p.piece), p.score))
             lowest = min(lowest, p.score)
         self.automaton.make_automaton()
-        self.unknown = lowest - UNK_PENALTY
-        self.known: dict[str, int] = {}
-
-    def search(self, stretch: str) -> int:
-        """Pieces of the best path over a stretch."""
+        self.unknown = float(np.float32(lowest - UNK_PENALTY))
+        #: sums of scores are exact in 32 bits up to here; 0 if the scores have no common step
+        steps = [s for s in (2.0**-k for k in range(12)) if all((p.score / s).is_integer() for p in model.pieces if p.type == 1) and (self.unknown / s).is_integer()]
+        self.exact = 2**24 * steps[0] if steps else 0.0
+        #: stretch -> pieces and score of its best path
+        self.known: dict[str, tuple[int, float]] = {}
+
+    def search(self, stretch: str) -> tuple[int, float]:
+        """Pieces and score of the best path over a stretch that starts at 0."""
         n = len(stretch)
         best, count = [0.0] * (n + 1), [0] * (n + 1)
+        self._walk(stretch, best, count, float)
+        return count[n], best[n]
+
+    def search_from(self, stretch: str, base: np.float32) -> tuple[int, np.float32]:
+        """Pieces of the best path over a stretch, and the 32-bit sum at its end, from the sum before it."""
+        n = len(stretch)
+        best, count = [base] * (n + 1), [0] * (n + 1)
+        self._walk(stretch, best, count, np.float32)
+        return count[n], best[n]
+
+    def _walk(self, stretch: str, best: list, count: list[int], add) -> None:
+        """Best sums and piece counts at every place; ``add`` rounds a sum."""
+        n = len(stretch)
         at, found, alone = 1, False, False
         for end, (length, score) in self.automaton.iter(stretch):
             j = end + 1
             while at < j:
                 if not alone:
-                    self._unknown(stretch, best, count, at, found)
+                    self._unknown(stretch, best, count, at, found, add)
                 at += 1
                 found = alone = False
             i = j - length
-            c = best[i] + score
+            c = add(best[i] + score)
             if not found or c > best[j]:
                 best[j], count[j], found = c, count[i] + 1, True
             if length == 1:
                 alone = True
         while at <= n:
             if not alone:
-                self._unknown(stretch, best, count, at, found)
+                self._unknown(stretch, best, count, at, found, add)
             at += 1
             found = alone = False
-        return count[n]
 
-    def _unknown(self, stretch: str, best: list[float], count: list[int], j: int, found: bool) -> None:
+    def _unknown(self, stretch: str, best: list, count: list[int], j: int, found: bool, add) -> None:
         """The character that ends at j as an unknown one: as many tokens as bytes."""
-        c = best[j - 1] + self.unknown
+        c = add(best[j - 1] + self.unknown)
         if not found or c > best[j]:
             best[j], count[j] = c, count[j - 1] + len(stretch[j - 1].encode())
 
@@ -114,6 +133,8 @@ class Counter:
             return 0
         known = self.known
         stretches = STRETCH.findall(MARK + text.replace(" ", MARK))
+        if not self.exact:
+            return self._count_from(stretches)
         got = list(map(known.get, stretches))
         if None in got:
             for k, g in enumerate(got):
@@ -122,7 +143,16 @@ class Counter:
                     g = got[k] = known.get(s) or self.search(s)
                     if len(known) < 2 * REMEMBERED and len(s) <= LONGEST:
                         known[s] = g
-        return sum(got)
+        if len(text) * -self.unknown > self.exact and sum(g[1] for g in got) - max(map(len, stretches)) * -self.unknown < -self.exact:
+            return self._count_from(stretches)
+        return sum(g[0] for g in got)
+
+    def _count_from(self, stretches: list[str]) -> int:
+        total, base = 0, np.float32(0)
+        for s in stretches:
+            n, base = self.search_from(s, base)
+            total += n
+        return total
 
 
 _LOADED: dict[str, Counter] = {}

@@ -134,11 +134,32 @@ def test_decontaminate_brute_force(spark, block):
     items = [("1", " ".join(words(20, 5, 6))), ("2", " ".join(words(13, 6, 6))), ("10", "Short ONE"), ("10", "short one"), ("3", None), ("4", "!!"), ("5", " ".join(words(30, 7, 6)))]
     texts = [*AWKWARD, items[0][1], "x " + items[0][1].upper() + " y", "a short one, short", " ".join(words(400, 8, 6)), (items[4][1] or "") + " " + (items[6][1])]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    found = decontaminate.contamination(frame(spark, texts).coalesce(1), bench, block_words=block).withColumn("n_hit", decontaminate.n_hit())
-    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in found.collect()}
+    docs = frame(spark, texts)
+    # rows come from a shuffle, twice each
+    found = decontaminate.contamination(docs.unionAll(docs).repartition(5), bench, block_words=block)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.doc_id, []).append((r.n_words, r.n_hit, list(r["items"])))
     for i, t in enumerate(texts):
+        assert len(got[i]) == 2 and got[i][0] == got[i][1]
         if t is not LONG:
-            assert got[i] == decontaminate.brute_force(t, items)[:3], t
+            assert got[i][0] == decontaminate.brute_force(t, items)[:3], t
+    assert decontaminate.contamination(docs.limit(0), bench, block_words=block).count() == 0
+
+
+@pytest.mark.parametrize("block", [10_000, 20])
+def test_decontaminate_spans(spark, block):
+    """Spans above the length limit are cut, rows above the coverage limit go, by row and not by doc_id."""
+    one, two, short = " ".join(words(20, 5)), " ".join(words(30, 6)), " ".join(words(15, 7))
+    bench = spark.createDataFrame([(1, one), (2, two), (None, "a b"), (3, short)], "item_id long, text string")
+    rest = " ".join(words(100, 8))
+    rows = [(0, None), (1, f"{rest}, {one}! {rest} {two.upper().replace('É', 'é')}."), (1, rest), (2, two), (2, rest), (3, f"{rest} {short} end"), (4, "")]
+    docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, n_words int").repartition(3)
+    got = decontaminate.remove_spans(docs, bench, least_words=20, block_words=block)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(0, None), (1, f"{rest}, ! {rest} ."), (1, rest), (2, rest), (3, f"{rest} {short} end"), (4, "")], key=str)
+    kept = decontaminate.clean(docs, bench, block_words=block)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 4] and kept.columns == docs.columns
 
 
 def test_decontaminate_drops_only_contaminated(spark):
@@ -195,6 +216,54 @@ def test_isotonic_is_monotone():
     assert (np.diff(level) >= 0).all() and level.min() >= 0 and level.max() <= 1
 
 
+def test_quality_equals_plain_ridge(spark):
+    """Weights and calibration of the summed equations against numpy over all rows at once."""
+    docs, labels = labelled(spark, 300)
+    stats = quality.stats_table(docs)
+    rows = quality.training_rows(stats, labels, "quality", quality.F.lit(True), 10_000)
+    model = quality.fit(rows)
+    got = rows.collect()
+    x, y, fold = np.array([r.stats for r in got]), np.array([r.y for r in got]), np.array([r.bucket for r in got]) % quality.FOLDS
+    mean, scale = x.mean(0), x.std(0)
+    scale[scale < 1e-5] = 1
+    f = quality.features(np.clip((x - mean) / scale, -8, 8), model.omega, model.phase)
+    ridge = np.diag([quality.RIDGE * len(y)] * (f.shape[1] - 1) + [1e-9])
+    assert np.allclose(model.raw(x), f @ np.linalg.solve(f.T @ f + ridge, f.T @ y), atol=1e-5)
+    raw = np.zeros(len(y))
+    for i in range(quality.FOLDS):
+        m = fold != i
+        raw[~m] = f[~m] @ np.linalg.solve(f[m].T @ f[m] + ridge, f[m].T @ y[m])
+    at = np.clip(np.rint((raw + 0.5) / 2 * (quality.BINS - 1)), 0, quality.BINS - 1).astype(int)
+    level = quality.isotonic(model.edges, np.bincount(at, minlength=quality.BINS), np.bincount(at, y, minlength=quality.BINS))
+    assert np.allclose(model.levels, level)
+
+
+def test_toxicity_logit_by_loops():
+    """The looked-up convolution and pooling against nested loops."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 1 << 62, rng.integers(1, 30)).astype(np.uint64) * np.uint64(3) for _ in range(12)] * 4
+    net = toxicity.train(texts, np.array([1.0, 0.0] * 24))
+    net.compile()
+    for h in texts[:12]:
+        ids = net.ids(h)
+        z = net.bias
+        for i, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best = 0.0
+                for a in range(len(ids) - w + 1):
+                    r = sum(net.embed[ids[a + j]] @ net.kernels[i][j][:, f] for j in range(w)) + net.biases[i][f]
+                    best = max(best, r)
+                z += best * net.out[i * toxicity.FILTERS + f]
+        assert abs(z - net.logit(ids)) < 1e-3 * max(1, abs(z))
+
+
+def test_toxicity_repeated_labels(spark):
+    docs, _ = labelled(spark, 40)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.sample(docs, labels, "toxic", toxicity.F.lit(True), 100, 50)
+    assert sorted(r[1] for r in rows) == [0.0, 0.0, 1.0, 1.0]
+
+
 def test_toxicity_held_out(spark):
     docs, labels = labelled(spark)
     rows = toxicity.report(docs, labels).collect()
@@ -249,6 +318,43 @@ def test_counts_equal_library(spark, model):
     assert got == {i: len(sp.encode(t or "")) for i, t in enumerate(texts)}
 
 
+def test_counts_of_other_scores_and_long_texts(model):
+    """Scores without a common step, many equal scores, and texts beyond the exact 32-bit sums."""
+    import sentencepiece
+
+    rng = random.Random(9)
+    for kind in ("any", "few", "steep"):
+        proto = piece_bpe.read_model(token_count.unigram_model(model))
+        for p in proto.pieces:
+            if p.type == 1:
+                p.score = {"any": -rng.random() * 12, "few": -rng.randrange(1, 4), "steep": -rng.randrange(1, 400) * 256.0}[kind]
+        raw = proto.SerializeToString()
+        sp, counter = sentencepiece.SentencePieceProcessor(model_proto=raw), token_count.Counter(raw)
+        texts = ["".join(rng.choice("theraniog .é日") for _ in range(rng.randrange(200))) for _ in range(60)] + ["the rain on " * 3000]
+        assert [counter.count(t) for t in texts] == [len(sp.encode(t)) for t in texts]
+    raw = token_count.unigram_model(model)
+    sp, counter = sentencepiece.SentencePieceProcessor(model_proto=raw), token_count.Counter(raw)
+    for n in (20_000, 300_000):
+        text = "".join(rng.choice("theraniog é日") for _ in range(n))
+        assert counter.count(text) == len(sp.encode(text))
+
+
+def test_empty_tables(spark, model):
+    docs = frame(spark, [])
+    raw = token_count.unigram_model(model)
+    assert piece_bpe.encoded(docs, model).count() == token_count.token_counts(docs, raw).count() == secret_scan.report(docs).count() == 0
+
+
+def test_library_check_covers_known_parts(model):
+    tok = piece_bpe.MergeTokenizer(model)
+    tok.encode("the rain")
+    tok.inner["t"] = tok.inner.get("t", b"") + b"\x01\x00\x00\x00"
+    tok.inner["the"] = b"\x01\x00\x00\x00"
+    tok.inner["▁the"] = b"\x01\x00\x00\x00"
+    with pytest.raises(ValueError):
+        tok.encode("the" + "日" + " the" + "日" + "the")
+
+
 def test_wrong_models_are_refused(model):
     with pytest.raises(ValueError):
         piece_bpe.MergeTokenizer(token_count.unigram_model(model))

@@ -255,7 +255,7 @@ def similar_pairs(sets: list[np.ndarray], levels: list[np.ndarray], threshold: f
     return similar
 
 
-def links(nodes: list[int], similar: np.ndarray) -> list[tuple[int, int]]:
+def class_links(nodes: list[int], similar: np.ndarray) -> list[tuple[int, int]]:
     """(first, other) for every class of the similarity graph."""
     parent = list(range(len(nodes)))
 
@@ -280,7 +280,7 @@ def _verify(threshold: float):
 
         def close() -> None:
             if len(nodes) > 1:
-                out.extend(links(nodes, similar_pairs(sets, levels, threshold)))
+                out.extend(class_links(nodes, similar_pairs(sets, levels, threshold)))
 
         for batch in batches:
             for g, node, e, lv in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
@@ -355,10 +355,10 @@ def smallest(pairs: DataFrame) -> DataFrame:
 
 
 def large_star(edges: DataFrame) -> DataFrame:
-    """Every node links its larger neighbours to its smallest one."""
+    """Every node links its larger neighbours to its smallest one. Links may come several times."""
     pairs = edges.select(F.col("a").alias("node"), F.col("b").alias("near"))
     low = smallest(pairs.unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near"))))
-    return pairs.join(low, "node").select(F.col("low").alias("a"), F.col("near").alias("b")).distinct()
+    return pairs.join(low, "node").select(F.col("low").alias("a"), F.col("near").alias("b"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
@@ -369,27 +369,30 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select(F.col("low").alias("a"), F.col("node").alias("b"))).distinct()
 
 
-def print_of(edges: DataFrame) -> tuple:
-    """Number of links and a sum over them: equal for equal sets."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
+def all_stars(edges: DataFrame) -> bool:
+    """No node has two links from below, or links both ways."""
+    ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+        edges.select(F.col("a").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above"))
+    )
+    return ends.groupBy("node").agg(F.sum("below").alias("n"), F.max("above").alias("both")).filter("n > 1 OR n > 0 AND both > 0").isEmpty()
 
-def classes_of(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """node, root (smallest node) and label (smallest ``least``) of its connected component; only nodes with links.
 
-    Links are (a, b) with a before b. At the fixed point every node but the
-    root has one, to the root.
-    """
-    edges = written(small_star(edges.distinct()), "links")
-    before = print_of(edges)
-    while True:
+def stars(edges: DataFrame) -> DataFrame:
+    """Links (a, b), a before b, with the same connected components, each a star around its smallest node."""
+    edges = written(small_star(edges), "links")
+    while not all_stars(edges):
         edges = written(small_star(large_star(edges)), "links")
-        after = print_of(edges)
-        if after == before:
-            break
-        before = after
-    member = edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-    member = member.join(least, "node")
+    return edges
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """node and root (smallest node) of every node with links, from :func:`stars`."""
+    return links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
+def classes_of(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """node, root (smallest node) and label (smallest ``least``) of its connected component; only nodes with links (a, b), a before b."""
+    member = roots(stars(edges)).join(least, "node")
     label = member.groupBy("root").agg(F.min("least").alias("label"))
     return written(member.join(label, "root").select("node", "root", "label"), "labels")
 
@@ -416,11 +419,11 @@ def _members(docs: DataFrame, text: str, doc_id: str, threshold: float = THRESHO
     cold, hot = band_rows(nodes.select("node", "bands"), group)
     edges = verified(candidate_groups(cold, hot, group).select("gid", F.explode("members").alias("node")))
     if not hot.isEmpty():
-        parts = classes_of(edges, sets.select("node", F.col("node").alias("least")))
-        unmet = written(unmet_groups(hot, parts, group), "unmet")
+        connected = stars(edges)
+        unmet = written(unmet_groups(hot, roots(connected).withColumnRenamed("root", "label"), group), "unmet")
         few = written(unmet.select("node").distinct(), "unmet-nodes")
         some = sets.join(few.hint("broadcast"), "node", "left_semi") if few.count() <= SENT_KEYS else sets
-        edges = edges.unionByName(verified(unmet, some))
+        edges = connected.unionByName(verified(unmet, some))
     labels = classes_of(edges, least)
     classes = least.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("of"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("label")).alias("class_id"))
     kept = F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")

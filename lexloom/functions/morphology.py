@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,12 +17,13 @@ def longest_first(affixes: list[str]) -> list[str]:
 
 
 def _affix(word: Column, affixes: list[str], front: bool, spare: int) -> Column:
-    """The first affix in order that leaves more than ``spare`` characters, or ''."""
-    out = F.lit("")
-    for a in reversed(longest_first(affixes)):
-        fits = (word.startswith(a) if front else word.endswith(a)) & (F.length(word) > len(a) + spare)
-        out = F.when(fits, a).otherwise(out)
-    return out
+    """The longest affix that leaves more than ``spare`` characters, or ''."""
+    if not affixes:
+        return F.lit("")
+    any_of = "|".join(re.escape(a) for a in longest_first(affixes))
+    # the shortest stem that an affix follows leaves the longest affix
+    pattern = rf"(?s)\A({any_of})(?=.{{{spare + 1}}})" if front else rf"(?s)\A.{{{spare + 1},}}?({any_of})\z"
+    return F.regexp_extract(word, pattern, 1)
 
 
 def split_marked(word: Column) -> Column:

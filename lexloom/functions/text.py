@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import rules as R
@@ -103,6 +103,20 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns that are evaluated once however often they are used.
+
+    A generator of one row stands between the projections, which the optimizer
+    would otherwise merge by writing each expression out at every use.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def count_words(norm: Column) -> Column:
+    """Number of tokens of a line whose white space is normalised."""
+    return F.when(norm == "", 0).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1)
+
+
 def distinct_trigrams(t: Column) -> Column:
     """Share of distinct word 3-grams; at least three tokens."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 2, F.lit(1))), lambda i: F.array_join(F.slice(t, i, 3), " "))

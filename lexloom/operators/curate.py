@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import cleaners as C
 from lexloom.functions import rules as R
 from lexloom.functions import text as T
+from lexloom.session import written
 
 #: Leading hex digits of the order hash that make a bucket of a running sum.
 BUCKET_DIGITS = 3
@@ -33,19 +34,57 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(F.struct(*order, *[c for c in rest if c not in keys])).alias("__r")).select(*keys, "__r.*").select(*df.columns)
 
 
+def cleaned_lines(lines: DataFrame) -> DataFrame:
+    """Every line with norm, clean, n_in, n_out, h (hash of clean) and the reason that its own text gives.
+
+    ``lines`` has corpus, doc_id, pos and line. Each step is evaluated once.
+    """
+    out = T.once(lines, norm=T.normalize_ws(F.col("line")))
+    out = T.once(out, clean=C.cleaned(F.col("corpus"), F.col("norm")))
+    return T.once(
+        out,
+        n_in=T.count_words(F.col("norm")),
+        n_out=T.count_tokens(F.col("clean")),
+        h=T.line_hash(F.col("clean")),
+        reason=C.line_reason(F.col("norm"), F.col("clean")),
+    )
+
+
 def phase1(lines: DataFrame) -> DataFrame:
-    """Every line with norm, clean, n_in, n_out and reason (null: kept).
+    """:func:`cleaned_lines` with later copies of a corpus's text marked; a null reason keeps a line.
 
-    ``lines`` has corpus, doc_id, pos and line.
+    Cleaned lines are written once, as the marking reads them twice.
     """
-    out = lines.withColumn("norm", T.normalize_ws(F.col("line")))
-    out = out.withColumn("n_in", T.count_tokens(F.col("norm"))).withColumn("clean", C.cleaned(F.col("corpus"), F.col("norm")))
-    out = out.withColumn("reason", C.line_reason(F.col("norm"), F.col("clean"))).withColumn("h", T.line_hash(F.col("clean")))
+    out = written(cleaned_lines(lines), "cleaned")
     # dropped lines get a key of their own, so they are no copies of each other
     key = F.when(F.col("reason").isNull(), F.col("h")).otherwise(F.concat_ws("#", F.lit("-"), "doc_id", "pos"))
     out = mark_first(out.withColumn("key", key), ["corpus", "key"], ["doc_id", "pos"])
     reason = F.when(F.col("reason").isNull() & ~F.col("first"), "exact_duplicate").otherwise(F.col("reason"))
-    return out.withColumn("reason", reason).withColumn("n_out", T.count_tokens(F.col("clean"))).drop("key", "first")
+    return out.withColumn("reason", reason).drop("key", "first")
+
+
+def text_counts(lines: DataFrame) -> DataFrame:
+    """corpus, reason, h (of kept texts), n lines, n_in tokens of all of them and n_out of one."""
+    out = cleaned_lines(lines).select("corpus", "reason", F.when(F.col("reason").isNull(), F.col("h")).alias("h"), "n_in", "n_out")
+    return out.groupBy("corpus", "reason", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("n_in").alias("n_in"), F.max("n_out").alias("n_out"))
+
+
+def phase1_stats(lines: DataFrame) -> DataFrame:
+    """:func:`stats` of phase 1 without marking any line: one of each kept text stays."""
+    kept_text = F.col("reason").isNull()
+    return text_counts(lines).groupBy("corpus").agg(
+        F.sum("n").alias("input_lines"),
+        F.sum("n_in").alias("input_tokens"),
+        F.sum(F.when(kept_text, 1).otherwise(0)).alias("output_lines"),
+        F.sum(F.when(kept_text, F.col("n_out")).otherwise(0)).cast("long").alias("output_tokens"),
+    )
+
+
+def phase1_reasons(lines: DataFrame) -> DataFrame:
+    """:func:`reasons` of phase 1 without marking any line: the further ones of a kept text are its copies."""
+    again = F.when(F.col("reason").isNull(), F.col("n") - 1).otherwise(F.col("n"))
+    out = text_counts(lines).select("corpus", F.coalesce("reason", F.lit("exact_duplicate")).alias("reason"), again.alias("n"))
+    return out.groupBy("corpus", "reason").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -139,7 +178,7 @@ def phase2(lines: DataFrame, total: int, seed: int = 42, near: float | None = No
     sampled = budget_prefix(lines, total, seed).select("corpus", "doc_id", "pos", "line", "n_tokens", *sample_order())
     marked = mark_first(sampled.withColumn("key", T.line_hash(F.col("line"))), ["key"], ["corpus_rank", "rank_hash", "doc_id", "pos"])
     reason = F.when(~F.col("first"), "global_duplicate").otherwise(C.content_reason(F.col("line")))
-    out = marked.withColumn("reason", reason).drop("key", "first").withColumn("n_in", F.col("n_tokens")).withColumn("n_out", F.col("n_tokens"))
+    out = T.once(marked, reason=reason).drop("key", "first").withColumn("n_in", F.col("n_tokens")).withColumn("n_out", F.col("n_tokens"))
     if near is not None:
         from lexloom.operators import neardup
 
@@ -151,7 +190,7 @@ def phase2(lines: DataFrame, total: int, seed: int = 42, near: float | None = No
 
 
 def scored(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("score", T.quality_score(F.col("line")))
+    return T.once(lines, score=T.quality_score(F.col("line")))
 
 
 def histogram(df: DataFrame) -> DataFrame:

@@ -79,16 +79,18 @@ def bigram_scores(long: DataFrame, corpus: DataFrame) -> DataFrame:
     pairs = chain.groupBy(F.col("g.prev").alias("prev"), F.col("g.word").alias("word")).agg(F.count(F.lit(1)).alias("c"))
     prevs = pairs.groupBy("prev").agg(F.sum("c").alias("cp"))
     size = pairs.agg(F.countDistinct("word").alias("v"))
-    keys = ["subset", "pair_id", "side", "text"]
-    asked = long.select(*keys, F.explode_outer(_bigrams(F.col("text"))).alias("g")).select(*keys, "g.prev", "g.word")
+    # the sizes go along, not the text: a row stands for one word
+    keys = ["subset", "pair_id", "side", "n_chars", "n_bytes"]
+    sized = long.select("subset", "pair_id", "side", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), _bigrams(F.col("text")).alias("grams"))
+    asked = sized.select(*keys, F.explode_outer("grams").alias("g")).select(*keys, "g.prev", "g.word")
     # one row with the size of the vocabulary
     joined = asked.join(pairs, ["prev", "word"], "left").join(prevs, "prev", "left").join(F.broadcast(size), F.lit(True))
     nll = -F.log((F.coalesce("c", F.lit(0)) + 1) / (F.coalesce("cp", F.lit(0)) + F.col("v")))
     return joined.groupBy("subset", "pair_id", "side").agg(
         F.sum(F.when(F.col("word").isNotNull(), -nll)).alias("lp"),
         F.count("word").cast("int").alias("n_tokens"),
-        F.max(F.length("text")).alias("n_chars"),
-        F.max(F.octet_length("text")).alias("n_bytes"),
+        F.max("n_chars").alias("n_chars"),
+        F.max("n_bytes").alias("n_bytes"),
     )
 
 

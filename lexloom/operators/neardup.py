@@ -57,16 +57,17 @@ def exact_pairs(lines: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFram
     return out.select("a", "b", F.round(j, 6).alias("similarity")).filter(j >= threshold)
 
 
-def greedy_resolve(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
+def greedy_resolve(pairs: DataFrame) -> DataFrame:
     """ids that are dropped: a row stays if no earlier row that stays is similar to it.
 
     ``pairs`` has a (earlier) and b (later). Each round drops what has a kept
-    earlier neighbour and keeps what has only dropped ones.
+    earlier neighbour and keeps what has only dropped ones, at least the first
+    undecided row, so it ends.
     """
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
     nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     state = written(nodes.withColumn("kept", F.lit(None).cast("boolean")), "greedy")
-    for _ in range(max_rounds):
+    while True:
         before = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a").groupBy(F.col("b").alias("id")).agg(
             F.max(F.coalesce("ka", F.lit(False))).alias("some_kept"), F.min(F.when(F.col("ka").isNull(), 0).otherwise(1)).alias("all_known")
         )
@@ -80,7 +81,6 @@ def greedy_resolve(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
         state = written(decided, "greedy")
         if state.filter("kept IS NULL").isEmpty():
             return state.filter("NOT kept").select("id")
-    raise RuntimeError(f"undecided rows after {max_rounds} rounds")
 
 
 def greedy_duplicates(lines: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:

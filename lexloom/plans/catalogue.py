@@ -20,8 +20,8 @@ from lexloom.sources import corpora
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-#: Budgets small enough that sampling has work at test sizes; parameters everywhere else.
-TARGET, SAMPLE, TOP = 60_000, 20_000, 0.70
+#: The curation command line's budgets of tokens and its share of best lines.
+TARGET, SAMPLE, TOP = 10_000_000, 1_000_000, 0.70
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -128,12 +128,12 @@ def phase1_reasons(spark, d):
   CAST(count(*) FILTER (reason IS NULL) AS BIGINT) AS output_lines, CAST(coalesce(sum(n_out) FILTER (reason IS NULL), 0) AS BIGINT) AS output_tokens FROM p1 GROUP BY corpus"""
 )
 def phase1_stats(spark, d):
-    return curate.stats(curate.phase1(I.lines(spark, d)))
+    return curate.phase1_stats(I.lines(spark, d))
 
 
 @query(f"WITH {I.PHASE1} SELECT corpus, reason, count(*) AS n FROM p1 WHERE reason IS NOT NULL GROUP BY ALL")
 def phase1_removed(spark, d):
-    return curate.reasons(curate.phase1(I.lines(spark, d)))
+    return curate.phase1_reasons(I.lines(spark, d))
 
 
 @query(f"WITH {I.LINES} SELECT doc_id, pos, round(length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) / length(line), 6) + 0.0 AS ratio FROM lines WHERE length(line) > 0 AND length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) / length(line) >= 0.6")
@@ -362,6 +362,7 @@ def pair_lengths(spark, d):
 
 
 def _sides(spark, d):
+    """Scores of both sides of all pairs; what reads them does so once."""
     docs = I.table(spark, d, "documents").filter("text IS NOT NULL").select("text")
     return minpair.bigram_scores(minpair.sides(I.pairs(spark, d)), docs)
 
@@ -529,11 +530,11 @@ def mix_dataset(spark, d):
 
 
 def _id_rows(spark, d):
-    return I.table(spark, d, "documents").select("doc_id", F.transform(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 40), lambda w: F.length(w) + 3).alias("ids"))
+    return I.table(spark, d, "documents").select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.length(w) + 3).alias("ids"))
 
 
-_IDS = "ids AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), ' ')[1:40], lambda w: length(w) + 3) AS ids FROM documents)"
-_BATCH = f"""{_IDS}, b AS (SELECT doc_id, doc_id % 8 AS shard, CAST(floor((row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) - 1) / 16) AS BIGINT) AS batch, ids[1:32] AS ids FROM ids),
+_IDS = "ids AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), ' '), lambda w: length(w) + 3) AS ids FROM documents)"
+_BATCH = f"""{_IDS}, b AS (SELECT doc_id, doc_id % 8 AS shard, CAST(floor((row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) - 1) / 16) AS BIGINT) AS batch, ids[1:1024] AS ids FROM ids),
 w AS (SELECT *, max(len(ids)) OVER (PARTITION BY shard, batch) AS width FROM b)"""
 
 
@@ -542,17 +543,17 @@ w AS (SELECT *, max(len(ids)) OVER (PARTITION BY shard, batch) AS width FROM b)"
   array_to_string(list_concat(ids, list_transform(range(width - len(ids)), lambda i: -100)), ' ') AS labels FROM w"""
 )
 def pad_batches(spark, d):
-    out = training.batches(_id_rows(spark, d), "ids", 16, shards=8, max_len=32)
+    out = training.batches(_id_rows(spark, d), "ids", 16, shards=8, max_len=1024)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
     return out.select("doc_id", "shard", "batch", "width", text("input_ids"), text("labels"))
 
 
-@query(f"WITH {_IDS} SELECT doc_id, array_to_string(list_concat([1], ids, [2])[1:20], ' ') AS framed, array_to_string(ids[1:len(ids) - 1], ' ') AS inputs, array_to_string(ids[2:], ' ') AS labels FROM ids")
+@query(f"WITH {_IDS} SELECT doc_id, array_to_string(list_concat([1], ids, [2])[1:1024], ' ') AS framed, array_to_string(ids[1:len(ids) - 1], ' ') AS inputs, array_to_string(ids[2:], ' ') AS labels FROM ids")
 def frame_shift(spark, d):
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
     ids = F.col("ids")
     x, y = training.shifted(ids)
-    return _id_rows(spark, d).select("doc_id", text(training.truncated(training.framed(ids, 1, 2), 20)).alias("framed"), text(x).alias("inputs"), text(y).alias("labels"))
+    return _id_rows(spark, d).select("doc_id", text(training.truncated(training.framed(ids, 1, 2), 1024)).alias("framed"), text(x).alias("inputs"), text(y).alias("labels"))
 
 
 @query("WITH m AS (SELECT doc_id, CAST(floor(doc_id / 16) AS BIGINT) AS batch, doc_id % 7 = 0 AS is_pair FROM documents) SELECT doc_id, batch, is_pair FROM m QUALIFY NOT bool_or(is_pair) OVER (PARTITION BY batch) OR is_pair")
@@ -649,7 +650,7 @@ def near_dup_exact_pairs(spark, d):
 @query()
 def near_dup_minhash(spark, d):
     """Lines kept by the greedy rule over MinHash candidates (rows only)."""
-    kept = curate.keep_first(I.lines(spark, d).withColumn("h", X.line_hash(F.col("line"))), ["h"], ["doc_id", "pos"]).drop("h").filter(F.length("line") >= R.MIN_CHARS)
+    kept = curate.keep_first(I.lines(spark, d).withColumn("h", X.line_hash(F.col("line"))), ["h"], ["doc_id", "pos"]).drop("h")
     keyed = kept.withColumn("id", F.xxhash64("doc_id", "pos")).withColumn("place", F.struct("doc_id", "pos"))
     return keyed.join(neardup.greedy_duplicates(keyed), "id", "left_anti").select("corpus", "doc_id", "pos")
 

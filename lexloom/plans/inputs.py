@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import rules as R
+from lexloom.functions import text as X
 from lexloom.sources import corpora
 
 
@@ -20,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """corpus, doc_id, pos, line."""
     raw = corpora.lines_from_documents(table(spark, sf_dir, "documents")).withColumn("pos", F.col("pos").cast("long"))
-    k, x = (F.col("doc_id") * 31 + F.col("pos")) % 11, F.col("line")
+    raw = X.once(raw.withColumnRenamed("line", "x"), k=(F.col("doc_id") * 31 + F.col("pos")) % 11)
+    k, x = F.col("k"), F.col("x")
     decorated = (
         F.when(k == 0, F.concat(F.lit("*CHI: "), x))
         .when(k == 1, F.concat(x, F.lit(" [laughs]")))
@@ -31,21 +33,20 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 6, F.concat(F.lit("<meta> "), x))
         .when(k == 7, F.concat(F.lit("  "), x, F.lit("\t ")))
         .when(k == 8, F.concat(x, F.lit(" www.example.org")))
-        .when(k == 9, F.concat(F.lit("{ a; } "), F.substring(x, 1, 30)))
+        .when(k == 9, F.concat(F.lit("{ a; } "), F.replace(x, F.lit(" "), F.lit("; "))))
         .otherwise(x)
     )
-    return raw.withColumn("line", decorated)
+    return X.once(raw, line=decorated).select("corpus", "doc_id", "pos", "line")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """subset, pair_id, sentence_good, sentence_bad from the first lines of documents.
+    """subset, pair_id, sentence_good, sentence_bad from the words of documents.
 
     The bad side swaps the first two words; every third one also loses its last
     word and every third one repeats it.
     """
-    first = F.substring_index("text", "\n", 1)
-    words = F.slice(F.filter(F.split(first, " "), lambda w: w != ""), 1, 12)
-    d = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).filter(F.size("w") >= 4)
+    words = F.filter(F.split("text", r"[ \n]+"), lambda w: w != "")
+    d = X.once(table(spark, sf_dir, "documents").select("doc_id", "text"), w=words).filter(F.size("w") >= 4)
     n, k = F.size("w"), F.col("doc_id") % 3
     tail = F.when(k == 0, F.slice("w", F.lit(3), n - 3)).when(k == 1, F.concat(F.slice("w", F.lit(3), n - 2), F.slice("w", n, F.lit(1)))).otherwise(F.slice("w", F.lit(3), n - 2))
     names = F.array(*[F.lit(s) for s in R.SUBSETS])
@@ -81,12 +82,12 @@ lines0 AS (
 lines AS (
   SELECT corpus, doc_id, pos, CASE (doc_id * 31 + pos) % 11 WHEN 0 THEN '*CHI: ' || x WHEN 1 THEN x || ' [laughs]' WHEN 2 THEN 'CHAPTER XI'
     WHEN 3 THEN '= = = ' || x || ' = = =' WHEN 4 THEN 'A: ' || x WHEN 5 THEN '00:00:01,000 --> 00:00:02,000' WHEN 6 THEN '<meta> ' || x
-    WHEN 7 THEN '  ' || x || chr(9) || ' ' WHEN 8 THEN x || ' www.example.org' WHEN 9 THEN '{{ a; }} ' || x[1:30] ELSE x END AS line
+    WHEN 7 THEN '  ' || x || chr(9) || ' ' WHEN 8 THEN x || ' www.example.org' WHEN 9 THEN '{{ a; }} ' || replace(x, ' ', '; ') ELSE x END AS line
   FROM lines0)"""
 
 PAIRS = f"""
 pair_words AS (
-  SELECT doc_id, list_filter(string_split(string_split(text, chr(10))[1], ' '), lambda w: w <> '')[1:12] AS w FROM documents WHERE text IS NOT NULL),
+  SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
 pairs AS (
   SELECT {_SUBSETS}[doc_id % {len(R.SUBSETS)} + 1] AS subset, doc_id AS pair_id, array_to_string(w, ' ') AS sentence_good,
     array_to_string(list_concat([w[2], w[1]], CASE doc_id % 3 WHEN 0 THEN w[3:len(w) - 1] WHEN 1 THEN list_concat(w[3:len(w)], [w[len(w)]]) ELSE w[3:len(w)] END), ' ') AS sentence_bad

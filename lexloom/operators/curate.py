@@ -248,13 +248,19 @@ def mixture_of(df: DataFrame, total: int) -> DataFrame:
     return target_table(df, total).join(got, "corpus", "left").select("corpus", "target", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
 
 
+def seeded_places(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with place, from 1, in the order ``h`` then ``order``, bucket by bucket of the leading digits of ``h``."""
+    keyed = df.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
+    counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
+    # at most 4096 buckets
+    before = counts.select("bucket", (F.sum("c").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("before"))
+    at = F.row_number().over(Window.partitionBy("bucket").orderBy("h", *order)) + F.col("before")
+    return keyed.join(F.broadcast(before), "bucket").withColumn("place", at).drop("bucket", "before")
+
+
 def hash_split(df: DataFrame, column: str, share: float = 0.9, seed: int = 42) -> DataFrame:
     """``df`` with split: the first floor(n * share) rows in seeded order are train, the rest validation."""
     n = df.count()
     head = int(n * share)
-    keyed = df.withColumn("h", T.order_hash(seed, F.col(column))).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
-    counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
-    before = counts.select("bucket", (F.sum("c").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("before"))
-    order = [F.col("h"), *[F.col(c) for c in df.columns]]
-    at = F.row_number().over(Window.partitionBy("bucket").orderBy(*order)) + F.col("before")
-    return keyed.join(F.broadcast(before), "bucket").withColumn("split", F.when(at <= head, "train").otherwise("validation")).drop("h", "bucket", "before")
+    placed = seeded_places(df.withColumn("h", T.order_hash(seed, F.col(column))), df.columns)
+    return placed.withColumn("split", F.when(F.col("place") <= head, "train").otherwise("validation")).drop("h", "place")

@@ -83,11 +83,11 @@ def bigram_scores(long: DataFrame, corpus: DataFrame) -> DataFrame:
     keys = ["subset", "pair_id", "side", "n_chars", "n_bytes"]
     sized = long.select("subset", "pair_id", "side", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), _bigrams(F.col("text")).alias("grams"))
     asked = sized.select(*keys, F.explode_outer("grams").alias("g")).select(*keys, "g.prev", "g.word")
-    # one row with the size of the vocabulary
-    joined = asked.join(pairs, ["prev", "word"], "left").join(prevs, "prev", "left").join(F.broadcast(size), F.lit(True))
-    nll = -F.log((F.coalesce("c", F.lit(0)) + 1) / (F.coalesce("cp", F.lit(0)) + F.col("v")))
-    return joined.groupBy("subset", "pair_id", "side").agg(
-        F.sum(F.when(F.col("word").isNotNull(), -nll)).alias("lp"),
+    # every distinct bigram is scored once; one row has the size of the vocabulary
+    need = asked.select("prev", "word").distinct().join(pairs, ["prev", "word"], "left").join(prevs, "prev", "left").join(F.broadcast(size), F.lit(True))
+    scored = need.select("prev", "word", F.log((F.coalesce("c", F.lit(0)) + 1) / (F.coalesce("cp", F.lit(0)) + F.col("v"))).alias("lp"))
+    return asked.join(scored, ["prev", "word"], "left").groupBy("subset", "pair_id", "side").agg(
+        F.sum("lp").alias("lp"),
         F.count("word").cast("int").alias("n_tokens"),
         F.max("n_chars").alias("n_chars"),
         F.max("n_bytes").alias("n_bytes"),

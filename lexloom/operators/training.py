@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.session import written
+
 
 def framed(ids: Column, bos: int | None = None, eos: int | None = None) -> Column:
     """begin + ids + end; -1 falls back to 1 and 2, None leaves it out."""
@@ -56,9 +58,17 @@ def batches(df: DataFrame, ids: str, size: int, shards: int = 1, max_len: int =
 
 
 def packed(df: DataFrame, ids: str = "ids", block: int = 64, order: str = "doc_id") -> DataFrame:
-    """Ids laid end to end in order and cut into blocks: block, pos and id."""
-    offset = F.sum(F.size(ids)).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.size(ids)
-    flat = df.withColumn("o", offset).select("o", F.posexplode(ids).alias("p", "id"))
+    """Ids laid end to end in order and cut into blocks: block, pos and id.
+
+    Ranges of rows are written once; a range starts where the sizes of those
+    before it end, so no window spans the table.
+    """
+    ranged = written(df.select(order, F.col(ids).alias("ids")).repartitionByRange(order).withColumn("range", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("range").agg(F.sum(F.size("ids")).alias("n"))
+    # one row per range
+    before = sums.select("range", (F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    inner = F.sum(F.size("ids")).over(Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.size("ids")
+    flat = ranged.join(F.broadcast(before), "range").withColumn("o", inner + F.col("before")).select("o", F.posexplode("ids").alias("p", "id"))
     at = F.col("o") + F.col("p")
     return flat.select(F.floor(at / block).alias("block"), (at % block).alias("pos"), "id")
 

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import rules as R
 from lexloom.functions import text as X
+from lexloom.session import spread
 from lexloom.sources import corpora
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

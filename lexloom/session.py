@@ -47,20 +47,35 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where no such setting exists (tests on one machine) is a temporary
-    folder made and set.
+    Only where no such setting exists, in a session on one machine, is a
+    temporary folder made and set; executors elsewhere could not read it.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = sc._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
+    if not found and sc.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="lexloom-shared-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def spread(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """``df``, dealt over the cores if it is one small file.
+
+    Such a file is often one row group, which one task reads whatever the split
+    size; everything after the scan would run in that task too. Tables of
+    several files, or above ``most_bytes``, are not shuffled.
+    """
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most_bytes
+    if not small or len(df.inputFiles()) != 1:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

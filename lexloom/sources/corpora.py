@@ -64,6 +64,7 @@ def read_corpora(spark: SparkSession, folder: str, suffix: str = ".train") -> Da
     """
     parts = None
     for name, path in present(spark, {c: f"{folder}/{c}{suffix}" for c in R.CORPORA}).items():
+        # a folder of text files is read like one file
         at = F.monotonically_increasing_id()
         one = spark.read.text(path).select(
             F.lit(name).alias("corpus"), F.shiftright(at, 33).alias("doc_id"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("pos"), F.col("value").alias("line")
@@ -93,7 +94,7 @@ def read_pairs(spark: SparkSession, folder: str, subsets: list[str] | None = Non
         return spark.createDataFrame([], "subset string, pair_id long, sentence_good string, sentence_bad string")
     rows = spark.read.schema(PAIR).json(list(paths.values()))
     return rows.select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl$", 1).alias("subset"), F.monotonically_increasing_id().alias("pair_id"), "sentence_good", "sentence_bad"
+        F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl(?:/[^/]*)?$", 1).alias("subset"), F.monotonically_increasing_id().alias("pair_id"), "sentence_good", "sentence_bad"
     )
 
 

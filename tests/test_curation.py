@@ -222,3 +222,26 @@ def test_pipeline_and_stream(spark, tmp_path):
     q.stop()
     batch = curate.phase1(lines).filter("reason IS NULL")
     assert spark.table("kept_stream").count() == batch.count()
+
+
+@pytest.mark.parametrize("spare", [0, 2])
+def test_affixes_are_the_longest_that_fit(spark, spare):
+    import random
+
+    from lexloom.functions import morphology as M
+    from lexloom.functions import rules as R
+
+    rng = random.Random(spare)
+    both = [*R.PREFIXES, *R.SUFFIXES]
+    words = [a + rng.choice(["", "x", "é😀", "xyz"]) + rng.choice(both) for a in both for _ in range(3)] + ["", "a", *both]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for affixes, front in ((R.PREFIXES, True), (R.SUFFIXES + R.INFLECTIONS, False)):
+        for r in df.select("w", M._affix(F.col("w"), affixes, front, spare).alias("a")).collect():
+            fits = (a for a in M.longest_first(affixes) if (r.w.startswith(a) if front else r.w.endswith(a)) and len(r.w) > len(a) + spare)
+            assert r.a == next(fits, ""), r.w
+
+
+def test_chain_longer_than_any_cap_resolves(spark):
+    """Rows in a chain: every second one stays, however long the chain is."""
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    assert sorted(r.id for r in neardup.greedy_resolve(pairs).collect()) == list(range(1, 61, 2))

@@ -55,6 +55,8 @@ ALLOW = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^[A-Za-z]+([-_/][A-Za-z]+)*([-_/]?[0-9]{1,4})?$",
 )
+#: Matches that are folded at once.
+CHUNK = 256
 SPAN = "array<struct<start:bigint,rank:int,kind:string,stop:bigint>>"
 
 
@@ -71,7 +73,6 @@ def _found(text: Column, pattern: str, group: int, least: int, kind: str, rank:
         F.arrays_zip(gaps.alias("g"), whole.alias("m"), tested.alias("t")),
         lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(x["m"]).alias("m"), F.length(x["t"]).alias("t")),
     )
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["g"]
@@ -81,7 +82,18 @@ def _found(text: Column, pattern: str, group: int, least: int, kind: str, rank:
             F.when(x["t"] >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"),
         )
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda a: a["out"])).otherwise(F.array().cast(SPAN))
+    # appending copies the list, so matches are folded in chunks and only the chunks' lists are gathered
+    def chunk(acc: Column, part: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), F.array().cast(SPAN).alias("out"))
+        return _let(F.aggregate(part, start, step), lambda r: F.struct(r["at"].alias("at"), F.array_append(acc["out"], r["out"]).alias("out")))
+
+    def folded(every: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(every) - 1) / CHUNK).cast("int"))
+        chunks = F.transform(starts, lambda i: F.slice(every, i * CHUNK + 1, F.lit(CHUNK)))
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.aggregate(chunks, start, chunk, lambda a: F.flatten(a["out"]))
+
+    return F.when(text.rlike(pattern), _let(parts, folded)).otherwise(F.array().cast(SPAN))
 
 
 def _bits(count: Column) -> Column:

@@ -415,6 +415,24 @@ def test_secret_spans(spark):
         assert bool(added) == (r.doc_id in (13, 15)), (t[:80], added)
 
 
+def test_secrets_many_matches(spark):
+    """A text of more matches than one chunk holds: every span, in time that grows with the text."""
+    import time
+
+    text = "pässe token=abcdef1 " * 20_000
+    start = time.time()
+    r = secret_scan.report(frame(spark, [text])).first()
+    assert time.time() - start < 20
+    spans = r.spans.split(",")
+    assert r.n_assign == 20_000 and spans[0] == "assign:6:19" and spans[-1] == f"assign:{20 * 19_999 + 6}:{20 * 19_999 + 19}"
+
+
+def test_secret_windows_of_any_size(spark):
+    one = (secret_scan.EntropyClass("ent_x", r"[A-Za-z0-9]{18,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 18, 3.0),)
+    rows = secret_scan.secret_spans(frame(spark, ["x q7Rt2Lm9Xc4Vb8Nz1Ks6 y"]), classes=one).first()["secret_spans"]
+    assert [(s.kind, s.start, s.stop) for s in rows] == [("ent_x", 2, 22)]
+
+
 # ------------------------------------------------------------------ 9
 
 

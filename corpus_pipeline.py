@@ -9,6 +9,13 @@ last keep the columns of ``documents``.
 3. near dedup: of a class of near-duplicates the smallest doc_id stays.
 4. decontamination: documents of which the benchmark covers a twentieth go.
 5. encoding: token counts and digests of ids and decoded text.
+
+Stages work on rows: rows that share a doc_id are judged one by one, and of
+equal rows one stays. Null counts as an empty text, which is scored, is a copy
+of other empty texts in stage 2, and has no words for stages 3 and 4. A null
+doc_id comes after all others where the smallest is looked for; such rows teach
+the classifier nothing. Further columns pass through stages 1 to 4 under their
+names, whatever those are. An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -51,7 +58,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encode", encode_stage),
 ]
 
-#: SQL cannot express the classifier, the sampling or the tokenizer; the tests compare with a brute-force version.
+#: SQL cannot express the classifier, the sampling or the tokenizer; a test compares run() with a brute-force version.
 ORACLE_SQL: str | None = None
 
 

@@ -481,16 +481,11 @@ def test_chains_of_any_length(spark, n):
     assert near_dedup.classes_of(edges.limit(0), least).count() == 0
 
 
-@pytest.mark.parametrize("n", [190, 210])
-def test_near_classes_all_pairs(spark, n):
-    """The classes of comparing all pairs by the weighted similarity, on either side of 200 rows."""
-    rng = random.Random(n)
-    bases = [words(rng.randrange(60, 200), 100 + i, 3000) for i in range(20)]
-    texts = [edited(b := rng.choice(bases), rng.randrange(len(b) // 12), i) for i in range(n)]
-    df = {}
-    bags = []
+def near_roots(texts):
+    """The smallest index of each text's class by comparing all pairs, and the classes that a pair within 0.003 of the threshold could change."""
+    n, df, bags = len(texts), {}, []
     for t in texts:
-        raw = t.encode()
+        raw = (t or "").encode()
         h = near_dedup.shingles(near_dedup.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hashes, 5)
         bags.append(dict(zip(*(x.tolist() for x in np.unique(h, return_counts=True)), strict=True)))
         for x in bags[-1]:
@@ -508,12 +503,23 @@ def test_near_classes_all_pairs(spark, n):
         for j in range(i):
             both = sum(min(bags[i][x], bags[j][x]) * weight[x] for x in bags[i].keys() & bags[j].keys())
             union = sum(c * weight[x] for b in (bags[i], bags[j]) for x, c in b.items()) - both
+            if not both:
+                continue
             if abs(both / union - 0.8) < 0.003:
                 edge.add((i, j))
             elif both >= 0.8 * union and root(i) != root(j):
                 parent[max(root(i), root(j))] = min(root(i), root(j))
+    return root, {root(i) for pair in edge for i in pair}
+
+
+@pytest.mark.parametrize("n", [190, 210])
+def test_near_classes_all_pairs(spark, n):
+    """The classes of comparing all pairs by the weighted similarity, on either side of 200 rows."""
+    rng = random.Random(n)
+    bases = [words(rng.randrange(60, 200), 100 + i, 3000) for i in range(20)]
+    texts = [edited(b := rng.choice(bases), rng.randrange(len(b) // 12), i) for i in range(n)]
+    root, unsure = near_roots(texts)
     got = {r.doc_id: r.class_id for r in near_dedup.near_classes(frame(spark, texts).repartition(3)).collect()}
-    unsure = {root(i) for pair in edge for i in pair}
     assert len({root(i) for i in range(n)}) > 10 and len(unsure) < 20
     sure = [i for i in range(n) if root(i) not in unsure]
     assert len({(got[i], root(i)) for i in sure}) == len({got[i] for i in sure}), "texts of different classes were joined"
@@ -612,3 +618,74 @@ def test_pipeline(spark, tmp_path):
     good = {r.doc_id for r in labels.filter("quality = 1").collect()}
     assert 1000 in got and 1001 not in got and 1002 not in got
     assert len(good & got) > 0.95 * len(good) and len(got - good - {1000}) < 0.05 * len(good)
+
+
+def test_pipeline_brute_force(spark, tmp_path, model):
+    """run() against its stages by plain loops; only the quality scores are taken from the operator."""
+    import re
+
+    import corpus_pipeline
+    import sentencepiece
+
+    docs, labels = labelled(spark, 150)
+    rng = random.Random(5)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    good = [texts[r.doc_id] for r in labels.filter("quality = 1").collect()]
+    items = [(1, " ".join(words(30, 900))), (2, " ".join(words(13, 901)))]
+    extra = [t.replace(" ", "  ") for t in good[:8]] + [edited(t.split(), 1, 7) for t in good[5:20]]
+    extra += [f"{rng.choice(good)} {items[0][1]}", f"{good[3]} {good[4]} {items[1][1]}", items[1][1], None, "", "\t"]
+    for i, t in enumerate(extra):
+        texts[1000 + i] = t
+    rows = [(i, t, "en", "s", 1) for i, t in sorted(texts.items())]
+    every = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for name, df in (("documents", every), ("labels", labels), ("benchmark", bench)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    scores = {r.doc_id: r.predicted for r in quality.report(every, labels).collect()}
+    left = [(i, t) for i, t in sorted(texts.items()) if scores[i]]
+    seen = {}
+    for i, t in left:
+        seen.setdefault(re.sub(r"[\x20\x09-\x0d]+", " ", t or ""), (i, t))
+    left = sorted(seen.values(), key=lambda x: x[0])
+    root, unsure = near_roots([t for _, t in left])
+    plain = [(t or "").strip() for _, t in left]
+    left = [x for k, x in enumerate(left) if root(k) == k or not plain[k] or root(k) in unsure]
+    loose = {left[k][0] for k in range(len(left)) if unsure}
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    want = {}
+    for i, t in left:
+        n, hit, *_ = decontaminate.brute_force(t, [(str(k), b) for k, b in items])
+        if hit == 0 or 20 * hit < n:
+            ids = sp.encode(t or "", add_bos=True, add_eos=True)
+            want[i] = (len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert not loose, "the fixture has a pair at the threshold"
+    assert got == want and len(want) < len(texts) - 20
+
+
+def test_pipeline_stages_awkward(spark, tmp_path):
+    """Nulls, ties, repeated rows and clashing names in every stage, and the empty table."""
+    import corpus_pipeline
+
+    docs, labels = labelled(spark, 60)
+    a = " ".join(words(60, 70))
+    odd = [(i, t, "x", None) for i, t in ((None, a), (None, a), (5000, a), (5000, a), (5001, None), (5002, ""), (5002, "other " + a), (5003, "x"))]
+    every = docs.unionByName(spark.createDataFrame(odd, DOCS)).withColumnRenamed("hits", "node").withColumn("tag", quality.F.lit(3)).withColumn("score", quality.F.lit(None).cast("double"))
+    labels.unionByName(spark.createDataFrame([(None, 1, None), (5000, None, 1)], "doc_id long, quality int, toxic int")).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, "a b"), (1, None), (2, ""), (3, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, every, str(tmp_path))
+        rows = out.collect()
+        if name != "encode":
+            assert out.columns == every.columns and set(rows) <= set(every.collect()), name
+        kept = [(r.doc_id, r.text) for r in rows if r.doc_id is None or r.doc_id >= 5000] if name != "encode" else []
+        if name == "exact_dedup":
+            assert sorted(kept, key=str) == sorted([(5000, a), (5001, None), (5002, "other " + a), (5003, "x")], key=str) or sorted(kept, key=str) == sorted([(5000, a), (5002, ""), (5002, "other " + a), (5003, "x")], key=str)
+        if name == "near_dedup":
+            # texts without words are no copies; "other" adds one shingle of fifty-seven
+            assert sorted(kept, key=str) == sorted([(5000, a), (5001, None), (5002, ""), (5003, "x")], key=str)
+        if name == "decontaminate":
+            assert (5003, "x") not in kept and len(kept) == len(odd) - 1
+        if name == "encode":
+            assert len(rows) == every.count()
+        assert stage(spark, every.limit(0), str(tmp_path)).count() == 0, name

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import rules as R
 
+#: Fixed value: what counts as white space.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
-#: Characters that count as digits: decimal digits, superscripts and subscripts.
+#: Fixed value: characters that count as digits: decimal digits, superscripts and subscripts.
 DIGIT = r"\p{Nd}\x{B2}\x{B3}\x{B9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}"
 
 
@@ -53,8 +54,12 @@ def strip_edges(word: Column) -> Column:
     return F.regexp_replace(word, r"^[^\p{L}\p{N}_\s]+|[^\p{L}\p{N}_\s]+$", "")
 
 
+#: Fixed value: what makes a line one with an address.
+URL = r"(?i)https?://|www\.|\.com|\.org|\.net"
+
+
 def has_url(line: Column) -> Column:
-    return line.rlike(r"(?i)https?://|www\.|\.com|\.org|\.net")
+    return line.rlike(URL)
 
 
 def code_share(line: Column) -> Column:

@@ -84,4 +84,59 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM d LEFT JOIN found USING (doc_id)
 """
 
-ORACLES = {"op2_decontaminate": OP2, "op6_exact_dedup": OP6, "op7_secret_scan": OP7}
+
+
+def crc_table() -> list[int]:
+    """The remainders of all bytes under the reversed polynomial of crc32."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+_BYTES = "list_transform(generate_series(1, strlen({0})), lambda i: CAST(('0x' || hex(encode({0}))[2 * i - 1:2 * i]) AS BIGINT))"
+OP12 = f"""
+WITH crc AS (SELECT {crc_table()}::BIGINT[] AS t),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+said AS (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, n, xor(list_reduce(list_concat([4294967295], {_BYTES.format('s')}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM said, crc),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, CAST(h % length(run) AS INT)) || substring(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+k AS (SELECT word, n, word AS key FROM v UNION ALL SELECT DISTINCT word, n, substring(word, 1, CAST(i AS INT) - 1) || substring(word, CAST(i AS INT) + 1) FROM v, unnest(generate_series(1, length(word))) AS g(i)),
+near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM k a JOIN k b ON a.key = b.key AND a.word <> b.word WHERE levenshtein(a.word, b.word) = 1),
+best AS (SELECT word, any_value(n) AS n, count(*) AS n_near, max(m) AS top, min(other) FILTER (m = mx) AS other FROM (SELECT *, max(m) OVER (PARTITION BY word) AS mx FROM near) GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * v.n THEN other END AS form, CASE WHEN top >= 10 * v.n THEN top END AS form_n FROM v LEFT JOIN best USING (word)),
+{', '.join(f"r{i} AS (SELECT r.word, coalesce(f.form, r.root) AS root FROM r{i - 1} r LEFT JOIN f ON f.word = r.root)" if i else "r0 AS (SELECT word, word AS root FROM f)" for i in range(20))}
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r19 USING (word)
+"""
+
+
+def _vector_rounds(rounds: int) -> str:
+    """Assignments and codebooks of the rounds, then the last assignment."""
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"""
+a{k} AS (SELECT vec_id, label, p, x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+  SELECT s.*, b.e, coalesce(list_sum(list_transform(range(1, len(s.x) + 1), lambda i: (s.x[i] - b.x[i]) * (s.x[i] - b.x[i]))), 0) AS d FROM s JOIN b{k} b USING (p)) GROUP BY vec_id, label, p, x)""")
+        if k < rounds:
+            out.append(f"""
+m{k} AS (SELECT p, e, list(m ORDER BY i) AS x FROM (SELECT p, e, i, CAST(floor(sum(y) / count(*)) AS BIGINT) AS m FROM (
+  SELECT p, e, CAST(unnest(x) AS DOUBLE) AS y, generate_subscripts(x, 1) AS i FROM a{k}) GROUP BY p, e, i) GROUP BY p, e),
+b{k + 1} AS (SELECT p, e, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m USING (p, e))""")
+    return ",".join(out)
+
+
+OP13 = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT vec_id, label, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS x FROM v, range(8) AS g(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM s WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16)),
+{_vector_rounds(6)},
+c AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY vec_id, label),
+books AS (SELECT sha256(coalesce(string_agg(y, ',' ORDER BY p, e), '')) AS codebooks_sha256 FROM (SELECT p, e, array_to_string(x, ',') AS y FROM b6))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, books
+"""
+
+ORACLES = {"op2_decontaminate": OP2, "op6_exact_dedup": OP6, "op7_secret_scan": OP7, "op12_spelling": OP12, "op13_vector_codes": OP13}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, exact_dedup, html_extract, near_dedup, piece_bpe, quality, secret_scan, substring_dedup, token_count, toxicity
+from lexloom.llm import decontaminate, exact_dedup, html_extract, near_dedup, piece_bpe, quality, secret_scan, spelling, substring_dedup, token_count, toxicity, vector_codes, word_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.digests(table(spark, sf_dir, "documents"), piece_bpe.model_bytes(tokenizer_path("word_bpe_49k.json")))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -74,5 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_count,
         op9_near_dedup,
         op10_substring_dedup,
+        op11_word_bpe,
+        op12_spelling,
+        op13_vector_codes,
     )
 }

@@ -86,3 +86,13 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`written` made and nothing reads any more."""
+    spark = df.sparkSession
+    ours = f"{shared_dir(spark)}/lexloom/"
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        if ours.split(":", 1)[-1].lstrip("/") in folder:
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

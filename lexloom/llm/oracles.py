@@ -104,8 +104,8 @@ said AS (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, c
 h AS (SELECT run, n, xor(list_reduce(list_concat([4294967295], {_BYTES.format('s')}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM said, crc),
 w AS (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, CAST(h % length(run) AS INT)) || substring(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM h),
 v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
-k AS (SELECT word, n, word AS key FROM v UNION ALL SELECT DISTINCT word, n, substring(word, 1, CAST(i AS INT) - 1) || substring(word, CAST(i AS INT) + 1) FROM v, unnest(generate_series(1, length(word))) AS g(i)),
-near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM k a JOIN k b ON a.key = b.key AND a.word <> b.word WHERE levenshtein(a.word, b.word) = 1),
+k AS (SELECT word, n, 0 AS i, word AS key FROM v UNION ALL SELECT word, n, i, substring(word, 1, CAST(i AS INT) - 1) || substring(word, CAST(i AS INT) + 1) FROM v, unnest(generate_series(1, length(word))) AS g(i)),
+near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM k a JOIN k b ON a.key = b.key AND a.word <> b.word WHERE length(a.word) <> length(b.word) OR a.i = b.i),
 best AS (SELECT word, any_value(n) AS n, count(*) AS n_near, max(m) AS top, min(other) FILTER (m = mx) AS other FROM (SELECT *, max(m) OVER (PARTITION BY word) AS mx FROM near) GROUP BY word),
 f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * v.n THEN other END AS form, CASE WHEN top >= 10 * v.n THEN top END AS form_n FROM v LEFT JOIN best USING (word)),
 {', '.join(f"r{i} AS (SELECT r.word, coalesce(f.form, r.root) AS root FROM r{i - 1} r LEFT JOIN f ON f.word = r.root)" if i else "r0 AS (SELECT word, word AS root FROM f)" for i in range(20))}

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.text import Words, groups, texts_of
+from lexloom.llm.text import Words, groups, spare, texts_of
 from lexloom.session import ship, written
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -179,14 +179,10 @@ def _scan(automaton: Automaton, at: int):
     return run
 
 
-MARKS = T.StructType(
-    [T.StructField("__n_words", T.LongType()), T.StructField("__hits", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))]
-)
-
-
 def with_marks(batch: pa.RecordBatch, counts: list, hits: list, items: list) -> pa.RecordBatch:
+    """A batch with three further columns; Spark names them by their places."""
     marks = [pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-    return pa.RecordBatch.from_arrays([*batch.columns, *marks], names=[*batch.schema.names, *MARKS.names])
+    return pa.RecordBatch.from_arrays([*batch.columns, *marks], names=[*batch.schema.names, "n_words", "hits", "items"])
 
 
 def _merge(at: int):
@@ -194,7 +190,8 @@ def _merge(at: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, last = batch.select(batch.schema.names[:-2]), batch.num_columns
+            last = batch.num_columns
+            rows = pa.RecordBatch.from_arrays(batch.columns[:-2], names=batch.schema.names[:-2])
             data, offsets = texts_of(batch.column(at))
             counts: list[int] = []
             for a, b in groups(offsets):
@@ -238,28 +235,34 @@ def blocks_of(benchmark: DataFrame, block_words: int, item_id: str, text: str) -
 
 def marked(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text", item_id: str = "item_id", item_text: str = "text"
-) -> DataFrame:
-    """``docs`` with __n_words, __hits (start and end of each hit word range, flat) and __items (sorted)."""
+) -> tuple[DataFrame, str]:
+    """``docs`` with n_words, hits (start and end of each hit word range, flat) and items (sorted), and the prefix of their names.
+
+    The prefix begins no name of ``docs``, so no column is hidden or lost.
+    """
     ship(docs.sparkSession)
-    schema = T.StructType(docs.schema.fields + MARKS.fields)
+    own = spare(docs.columns)
+    row, each, names = own + "row", own + "each", own + "names"
+    marks = [T.StructField(own + "n_words", T.LongType()), T.StructField(own + "hits", T.ArrayType(T.LongType())), T.StructField(own + "items", T.ArrayType(T.StringType()))]
+    schema = T.StructType([*docs.schema.fields, *marks])
     blocks = blocks_of(benchmark, block_words, item_id, item_text)
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
-        return docs.mapInArrow(_scan(Automaton(first, window), docs.columns.index(text)), schema)
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    slim = numbered.select("__row", text)
-    passes = T.StructType(slim.schema.fields + MARKS.fields)
+        return docs.mapInArrow(_scan(Automaton(first, window), docs.columns.index(text)), schema), own
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    slim = numbered.select(row, text)
+    passes = T.StructType([*slim.schema.fields, *marks])
     found = None
     for block in chain((first, second), blocks):
-        hits = slim.mapInArrow(_scan(Automaton(block, window), 1), passes).filter(F.size("__items") > 0).select("__row", "__hits", "__items")
+        hits = slim.mapInArrow(_scan(Automaton(block, window), 1), passes).filter(F.size(own + "items") > 0).select(row, own + "hits", own + "items")
         hits = written(hits, "hits")
         found = hits if found is None else found.unionByName(hits)
-    listed = found.groupBy("__row").agg(F.collect_list("__hits").alias("__each"), F.collect_list("__items").alias("__names"))
-    both = numbered.join(listed, "__row", "left").select(*docs.columns, "__each", "__names")
-    return both.mapInArrow(_merge(docs.columns.index(text)), schema)
+    listed = found.groupBy(row).agg(F.collect_list(own + "hits").alias(each), F.collect_list(own + "items").alias(names))
+    both = numbered.join(listed, row, "left").select(*docs.columns, each, names)
+    return both.mapInArrow(_merge(docs.columns.index(text)), schema), own
 
 
-def n_hit(hits: str = "__hits") -> Column:
+def n_hit(hits: str) -> Column:
     """Number of hit words."""
     h = F.col(hits)
     return F.aggregate(
@@ -270,8 +273,8 @@ def n_hit(hits: str = "__hits") -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """doc_id, n_words, hits (start and end of each hit word range, flat), n_hit and items of every row."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = marked(source, benchmark, **options)
-    return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__hits").alias("hits"), n_hit().alias("n_hit"), F.col("__items").alias("items"))
+    found, own = marked(source, benchmark, **options)
+    return found.select("doc_id", F.col(own + "n_words").alias("n_words"), F.col(own + "hits").alias("hits"), n_hit(own + "hits").alias("n_hit"), F.col(own + "items").alias("items"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -288,8 +291,9 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without its contaminated rows, columns unchanged."""
-    found = marked(docs, benchmark, window, block_words)
-    return found.filter((n_hit() == 0) | (20 * n_hit() < F.col("__n_words"))).select(*docs.columns)
+    found, own = marked(docs, benchmark, window, block_words)
+    n = n_hit(own + "hits")
+    return found.filter((n == 0) | (20 * n < F.col(own + "n_words"))).select(*docs.columns)
 
 
 def remove_spans(
@@ -306,7 +310,8 @@ def remove_spans(
     Rows of whose words a share above ``most_cover`` is hit go. Columns stay.
     """
     at = docs.columns.index(text)
-    found = marked(docs, benchmark, window, block_words, text).filter(n_hit() <= F.lit(most_cover) * F.col("__n_words"))
+    found, own = marked(docs, benchmark, window, block_words, text)
+    found = found.filter(n_hit(own + "hits") <= F.lit(most_cover) * F.col(own + "n_words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,7 +323,7 @@ def remove_spans(
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return found.select(*docs.columns, "__hits").mapInArrow(run, docs.schema)
+    return found.select(*docs.columns, own + "hits").mapInArrow(run, docs.schema)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:

@@ -6,15 +6,19 @@ container it stands in. The ratio of text to tags per line is smoothed with a
 Gaussian, and two-means clustering of the smoothed ratios sets a threshold. The
 lines above it vote with their characters:
 
-1. Blocks whose class or id names a part that is no content are doubtful. Where
-   no article or main stands outside of them, one that holds most votes is
-   content after all. Others go if their name is a sure one (comments, adverts,
-   notices, sidebars and the like), else if their own ratio is below the
-   threshold; names of headers do not count inside an article or main, and an
-   article is doubtful only inside another, by a sure name.
-2. The container of the content is the innermost article or main with nearly
-   all votes, else with most, else the innermost container with nearly all. All
-   its lines are kept whatever their length.
+1. Blocks whose class or id names a part that is no content are doubtful. A
+   block goes if a whole class, or the last part of one, is a sure name
+   (comments, adverts, notices, sidebars and the like; ``reader-comments``).
+   Where such a word is another part of a name, or the name is one that content
+   may have too, the block goes if its own ratio is below the threshold; names
+   of headers do not count inside an article or main, and an article is doubtful
+   only inside another, by a sure name. Where no article or main stands outside
+   of doubtful blocks, one that holds most votes is content after all.
+2. The content is every outermost article or main with a vote, if together they
+   have at least half of all votes; else the smallest container that holds all
+   votes, and containers around it while they add nothing but headings and
+   paragraphs without links. All its lines are kept whatever their length, but for those of blocks
+   that go.
 
 Menus, headers, footers, sidebars, forms, scripts and styles that are elements
 or roles of their own are left out by the parser. Null and empty pages give an
@@ -54,31 +58,37 @@ DROPPED = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
 CLOSES_P = BLOCKS - {"body", "html"}
 
 
-def names(words: str) -> re.Pattern[str]:
-    return re.compile(rf"(?:^|[\s_-])(?:{'|'.join(words.split())})(?:$|[\s_-])", re.I)
+def names(words: str, part: str = "") -> re.Pattern[str]:
+    """Classes that are one of the words or end with one; with ``part`` = "any", that have one as any part."""
+    front, behind = r"(?:^|[\s_-])", r"(?:$|[\s_-])" if part == "any" else r"(?:$|\s)"
+    return re.compile(f"{front}(?:{'|'.join(words.split())}){behind}", re.I)
 
 
-SURE = names(
+SURE_NAMES = (
     r"ads? advert\w* sponsor\w* promo\w* breadcrumbs? sidebar cookies? consent gdpr popup modal newsletter subscribe comments? disqus replies respond"
 )
+SURE = names(SURE_NAMES)
 MAYBE = names(
-    r"banner nav\w* menu\w* side footer notice social share sharing related recommend\w* login signup search widget skip pagination pager toolbar copyright legal"
+    SURE_NAMES
+    + r" banner nav\w* menu\w* side footer notice social share sharing related recommend\w* login signup search widget skip pagination pager toolbar copyright legal",
+    "any",
 )
-HEADER = names("header masthead")
+HEADER = names("header masthead", "any")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
 SPACE = re.compile(r"\s+")
 
 
 class Line:
-    __slots__ = ("parts", "tags", "node", "doubt")
+    __slots__ = ("parts", "tags", "node", "doubt", "prose")
 
-    def __init__(self, node: int, doubt: int):
+    def __init__(self, node: int, doubt: int, prose: bool):
         self.parts: list[str] = []
         self.tags = 0
-        self.node, self.doubt = node, doubt
+        self.node, self.doubt, self.prose = node, doubt, prose
 
     def text(self) -> str:
         return SPACE.sub(" ", "".join(self.parts)).strip()
@@ -113,7 +123,7 @@ class Reader(HTMLParser):
 
     def _now(self) -> Line:
         if self.line is None:
-            self.line = Line(*self.stack[-1][2:]) if self.stack else Line(0, 0)
+            self.line = Line(*self.stack[-1][2:], self.stack[-1][0] in PROSE) if self.stack else Line(0, 0, False)
             self.lines.append(self.line)
         return self.line
 
@@ -176,6 +186,8 @@ class Reader(HTMLParser):
         self.depth += bad
         if not self.depth:
             self._now().tags += 1
+            if tag == "a":
+                self._now().prose = False
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -266,18 +278,31 @@ def extract(html: str | None, sigma: float = 1.0) -> str:
     for d in range(1, doubts):
         few = reader.plain or 2 * votes[d] < votes[0]
         out[d] = out[reader.outer_doubt[d]] or few and (d in reader.sure or chars[d] < cut * max(1, tags[d]))
-    # the container of the content; number 0 is the page
+    # the containers of the content; number 0 is the page
     own = [0.0] * len(reader.outer)
     for (line, _), v in zip(lines, voters, strict=True):
         own[line.node] += 0 if out[line.doubt] else v
     inner = summed(own, reader.outer)
     total = inner[0]
-    nearly = [c for c in range(1, len(inner)) if inner[c] >= 0.9 * total]
-    most = [c for c in reader.articles if inner[c] >= 0.6 * total]
-    best = max([c for c in nearly if c in reader.articles] or most or nearly, default=0)
-    inside = [best == 0] * len(inner)
+    outermost, top = set(), [False] * len(inner)
     for c in range(1, len(inner)):
-        inside[c] = c == best or inside[reader.outer[c]]
+        top[c] = top[reader.outer[c]] or c in reader.articles
+        if top[c] and not top[reader.outer[c]] and inner[c]:
+            outermost.add(c)
+    if not outermost or 2 * sum(inner[c] for c in outermost) < total:
+        # a container's number is above that of all around it
+        best = max(c for c in range(len(inner)) if inner[c] == total)
+        # per container: lines that are neither dropped nor prose, so that headings and paragraphs around the content join it
+        other = [0.0] * len(inner)
+        for line, _ in lines:
+            other[line.node] += not (out[line.doubt] or line.prose)
+        other = summed(other, reader.outer)
+        while best and other[reader.outer[best]] == other[best]:
+            best = reader.outer[best]
+        outermost = {best}
+    inside = [0 in outermost] * len(inner)
+    for c in range(1, len(inner)):
+        inside[c] = c in outermost or inside[reader.outer[c]]
     return "\n".join(t for line, t in lines if inside[line.node] and not out[line.doubt])
 
 

@@ -308,4 +308,4 @@ def digests(docs: DataFrame, model: bytes, check: bool = True) -> DataFrame:
                     schema=DIGEST,
                 )
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, DIGEST_SQL)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, DIGEST_SQL)

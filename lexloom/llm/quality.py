@@ -312,6 +312,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, learn: Column | None = None, t
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted; labels of held-out rows are not learned."""
+    """doc_id, held_out, score and predicted; labels of held-out rows are not learned.
+
+    A row without doc_id teaches nothing and so counts as held out.
+    """
     out = quality_scores(docs, labels, crc_rest("doc_id", 4) != 2)
-    return out.select("doc_id", (crc_rest("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(crc_rest("doc_id", 4) == 2, F.lit(True)).alias("held_out"), "score", "predicted")

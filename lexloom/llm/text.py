@@ -149,17 +149,26 @@ def row_tag(text: str) -> Column:
     return F.coalesce(F.xxhash64(F.col(text).cast("string")), F.lit(0))
 
 
+def spare(columns: list[str]) -> str:
+    """A prefix that begins none of the columns' names, for columns that stand beside them."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def only_rows(docs: DataFrame, kept: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """One row of ``docs`` for every ``of`` in ``kept`` (doc_id, tag, of), columns unchanged.
+    """One row of ``docs`` for every ``of`` in ``kept`` (doc_id, tag, of), columns unchanged whatever their names.
 
     Where several rows of an ``of`` are in ``kept``, one with the smallest tag stays.
     """
     chosen = written(kept.groupBy("of").agg(F.min(F.struct("tag", "doc_id")).alias("row"), F.count(F.lit(1)).alias("n")), "kept-rows")
-    rows = chosen.select(F.col("row.doc_id").alias("__id"), F.col("row.tag").alias("__tag"), "n")
-    same = F.col("__id").eqNullSafe(docs[doc_id].cast("long")) & (F.col("__tag") == F.col("__mark"))
-    marked = docs.withColumn("__mark", row_tag(text))
-    if rows.filter("n > 1").isEmpty():
-        return marked.join(rows.drop("n"), same, "left_semi").drop("__mark")
-    once = marked.join(rows.filter("n = 1").drop("n"), same, "left_semi")
-    ties = marked.join(rows.filter("n > 1").drop("n"), same, "left_semi").dropDuplicates([doc_id, "__mark"])
-    return once.unionByName(ties).drop("__mark")
+    mark, key, tag, n = (spare(docs.columns) + c for c in ("mark", "id", "tag", "n"))
+    rows = chosen.select(F.col("row.doc_id").alias(key), F.col("row.tag").alias(tag), F.col("n").alias(n))
+    same = F.col(key).eqNullSafe(docs[doc_id].cast("long")) & (F.col(tag) == F.col(mark))
+    marked = docs.withColumn(mark, row_tag(text))
+    if rows.filter(F.col(n) > 1).isEmpty():
+        return marked.join(rows.drop(n), same, "left_semi").drop(mark)
+    once = marked.join(rows.filter(F.col(n) == 1).drop(n), same, "left_semi")
+    ties = marked.join(rows.filter(F.col(n) > 1).drop(n), same, "left_semi").dropDuplicates([doc_id, mark])
+    return once.unionByName(ties).drop(mark)

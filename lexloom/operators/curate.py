@@ -258,6 +258,15 @@ def seeded_places(df: DataFrame, order: list[str]) -> DataFrame:
     return keyed.join(F.broadcast(before), "bucket").withColumn("place", at).drop("bucket", "before")
 
 
+def sample_of(df: DataFrame, k: int, key: Column, order: list[str], seed: int = 42) -> DataFrame:
+    """At most k rows, the first in seeded order of ``key``, then ``order``.
+
+    Each task keeps its k first rows, and these are merged: nothing is sorted
+    or shuffled whole.
+    """
+    return df.withColumn("h", T.order_hash(seed, key)).orderBy("h", *order).limit(k).drop("h")
+
+
 def hash_split(df: DataFrame, column: str, share: float = 0.9, seed: int = 42) -> DataFrame:
     """``df`` with split: the first floor(n * share) rows in seeded order are train, the rest validation."""
     n = df.count()

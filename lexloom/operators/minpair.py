@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lexloom.functions import rules as R
+from lexloom.functions import text as T
+from lexloom.operators.tokenize import SPACE, Vocabulary
+from lexloom.session import ship
 
 LN2 = math.log(2)
 LN256 = math.log(256)
@@ -40,8 +43,6 @@ def sides(pairs: DataFrame) -> DataFrame:
 
 def score(long: DataFrame, scorer: Scorer) -> DataFrame:
     """``long`` with token_nll from an Arrow-batched scorer."""
-    from lexloom.session import ship
-
     ship(long.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +160,32 @@ def sweep(pairs: DataFrame, lengths: DataFrame) -> DataFrame:
     return macro_average(subset_accuracy(pair_metrics(joined), ("vocab_size", "subset")), ("vocab_size",)).orderBy("vocab_size")
 
 
+def cut_lengths(long: DataFrame, vocab: Vocabulary, cuts: list[int]) -> DataFrame:
+    """vocab_size, subset, pair_id and the tokens of both sides under the first merges of a model, for each cut.
+
+    Each distinct word is encoded once, whatever the number of cuts.
+    """
+    spark = long.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = sent.value
+        for batch in batches:
+            counts = [v.cut_counts(SPACE + w, cuts) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int64()))], names=["word", "counts"])
+
+    said = long.select("subset", "pair_id", "side", F.explode(F.filter(F.split("text", r"[ \n]+"), lambda w: w != "")).alias("word"))
+    # equal words of a side are one row
+    said = said.groupBy("subset", "pair_id", "side", "word").agg(F.count(F.lit(1)).alias("times"))
+    words = said.select("word").distinct().mapInArrow(run, "word string, counts array<long>")
+    sums = said.join(words, "word").groupBy("subset", "pair_id", "side").agg(*[F.sum(F.col("times") * F.col("counts")[k]).alias(f"c{k}") for k in range(len(cuts))])
+    each = F.array(*[F.struct(F.lit(c).alias("vocab_size"), F.col(f"c{k}").alias("n")) for k, c in enumerate(cuts)])
+    rows = sums.select("subset", "pair_id", "side", F.inline(each))
+    pick = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("n"))), F.lit(0)).alias(f"n_tokens_{side}")
+    return rows.groupBy("vocab_size", "subset", "pair_id").agg(pick("good"), pick("bad"))
+
+
 def category(subset: Column) -> Column:
     """Linguistic category of a subset name, null for the others."""
     return F.when(subset.contains("wh_") | subset.contains("wh-"), "wh-movement").when(subset.contains("agreement"), "agreement").when(subset.contains("npi"), "NPIs")
@@ -177,10 +204,49 @@ def long_errors(pairs: DataFrame) -> DataFrame:
 
 
 def correlation(errors: DataFrame, by: tuple[str, ...] = ("metric",)) -> DataFrame:
-    """Pearson r of token difference and error; 0 without variance."""
+    """Pearson r of token difference and error, 0 without variance, and its two-sided p."""
     x, y = F.col("abs_delta").cast("double"), F.col("error")
     r = F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
-    return errors.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(r, F.lit(0.0)).alias("r"))
+    out = errors.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(r, F.lit(0.0)).alias("r"))
+    return T.once(out, p=p_column(F.col("r"), F.col("n")))
+
+
+def ln_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of positive numbers: Stirling's series eight steps further on."""
+    steps = F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(1.0), lambda a, k: a * (x + k))
+    y = x + 8
+    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(steps)
+
+
+def p_column(r: Column, n: Column) -> Column:
+    """Two-sided p of Pearson's r over n rows, for aggregated rows.
+
+    The t-distribution by the regularised incomplete beta function, whose
+    continued fraction is evaluated from its end; its terms needed grow with the
+    root of n.
+    """
+    x, a = 1 - r * r, (n - 2) / 2
+    swap = x > (a + 1) / (a + 2.5)
+    one, two, at = F.when(swap, F.lit(0.5)).otherwise(a), F.when(swap, a).otherwise(F.lit(0.5)), F.when(swap, r * r).otherwise(x)
+    bound = F.struct(one.alias("a"), two.alias("b"), at.alias("x"))
+
+    def beta(v: Column) -> Column:
+        a, b, x = v["a"], v["b"], v["x"]
+        terms = F.sequence((F.lit(64) + 4 * F.sqrt(a + b)).cast("int"), F.lit(1), F.lit(-1))
+
+        def term(k: Column) -> Column:
+            m = F.floor(k / 2)
+            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            return F.when(k % 2 == 0, even).otherwise(-(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
+
+        fraction = F.aggregate(terms, F.lit(1.0), lambda f, k: 1 + term(k) / f)
+        front = F.exp(ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b) + a * F.log(x) + b * F.log1p(-x)) / a
+        return front / fraction
+
+    inside = T.let(bound, beta)
+    whole = F.when(swap, 1 - inside).otherwise(inside)
+    return F.when((n < 3) | (r == 0), F.lit(1.0)).when(F.abs(r) >= 1, F.lit(0.0)).otherwise(whole)
 
 
 def p_value(r: float, n: int) -> float:

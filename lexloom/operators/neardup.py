@@ -1,15 +1,24 @@
-"""Near-duplicate lines: 128-permutation MinHash over byte 3-grams, greedy in order."""
+"""Near-duplicate lines: MinHash over byte 3-grams, exact similar pairs by prefixes, and the greedy rule in order."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.rules import NEAR_THRESHOLD
 from lexloom.functions.text import let
-from lexloom.session import written
+from lexloom.session import ship, written
 
 PERMUTATIONS, BANDS = 128, 8
+#: Grams whose frequency is known to the tasks; all others count as rare.
+FREQUENT = 1 << 16
+#: Lines of a key from which it is extended by another gram, and grams of a key at most.
+HOT, DEEPEST = 500, 3
 
 
 def byte_grams(line: Column, n: int = 3) -> Column:
@@ -30,10 +39,18 @@ def signature(line: Column, permutations: int = PERMUTATIONS) -> Column:
 
 
 def lsh_pairs(lines: DataFrame, threshold: float = NEAR_THRESHOLD, bands: int = BANDS) -> DataFrame:
-    """a, b (a before b by ``place``) and similarity of candidates whose signatures agree in ``threshold`` of all places."""
+    """a, b (a before b by ``place``) and similarity of lines whose signatures agree in ``threshold`` of all places.
+
+    Lines with equal signatures are one class: its first line is compared with
+    the other classes, and paired with the rest of its own; under the greedy
+    rule the first line decides for all of them.
+    """
     rows = PERMUTATIONS // bands
     sig = written(lines.select("id", "place", signature(F.col("line")).alias("sig")), "minhash")
-    band = sig.select(
+    first = sig.groupBy("sig").agg(F.min(F.struct("place", "id")).alias("first")).select("sig", F.col("first.id").alias("id"), F.col("first.place").alias("place"))
+    first = written(first, "minhash-classes")
+    own = sig.select("sig", F.col("id").alias("b")).join(first.select("sig", F.col("id").alias("a")), "sig").filter("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
+    band = first.select(
         "id",
         "place",
         F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("sig", b * rows + 1, rows)))).alias("band", "key"),
@@ -41,48 +58,170 @@ def lsh_pairs(lines: DataFrame, threshold: float = NEAR_THRESHOLD, bands: int =
     a, b = band.alias("a"), band.alias("b")
     near = F.col("a.place") < F.col("b.place")
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    left, right = sig.select(F.col("id").alias("a"), F.col("sig").alias("x")), sig.select(F.col("id").alias("b"), F.col("sig").alias("y"))
+    left, right = first.select(F.col("id").alias("a"), F.col("sig").alias("x")), first.select(F.col("id").alias("b"), F.col("sig").alias("y"))
     same = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda e: e)) / F.lit(PERMUTATIONS)
-    return pairs.join(left, "a").join(right, "b").select("a", "b", same.alias("similarity")).filter(F.col("similarity") >= threshold)
+    other = pairs.join(left, "a").join(right, "b").select("a", "b", same.alias("similarity")).filter(F.col("similarity") >= threshold)
+    return other.unionByName(own)
+
 
+def gram_numbers(text: str) -> np.ndarray:
+    """Distinct byte 3-grams as numbers."""
+    raw = np.frombuffer(text.encode(), np.uint8).astype(np.int32)
+    return np.unique(raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) if len(raw) > 2 else raw[:0]
 
-def exact_pairs(lines: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
-    """a, b and Jaccard similarity of byte 3-grams, by an inverted index; for small sets and tests."""
-    grams = lines.select("id", F.explode(byte_grams(F.col("line"))).alias("g"))
-    sizes = lines.select("id", F.size(byte_grams(F.col("line"))).alias("n"))
-    a, b = grams.alias("a"), grams.alias("b")
-    both = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id"))).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count(F.lit(1)).alias("i"))
-    out = both.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    j = F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))
-    return out.select("a", "b", F.round(j, 6).alias("similarity")).filter(j >= threshold)
 
+def gram_lists(lines: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """id, n and grams of lines of at least three bytes; rare grams first.
 
-def greedy_resolve(pairs: DataFrame) -> DataFrame:
+    The ``frequent`` most frequent grams are ordered by their frequency and come
+    after all others.
+    """
+    spark = lines.sparkSession
+    ship(spark)
+    rows = lines.select("id", "line")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [gram_numbers(t or "") for t in batch.column(1).to_pylist()]
+            numbers, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(counts, pa.int64())], names=["gram", "n"])
+
+    top = rows.mapInArrow(grams, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(frequent).collect()
+    order = np.zeros(1 << 24, np.int32)
+    for rank, r in enumerate(top):
+        order[r["gram"]] = frequent - rank
+    sent = spark.sparkContext.broadcast((np.flatnonzero(order), order[np.flatnonzero(order)]))
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.zeros(1 << 24, np.int32)
+        order[sent.value[0]] = sent.value[1]
+        for batch in batches:
+            found = [g[np.lexsort((g, order[g]))] for g in (gram_numbers(t or "") for t in batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in found], pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["id", "n", "grams"])
+
+    return rows.mapInArrow(lists, "id long, n int, grams array<int>").filter("n > 0")
+
+
+def similar_pairs(lines: DataFrame, threshold: float = NEAR_THRESHOLD, hot: int = HOT, deepest: int = DEEPEST, frequent: int = FREQUENT) -> DataFrame:
+    """a < b (ids) and the exact Jaccard similarity of byte 3-grams, for all pairs at ``threshold`` or more.
+
+    ``lines`` has id (unique) and line. Grams stand in one order, rare ones
+    first. Two similar lines share their first common gram within the first
+    n - ceil(t n) + 1 grams of either, the second one within one gram more, and
+    so on. So lines meet on single grams; where more than ``hot`` lines share
+    one, they meet on it with a second gram behind it instead, and so on up to
+    ``deepest`` grams. A key's lines meet only in neighbouring bands of sizes,
+    and are verified if their sizes and what stands behind the key's last gram
+    leave room for enough common grams. No pair is lost: keys of ``deepest``
+    grams are joined however many lines they have.
+    """
+    sets = written(gram_lists(lines, frequent), "gram-lists")
+    # a little more than needed, so that rounding loses no pair
+    need = lambda n: F.ceil(n * F.lit(threshold) - 1e-9).cast("int")
+    width = -math.log(threshold)
+    band = F.floor(F.log(F.col("n").cast("double")) / width + 1e-9).cast("int")
+    grams = F.slice("grams", F.lit(1), F.col("n") - need(F.col("n")) + 1)
+    keyed = sets.select("id", "n", F.posexplode(grams).alias("at", "gram")).select("id", "n", (F.col("at") + 1).alias("at"), F.col("gram").cast("long").alias("key"))
+    candidates, depth = None, 1
+    while True:
+        keyed = written(keyed.withColumn("band", band), "gram-keys")
+        counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > hot)
+        # at most one key in ``hot`` rows
+        many = written(counts.select("key"), "hot-keys") if depth < deepest else None
+        few = keyed if many is None else keyed.join(many, "key", "left_anti")
+        small = few.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2)).alias("band"))
+        large = few.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), "band")
+        room = F.lit(depth) + F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))
+        enough = room * (1 + threshold) >= (F.col("nx") + F.col("ny")) * F.lit(threshold) - 1e-6
+        order = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
+        met = small.join(large, ["key", "band"]).filter(order & (F.col("nx") >= F.col("ny") * threshold - 1e-6) & enough)
+        met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        candidates = met if candidates is None else candidates.unionByName(met)
+        if many is None or many.isEmpty():
+            break
+        depth += 1
+        behind = F.slice("grams", F.col("at") + 1, F.greatest(F.col("n") - need(F.col("n")) + depth - F.col("at"), F.lit(0)))
+        longer = keyed.join(many, "key", "left_semi").join(sets.select("id", "grams"), "id")
+        keyed = longer.select("id", "n", "at", "key", F.posexplode(behind).alias("more", "gram")).select(
+            "id", "n", (F.col("at") + F.col("more") + 1).alias("at"), F.xxhash64("key", "gram").alias("key")
+        )
+    pairs = candidates.distinct()
+    left, right = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
+    common = F.size(F.array_intersect("ga", "gb"))
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", (common / (F.size("ga") + F.size("gb") - common)).alias("similarity"))
+    return found.filter(F.col("similarity") >= threshold)
+
+
+def greedy_resolve(pairs: DataFrame, report: dict | None = None) -> DataFrame:
     """ids that are dropped: a row stays if no earlier row that stays is similar to it.
 
-    ``pairs`` has a (earlier) and b (later). Each round drops what has a kept
-    earlier neighbour and keeps what has only dropped ones, at least the first
-    undecided row, so it ends.
+    ``pairs`` has a (earlier) and b (later). A row's fate is "none of my earlier
+    neighbours stays". Each round puts in what is known: a neighbour that
+    stays drops the row, one that goes is forgotten, and a row with a single
+    neighbour left has the opposite of its fate, so others depend on that one
+    in its place. Such chains halve in every round: n links take about log n
+    rounds. A row that depends on a row and on its opposite goes. The first
+    undecided row is decided in every round, so it ends. ``report`` gets the
+    number of rounds.
     """
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    state = written(nodes.withColumn("kept", F.lit(None).cast("boolean")), "greedy")
+    links = written(pairs.select(F.col("b").alias("id"), F.col("a").alias("of"), F.lit(False).alias("opposite")).distinct(), "greedy-links")
+    nodes = links.select("id").unionByName(links.select(F.col("of").alias("id"))).distinct()
+    # fate: kept is known, or is that of ``root`` (or its opposite); a row that is its own root is open
+    fate = written(nodes.select("id", F.lit(None).cast("boolean").alias("kept"), F.col("id").alias("root"), F.lit(False).alias("turned")), "greedy-fates")
+    rounds = 0
     while True:
-        before = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a").groupBy(F.col("b").alias("id")).agg(
-            F.max(F.coalesce("ka", F.lit(False))).alias("some_kept"), F.min(F.when(F.col("ka").isNull(), 0).otherwise(1)).alias("all_known")
+        rounds += 1
+        known = fate.select(F.col("id").alias("of"), F.col("kept").alias("k"), F.col("root").alias("r"), F.col("turned").alias("t"))
+        # a link's value is whether that neighbour stays; rows of decided neighbours have one, others go on to the root
+        value = F.col("k") != F.col("opposite")
+        now = links.join(known, "of").select("id", value.alias("value"), F.when(F.col("k").isNull(), F.col("r")).alias("of"), (F.col("t") != F.col("opposite")).alias("opposite"))
+        merged = now.groupBy("id", "of").agg(F.max("value").alias("value"), F.min("opposite").alias("low"), F.max("opposite").alias("high"))
+        judged = merged.groupBy("id").agg(
+            F.max(F.coalesce("value", F.lit(False)) | (F.col("of").isNotNull() & (F.col("low") != F.col("high")))).alias("goes"),
+            F.count("of").alias("left"),
+            F.min("of").alias("one"),
+            F.min(F.when(F.col("of").isNotNull(), F.col("low"))).alias("one_opposite"),
         )
-        decided = state.join(before, "id", "left").select(
+        ahead = fate.select(F.col("id").alias("root"), F.col("kept").alias("rk"), F.col("root").alias("rr"), F.col("turned").alias("rt"))
+        own = fate.filter("kept IS NULL AND root <> id").join(ahead, "root").select("id", (F.col("rk") != F.col("turned")).alias("kept"), F.col("rr").alias("root"), (F.col("rt") != F.col("turned")).alias("turned"))
+        open_ = fate.filter("kept IS NULL AND root = id").join(judged, "id", "left")
+        single = F.col("left") == 1
+        decided = F.when(F.col("goes"), F.lit(False)).when(F.coalesce("left", F.lit(0)) == 0, F.lit(True))
+        opened = open_.select(
             "id",
-            F.coalesce(
-                "kept",
-                F.when(F.col("some_kept").isNull(), F.lit(True)).when(F.col("some_kept"), F.lit(False)).when(F.col("all_known") == 1, F.lit(True)),
-            ).alias("kept"),
+            decided.alias("kept"),
+            F.when(decided.isNull() & single, F.col("one")).otherwise(F.col("id")).alias("root"),
+            F.when(decided.isNull() & single, ~F.col("one_opposite")).otherwise(F.lit(False)).alias("turned"),
         )
-        state = written(decided, "greedy")
-        if state.filter("kept IS NULL").isEmpty():
-            return state.filter("NOT kept").select("id")
-
-
-def greedy_duplicates(lines: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
-    """ids of the lines dropped by the greedy rule; ``lines`` has id, line and place."""
-    return greedy_resolve(lsh_pairs(lines, threshold))
+        done = fate.filter("kept IS NOT NULL")
+        fate = written(done.unionByName(own).unionByName(opened), "greedy-fates")
+        waiting = fate.filter("kept IS NULL")
+        if waiting.isEmpty():
+            break
+        still = merged.filter("of IS NOT NULL").select("id", "of", F.explode(F.array_distinct(F.array("low", "high"))).alias("opposite"))
+        links = written(still.join(waiting.filter("root = id").select("id"), "id", "left_semi"), "greedy-links")
+    if report is not None:
+        report["rounds"] = rounds
+    return fate.filter("NOT kept").select("id")
+
+
+def greedy_duplicates(lines: DataFrame, threshold: float = NEAR_THRESHOLD, exact: bool = False) -> DataFrame:
+    """ids of the lines dropped by the greedy rule; ``lines`` has id, line and place.
+
+    By signatures, or ``exact`` by the similarity itself. Then equal lines, and
+    lines of fewer than three bytes, are one line each: the first of them is
+    compared, the others go.
+    """
+    if not exact:
+        return greedy_resolve(lsh_pairs(lines, threshold))
+    text = F.when(F.octet_length("line") < 3, F.lit("")).otherwise(F.col("line"))
+    keyed = lines.select("id", "place", F.sha2(text, 256).alias("text"))
+    first = keyed.groupBy("text").agg(F.min(F.struct("place", "id")).alias("first")).select(F.col("first.id").alias("id"), F.col("first.place").alias("place"))
+    first = written(first, "first-lines")
+    distinct = lines.select("id", "line").join(first, "id", "left_semi")
+    pairs = similar_pairs(distinct, threshold)
+    one, two = first.select(F.col("id").alias("a"), F.col("place").alias("pa")), first.select(F.col("id").alias("b"), F.col("place").alias("pb"))
+    before = F.col("pa") < F.col("pb")
+    ordered = pairs.join(one, "a").join(two, "b").select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("b"))
+    copies = lines.select("id").join(first.select("id"), "id", "left_anti")
+    return copies.unionByName(greedy_resolve(ordered))

@@ -35,9 +35,8 @@ def granularity_rows(models: DataFrame, tokenizers: DataFrame) -> DataFrame:
     )
 
 
-def category_table(errors: DataFrame, by_category: DataFrame, overall: DataFrame) -> DataFrame:
+def category_table(by_category: DataFrame, overall: DataFrame) -> DataFrame:
     """r to three places and sample size per category, and the overall row."""
-    del errors
     one = lambda df, c: df.select(c.alias("category"), "metric", F.round("r", 3).alias("r"), "n")
     return one(by_category, F.col("category")).unionByName(one(overall, F.lit("Overall")))
 

@@ -22,6 +22,9 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: The curation command line's budgets of tokens and its share of best lines.
 TARGET, SAMPLE, TOP = 10_000_000, 1_000_000, 0.70
+#: Merges and pieces of the trained vocabularies, of those that only feed another query, and cuts of the sweep.
+MERGES, PIECES, SOME_MERGES, SOME_PIECES = 5_000, 5_000, 1_000, 2_000
+CUTS = [100, 200, 400, 600, 800, 1_000]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -105,8 +108,8 @@ def strip_edges(spark, d):
 
 @query()
 def read_vocab_classes(spark, d):
-    """Piece classes of a vocabulary trained on the documents' words (rows only)."""
-    return tokenize.vocab_classes(_small_vocab(spark, d))
+    """Piece classes of a vocabulary trained on the documents' words."""
+    return tokenize.vocab_classes(tokenize.train_bpe(I.lines(spark, d), SOME_MERGES))
 
 
 @query("SELECT conv_id, CAST(turn AS BIGINT) AS turn, array_to_string(list_filter([role, text], lambda x: x IS NOT NULL), ' ') AS joined, coalesce(CAST(text AS VARCHAR), '') AS body FROM conversations")
@@ -436,7 +439,7 @@ def imbalance_bins(spark, d):
     return minpair.bins(_errors(spark, d))
 
 
-@query(f"WITH {I.ERRORS} SELECT metric, count(*) AS n, round({I.CORR}, 6) + 0.0 AS r FROM errors GROUP BY metric")
+@query(f"WITH {I.ERRORS}, c AS (SELECT metric, count(*) AS n, {I.CORR} AS r FROM errors GROUP BY metric) SELECT metric, n, {r6('r', 'p')} FROM {I.p_value('c', 'metric')}")
 def imbalance_corr(spark, d):
     return minpair.correlation(_errors(spark, d))
 
@@ -444,7 +447,7 @@ def imbalance_corr(spark, d):
 _BY = f"{I.ERRORS}, cat AS (SELECT category, metric, count(*) AS n, {I.CORR} AS r FROM errors WHERE category IS NOT NULL GROUP BY ALL)"
 
 
-@query(f"WITH {_BY} SELECT category, metric, n, {r6('r')} FROM cat")
+@query(f"WITH {_BY} SELECT category, metric, n, {r6('r', 'p')} FROM {I.p_value('cat', 'category, metric')}")
 def category_corr(spark, d):
     return minpair.correlation(_errors(spark, d).filter("category IS NOT NULL"), ("category", "metric"))
 
@@ -452,7 +455,13 @@ def category_corr(spark, d):
 @query(f"WITH {_BY} SELECT category, metric, round(r, 3) + 0.0 AS r, n FROM cat UNION ALL SELECT 'Overall', metric, round({I.CORR}, 3) + 0.0, count(*) FROM errors GROUP BY metric")
 def category_table(spark, d):
     e = _errors(spark, d)
-    return report.category_table(e, minpair.correlation(e.filter("category IS NOT NULL"), ("category", "metric")), minpair.correlation(e))
+    return report.category_table(minpair.correlation(e.filter("category IS NOT NULL"), ("category", "metric")), minpair.correlation(e))
+
+
+@query(f"WITH {I.ERRORS} SELECT subset, pair_id, metric, abs_delta, error FROM errors ORDER BY md5('42|' || metric || ' ' || pair_id), subset, metric, pair_id LIMIT 2000")
+def plot_sample(spark, d):
+    """Two thousand points of the imbalance plots."""
+    return curate.sample_of(_errors(spark, d).drop("category"), 2_000, F.concat_ws(" ", "metric", F.col("pair_id").cast("string")), ["subset", "metric", "pair_id"])
 
 
 _DELTA = f"{I.ERRORS}, by_delta AS (SELECT metric, abs_delta, count(*) AS count, avg(error) AS error_rate FROM errors GROUP BY ALL)"
@@ -634,59 +643,98 @@ def lm_token_accuracy(spark, d):
 
 # ---------------------------------------------------------------- near duplicates and tokenizers
 
-_SET = "s AS (SELECT item_id AS id, list_distinct(list_transform(generate_series(1, strlen(text) - 2), lambda i: hex(encode(text))[2 * i - 1:2 * i + 4])) AS g FROM benchmark WHERE text IS NOT NULL AND strlen(text) >= 3)"
+_SIMILAR = f"""{I.LINES},
+u AS (SELECT sha256(line) AS h, hex(encode(line)) AS x, strlen(line) AS n, count(*) AS c FROM lines WHERE strlen(line) >= 3 GROUP BY line),
+s AS (SELECT h, c, list_distinct(list_transform(generate_series(1, n - 2), lambda i: x[2 * i - 1:2 * i + 4])) AS g FROM u),
+e AS (SELECT h, unnest(g) AS gram, len(g) AS n FROM s), f AS (SELECT gram, count(*) AS df FROM e GROUP BY gram),
+o AS (SELECT h, n, gram, row_number() OVER (PARTITION BY h ORDER BY df, gram) AS place FROM e JOIN f USING (gram)),
+p AS (SELECT h, n, gram, place FROM o WHERE place <= n - ceil(n * CAST({R.NEAR_THRESHOLD} AS DOUBLE) - 1e-9) + 1),
+met AS (SELECT DISTINCT a.h AS a, b.h AS b FROM p a JOIN p b ON a.gram = b.gram AND a.h < b.h WHERE least(a.n, b.n) >= greatest(a.n, b.n) * CAST({R.NEAR_THRESHOLD} AS DOUBLE) - 1e-6
+  AND (1 + least(a.n - a.place, b.n - b.place)) * CAST({1 + R.NEAR_THRESHOLD} AS DOUBLE) >= (a.n + b.n) * CAST({R.NEAR_THRESHOLD} AS DOUBLE) - 1e-6),
+j AS (SELECT a, b, x.c AS n_a, y.c AS n_b, len(list_intersect(x.g, y.g)) AS i, len(x.g) + len(y.g) AS t FROM met JOIN s x ON x.h = a JOIN s y ON y.h = b)"""
 
 
-@query(
-    f"""WITH {_SET}, e AS (SELECT id, unnest(g) AS g, len(g) AS n FROM s),
-j AS (SELECT a.id AS a, b.id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM e a JOIN e b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
-SELECT a, b, round(similarity, 6) + 0.0 AS similarity FROM j WHERE similarity >= CAST(0.3 AS DOUBLE)"""
-)
+def _distinct_lines(spark, d):
+    """Distinct lines with their number of copies."""
+    rows = I.lines(spark, d).groupBy("line").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id())
+    return written(rows, "distinct-lines")
+
+
+@query(f"WITH {_SIMILAR} SELECT a, b, n_a, n_b, round(i / (t - i), 6) + 0.0 AS similarity FROM j WHERE i / (t - i) >= CAST({R.NEAR_THRESHOLD} AS DOUBLE)")
 def near_dup_exact_pairs(spark, d):
-    items = I.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("line"))
-    return neardup.exact_pairs(items, 0.3)
+    """Pairs of different lines by hash, with the copies of each, whose sets of byte 3-grams are similar."""
+    lines = _distinct_lines(spark, d)
+    pairs = neardup.similar_pairs(lines, R.NEAR_THRESHOLD)
+    side = lambda k: lines.select(F.col("id").alias(k), X.line_hash(F.col("line")).alias(f"h_{k}"), F.col("n").alias(f"c_{k}"))
+    low = F.col("h_a") < F.col("h_b")
+    pick = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
+    out = pairs.join(side("a"), "a").join(side("b"), "b")
+    return out.select(pick("h_a", "h_b").alias("a"), pick("h_b", "h_a").alias("b"), pick("c_a", "c_b").alias("n_a"), pick("c_b", "c_a").alias("n_b"), "similarity")
+
+
+def _placed_lines(spark, d):
+    """The first line of each text with an id and its place."""
+    kept = curate.keep_first(I.lines(spark, d).withColumn("h", X.line_hash(F.col("line"))), ["h"], ["doc_id", "pos"]).drop("h")
+    return kept.withColumn("id", F.xxhash64("doc_id", "pos")).withColumn("place", F.struct("doc_id", "pos"))
 
 
 @query()
 def near_dup_minhash(spark, d):
-    """Lines kept by the greedy rule over MinHash candidates (rows only)."""
-    kept = curate.keep_first(I.lines(spark, d).withColumn("h", X.line_hash(F.col("line"))), ["h"], ["doc_id", "pos"]).drop("h")
-    keyed = kept.withColumn("id", F.xxhash64("doc_id", "pos")).withColumn("place", F.struct("doc_id", "pos"))
+    """Lines kept by the greedy rule over MinHash candidates."""
+    keyed = _placed_lines(spark, d)
     return keyed.join(neardup.greedy_duplicates(keyed), "id", "left_anti").select("corpus", "doc_id", "pos")
 
 
-def _small_vocab(spark, d):
-    key = (d, 24)
-    if key not in _VOCABS or _VOCABS[key].sparkSession is not spark:
-        _VOCABS[key] = tokenize.train_bpe(I.lines(spark, d), 24)
-    return _VOCABS[key]
+@query()
+def near_dup_greedy(spark, d):
+    """Lines kept by the greedy rule over all pairs that are similar."""
+    keyed = _placed_lines(spark, d)
+    return keyed.join(neardup.greedy_duplicates(keyed, exact=True), "id", "left_anti").select("corpus", "doc_id", "pos")
 
 
-_VOCABS: dict = {}
+@query()
+def bpe_train(spark, d):
+    """A merge-type vocabulary of all lines' words."""
+    return tokenize.train_bpe(I.lines(spark, d), MERGES)
 
 
 @query()
-def bpe_train(spark, d):
-    """A merge-type vocabulary of the documents' words (rows only)."""
-    return _small_vocab(spark, d)
+def bpe_variant_train(spark, d):
+    """The other family of vocabularies: its specials, over segmented lines."""
+    lines = I.lines(spark, d).select(M.plain_line(F.col("line")).alias("line"))
+    return tokenize.train_bpe(lines, SOME_MERGES, R.SPECIALS_PLAIN, "[MASK]")
 
 
 @query()
 def bpe_encode(spark, d):
-    """Documents encoded with that vocabulary (rows only)."""
-    v = tokenize.vocabulary(_small_vocab(spark, d), "bpe")
-    return tokenize.encode(I.table(spark, d, "documents").select("doc_id", "text"), v).select("doc_id", F.size("ids").alias("n_ids"))
+    """All documents encoded with a trained merge-type vocabulary."""
+    v = tokenize.vocabulary(tokenize.train_bpe(I.lines(spark, d), SOME_MERGES), "bpe")
+    return tokenize.encode(I.table(spark, d, "documents").select("doc_id", "text"), v).select("doc_id", F.size("ids").alias("n_ids"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
 
 
 @query()
 def unigram_train(spark, d):
-    """A unigram vocabulary of the benchmark items (rows only)."""
-    items = I.table(spark, d, "benchmark").select(F.coalesce("text", F.lit("")).alias("line"))
-    return tokenize.train_unigram(items, 200)
+    """A unigram vocabulary of all lines' words."""
+    return tokenize.train_unigram(I.lines(spark, d), PIECES)
+
+
+@query()
+def unigram_encode(spark, d):
+    """All documents encoded with a trained unigram vocabulary."""
+    v = tokenize.vocabulary(tokenize.train_unigram(I.lines(spark, d), SOME_PIECES), "unigram")
+    return tokenize.encode(I.table(spark, d, "documents").select("doc_id", "text"), v).select("doc_id", F.size("ids").alias("n_ids"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
 
 
 @query()
 def tokenizer_report(spark, d):
-    """Granularity of the trained vocabulary over all lines (rows only)."""
-    v = tokenize.vocabulary(_small_vocab(spark, d), "bpe")
-    return tokenize.granularity(I.lines(spark, d), v, "bpe_24", _AFFIXES)
+    """Granularity of a trained vocabulary over all lines."""
+    v = tokenize.vocabulary(tokenize.train_bpe(I.lines(spark, d), SOME_MERGES), "bpe")
+    return tokenize.granularity(I.lines(spark, d), v, f"bpe_{SOME_MERGES}", _AFFIXES)
+
+
+@query()
+def trained_sweep(spark, d):
+    """The vocabulary sweep over one trained model: token counts under its first merges, for each cut."""
+    v = tokenize.vocabulary(tokenize.train_bpe(I.lines(spark, d), max(CUTS)), "bpe")
+    lengths = minpair.cut_lengths(minpair.sides(I.pairs(spark, d)), v, CUTS)
+    return minpair.sweep(minpair.wide(_sides(spark, d)), lengths)

@@ -87,6 +87,22 @@ def split_files(spark, d):
     return spark.read.schema("subset string, pair_id long, split string").json(path).select("split", "subset", "pair_id")
 
 
+@query(
+    f"""WITH {I.PAIRS}, k AS (SELECT CASE WHEN pair_id % 2 = 0 THEN 'even' ELSE 'odd' END AS folder, pair_id % 7 = 0 AS broken, pair_id % 5 = 4 AS malformed FROM pairs)
+SELECT folder, count(*) AS rows, count(*) FILTER (broken) AS broken, count(*) FILTER (NOT broken AND malformed) AS malformed, count(*) FILTER (NOT broken AND NOT malformed) AS pairs FROM k GROUP BY folder"""
+)
+def pair_file_counts(spark, d):
+    """Pair files in which some rows break off and some lack the bad side: what is read and what is not, per folder."""
+    at, pairs = folder(spark), I.pairs(spark, d)
+    k = F.col("pair_id")
+    row = F.to_json(F.struct(F.col("sentence_good").alias("correct"), F.when(k % 5 < 4, F.col("sentence_bad")).alias("incorrect")))
+    lines = pairs.select("pair_id", F.when(k % 7 == 0, F.concat(F.lit("{"), F.substring(row, F.lit(2), F.length(row) - 2), F.lit('"'))).otherwise(row).alias("line"))
+    for rest, name in enumerate(("even", "odd")):
+        sinks.write_lines(lines.filter(k % 2 == rest), f"{at}/{name}.jsonl")
+    each = [corpora.pair_file_report(spark, f"{at}/{name}.jsonl").select(F.lit(name).alias("folder"), "rows", "broken", "malformed", "pairs") for name in ("even", "odd")]
+    return each[0].unionByName(each[1])
+
+
 _RULES = [("prefix", a) for a in R.PREFIXES] + [("suffix", a) for a in R.SUFFIXES]
 
 
@@ -219,6 +235,14 @@ def first_rows(spark, d):
     return training.first_rows(I.table(spark, d, "documents").select("doc_id", "text"), 500, "doc_id")
 
 
+@query(f"WITH {Q._NEAREST} SELECT row_number() OVER (ORDER BY h, corpus, doc_id, pos) AS place, line FROM p4")
+def final_files(spark, d):
+    """The lines of the last phase as they stand in its files, read in the order of the files' names."""
+    path = f"{folder(spark)}/final"
+    sinks.write_ordered(Q._phase4(spark, d), path, "h", "corpus", "doc_id", "pos")
+    return corpora.numbered(corpora.read_lines(spark, path), "doc_id", "pos").select((F.col("n") + 1).alias("place"), "line")
+
+
 @query(f"WITH {Q._NEAREST} SELECT corpus, doc_id, pos, row_number() OVER (ORDER BY h, corpus, doc_id, pos) AS place FROM p4")
 def final_order(spark, d):
     """The place of every line of the last phase in the seeded order in which it is written."""

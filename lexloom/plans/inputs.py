@@ -203,3 +203,13 @@ ERRORS = f"""{METRIC},
 imb AS (SELECT *, n_tokens_good - n_tokens_bad AS delta, abs(n_tokens_good - n_tokens_bad) AS abs_delta, {CATEGORY} AS category FROM metrics),
 errors AS ({' UNION ALL '.join(f"SELECT subset, pair_id, category, abs_delta, '{m}' AS metric, CAST(NOT {m}_correct AS DOUBLE) AS error FROM imb" for m in R.METRICS)})"""
 CORR = "coalesce(covar_pop(CAST(abs_delta AS DOUBLE), error) / nullif(stddev_pop(abs_delta) * stddev_pop(error), 0), 0)"
+
+
+def p_value(source: str, keys: str) -> str:
+    """Rows of ``source`` (with ``keys``, n and r) with the two-sided p of r."""
+    term = "CASE WHEN k % 2 = 0 THEN (k // 2) * (b - (k // 2)) * x / ((a + 2 * (k // 2) - 1) * (a + 2 * (k // 2))) ELSE -(a + (k // 2)) * (a + b + (k // 2)) * x / ((a + 2 * (k // 2)) * (a + 2 * (k // 2) + 1)) END"
+    return f"""(SELECT {keys}, n, r, CASE WHEN n < 3 OR r = 0 THEN 1.0 WHEN abs(r) >= 1 THEN 0.0 WHEN swap THEN 1 - beta ELSE beta END AS p FROM (
+  SELECT *, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(greatest(x, 1e-300)) + b * ln(greatest(1 - x, 1e-300))) / a
+    / list_reduce(list_concat([CAST(1.0 AS DOUBLE)], list_transform(range(300, 0, -1), lambda k: {term})), lambda f, d: 1 + d / f) AS beta
+  FROM (SELECT *, CASE WHEN swap THEN 0.5 ELSE h END AS a, CASE WHEN swap THEN h ELSE 0.5 END AS b, CASE WHEN swap THEN r * r ELSE 1 - r * r END AS x
+    FROM (SELECT *, greatest(n - 2, 1) / 2 AS h, 1 - r * r > (greatest(n - 2, 1) / 2 + 1) / (greatest(n - 2, 1) / 2 + 2.5) AS swap FROM {source}))))"""

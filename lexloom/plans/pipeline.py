@@ -42,9 +42,12 @@ def rows(df: DataFrame) -> list[dict]:
 
 
 def write(result: dict, folder: str, target_tokens: int, top: float, sample_tokens: int) -> None:
-    """Text files of phases 2 to 4 and the report."""
+    """Text files of phases 2 to 4, the last one in its seeded order, and the report."""
     for phase, name in sinks.phase_names(target_tokens, top, sample_tokens).items():
-        sinks.write_lines(result[phase], f"{folder}/{name}")
+        if phase == "phase4":
+            sinks.write_ordered(result[phase], f"{folder}/{name}", "h", "corpus", "doc_id", "pos")
+        else:
+            sinks.write_lines(result[phase], f"{folder}/{name}")
     spark = result["phase1"].sparkSession
     sinks.write_document(spark, result["report"], f"{folder}/cleaning_report")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions import rules as R
+from lexloom.session import written
 
 LOG = logging.getLogger(__name__)
 PAIR = T.StructType([T.StructField(n, T.StringType()) for n in ("sentence_good", "sentence_bad")])
@@ -56,19 +57,29 @@ def lines_from_documents(docs: DataFrame, modulo: int = len(R.CORPORA)) -> DataF
     return docs.select(corpus.alias("corpus"), "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
 
 
-def read_corpora(spark: SparkSession, folder: str, suffix: str = ".train") -> DataFrame:
-    """Corpus text files as lines; missing corpora are skipped with a warning.
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, pos and line of a text file or a folder of them, in the order of their names and of their lines.
 
-    ``doc_id`` numbers the files' partitions and ``pos`` the rows within them,
-    which follows file order.
+    ``doc_id`` is the file's place among the names. ``pos`` rises within a file:
+    the byte at which the row's split starts plus the row's place in its task.
+    A line has a byte at least, and a task that reads a split of full size reads
+    nothing else, so rows of a split come before those of the next one whatever
+    task reads them.
     """
+    rows = spark.read.text(path)
+    # both sides name files without an authority as scheme:/ or scheme:///
+    plain = lambda c: F.regexp_replace(c, "^([^:/]+):/+", "$1:/")
+    place = spark.createDataFrame(list(enumerate(sorted(rows.inputFiles()))), "doc_id long, file string").withColumn("file", plain("file"))
+    at = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    # one row per file
+    return rows.select(plain(F.col("_metadata.file_path")).alias("file"), at.alias("pos"), F.col("value").alias("line")).join(F.broadcast(place), "file").select("doc_id", "pos", "line")
+
+
+def read_corpora(spark: SparkSession, folder: str, suffix: str = ".train") -> DataFrame:
+    """Corpus text files, or folders of part files, as lines in file order; missing corpora are skipped with a warning."""
     parts = None
     for name, path in present(spark, {c: f"{folder}/{c}{suffix}" for c in R.CORPORA}).items():
-        # a folder of text files is read like one file
-        at = F.monotonically_increasing_id()
-        one = spark.read.text(path).select(
-            F.lit(name).alias("corpus"), F.shiftright(at, 33).alias("doc_id"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("pos"), F.col("value").alias("line")
-        )
+        one = read_lines(spark, path).select(F.lit(name).alias("corpus"), "doc_id", "pos", "line")
         parts = one if parts is None else parts.unionByName(one)
     if parts is None:
         return spark.createDataFrame([], "corpus string, doc_id long, pos long, line string")
@@ -111,9 +122,26 @@ def normalise_pairs(rows: DataFrame) -> DataFrame:
     )
 
 
+def raw_training_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of pair files with what could not be parsed, whole, in ``broken``."""
+    schema = T.StructType([*RAW_PAIR.fields, T.StructField("broken", T.StringType())])
+    return spark.read.schema(schema).json(path, multiLine=not path.endswith(".jsonl"), columnNameOfCorruptRecord="broken")
+
+
 def read_training_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, or one JSON array in files that are not .jsonl."""
-    return normalise_pairs(spark.read.schema(RAW_PAIR).json(path, multiLine=not path.endswith(".jsonl")))
+    """JSON lines, or one JSON array in files that are not .jsonl; broken and malformed rows go."""
+    return normalise_pairs(raw_training_pairs(spark, path))
+
+
+def pair_file_report(spark: SparkSession, path: str) -> DataFrame:
+    """Per folder of pair files: rows, broken ones, malformed ones and those that are read."""
+    rows = raw_training_pairs(spark, path).select("*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1).alias("folder"))
+    has = lambda one, two: F.col(one).isNotNull() & F.col(two).isNotNull()
+    broken, whole = F.col("broken").isNotNull(), has("correct", "incorrect") | has("good_sentence", "bad_sentence")
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    return rows.groupBy("folder").agg(
+        F.count(F.lit(1)).alias("rows"), count(broken).alias("broken"), count(~broken & ~whole).alias("malformed"), count(~broken & whole).alias("pairs")
+    )
 
 
 def natural_lines(lines: DataFrame, max_lines: int = 10_000, seed: int = 42) -> DataFrame:
@@ -183,5 +211,14 @@ def scrape_averages(output: DataFrame, column: str = "value") -> DataFrame:
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """Row numbers from 0 over a total order."""
-    return df.withColumn("n", F.row_number().over(Window.orderBy(*order)) - 1)
+    """``df`` with n, the row numbers from 0 over a total order.
+
+    Ranges of rows are numbered each from the rows before it, so no task sees
+    them all.
+    """
+    ranged = written(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("rows"))
+    # one row per range
+    before = counts.select("range", (F.sum("rows").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")).alias("before"))
+    at = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    return ranged.join(F.broadcast(before), "range").withColumn("n", at + F.col("before")).drop("range", "before")

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.sources import corpora
+
 
 def write_lines(df: DataFrame, path: str, column: str = "line", single_file: bool = False) -> None:
     """One line of text per row."""
@@ -14,6 +16,22 @@ def write_lines(df: DataFrame, path: str, column: str = "line", single_file: boo
     (out.coalesce(1) if single_file else out).write.mode("overwrite").text(path)
 
 
+def write_ordered(df: DataFrame, path: str, *order: str, column: str = "line") -> None:
+    """One line of text per row, in order over the part files' names, and their manifest beside them.
+
+    Ranges of the order are sorted each; the manifest at ``path``_manifest lists
+    the parts in order with the number of lines of each.
+    """
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.select(column).write.mode("overwrite").text(path)
+    rows = corpora.read_lines(spark, path).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+    files = sorted(spark.read.text(path).inputFiles())
+    # one row per part
+    lines = {r["doc_id"]: r["lines"] for r in rows.collect()}
+    write_document(spark, [{"part": f.rsplit("/", 1)[-1], "lines": lines.get(k, 0)} for k, f in enumerate(files)], f"{path}_manifest")
+
+
 def million(n: int) -> int:
     return n // 1_000_000
 

@@ -240,7 +240,7 @@ def test_quality_equals_plain_ridge(spark):
 def test_toxicity_logit_by_loops():
     """The looked-up convolution and pooling against nested loops."""
     rng = np.random.default_rng(3)
-    texts = [rng.integers(0, 1 << 62, rng.integers(1, 30)).astype(np.uint64) * np.uint64(3) for _ in range(12)] * 4
+    texts = [rng.integers(0, 1 << 62, (2, rng.integers(1, 30))).astype(np.uint64) * np.uint64(3) for _ in range(12)] * 4
     net = toxicity.train(texts, np.array([1.0, 0.0] * 24))
     net.compile()
     for h in texts[:12]:
@@ -249,11 +249,57 @@ def test_toxicity_logit_by_loops():
         for i, w in enumerate(toxicity.WIDTHS):
             for f in range(toxicity.FILTERS):
                 best = 0.0
-                for a in range(len(ids) - w + 1):
-                    r = sum(net.embed[ids[a + j]] @ net.kernels[i][j][:, f] for j in range(w)) + net.biases[i][f]
+                for a in range(ids.shape[1] - w + 1):
+                    r = sum((net.embed[ids[0, a + j]] + net.embed[ids[1, a + j]]) @ net.kernels[i][j][:, f] for j in range(w)) + net.biases[i][f]
                     best = max(best, r)
                 z += best * net.out[i * toxicity.FILTERS + f]
         assert abs(z - net.logit(ids)) < 1e-3 * max(1, abs(z))
+    other = toxicity.train(texts, np.array([1.0, 0.0] * 24), 5)
+    other.compile()
+    both = toxicity.mean_of([net, other])
+    for h in texts[:12]:
+        ids = net.ids(h)
+        assert abs(both.logit(ids) - (net.logit(ids) + other.logit(ids)) / 2) < 1e-3
+
+
+def test_toxicity_gradients_by_differences():
+    """Each parameter's gradient against a small step of it."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 1 << 62, (2, 9)).astype(np.uint64) * np.uint64(3) for _ in range(4)] * 3
+    net = toxicity.train(texts, np.array([1.0, 0.0, 1.0, 0.0] * 3))
+    ids, y = net.ids(texts[0]), 0.0
+
+    def loss():
+        x = net.embed[ids[0]] + net.embed[ids[1]]
+        z = net.bias
+        for i, w in enumerate(toxicity.WIDTHS):
+            r = np.stack([sum(x[a + j] @ net.kernels[i][j] for j in range(w)) + net.biases[i] for a in range(len(x) - w + 1)])
+            z += np.maximum(r.max(0), 0) @ net.out[i * toxicity.FILTERS : (i + 1) * toxicity.FILTERS]
+        return np.log1p(np.exp(-z)) if y else np.log1p(np.exp(z))
+
+    net.out *= 0.1
+    grads = {name: np.zeros_like(p) for name, p in toxicity._parameters(net)}
+    toxicity._backward(net, ids, y, 1.0, grads)
+    for name, p in toxicity._parameters(net):
+        flat, g = p.reshape(-1), grads[name].reshape(-1)
+        for k in rng.choice(np.flatnonzero(g) if g.any() else [0], 5):
+            old, step = flat[k], 1e-6
+            flat[k] = old + step
+            up = loss()
+            flat[k] = old - step
+            down = loss()
+            flat[k] = old
+            assert abs((up - down) / (2 * step) - g[k]) < 1e-4 * max(1, abs(g[k])), name
+
+
+def test_best_cut_tries_every_place():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 7, 40):
+        z, y, w = rng.normal(size=n).round(1), rng.integers(0, 2, n).astype(float), rng.uniform(0.1, 2, n)
+        cut = toxicity.best_cut(z, y, w)
+        errors = lambda c: (w * ((z >= c) != (y == 1))).sum()  # noqa: B023, E731
+        places = [z.min() - 1, *((a + b) / 2 for a, b in zip(sorted(set(z)), sorted(set(z))[1:], strict=False)), z.max() + 1]
+        assert errors(cut) <= min(map(errors, places)) + 1e-9
 
 
 def test_toxicity_repeated_labels(spark):

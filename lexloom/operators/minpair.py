@@ -80,19 +80,22 @@ def bigram_scores(long: DataFrame, corpus: DataFrame) -> DataFrame:
     pairs = chain.groupBy(F.col("g.prev").alias("prev"), F.col("g.word").alias("word")).agg(F.count(F.lit(1)).alias("c"))
     prevs = pairs.groupBy("prev").agg(F.sum("c").alias("cp"))
     size = pairs.agg(F.countDistinct("word").alias("v"))
-    # the sizes go along, not the text: a row stands for one word
-    keys = ["subset", "pair_id", "side", "n_chars", "n_bytes"]
-    sized = long.select("subset", "pair_id", "side", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), _bigrams(F.col("text")).alias("grams"))
-    asked = sized.select(*keys, F.explode_outer("grams").alias("g")).select(*keys, "g.prev", "g.word")
-    # every distinct bigram is scored once; one row has the size of the vocabulary
-    need = asked.select("prev", "word").distinct().join(pairs, ["prev", "word"], "left").join(prevs, "prev", "left").join(F.broadcast(size), F.lit(True))
-    scored = need.select("prev", "word", F.log((F.coalesce("c", F.lit(0)) + 1) / (F.coalesce("cp", F.lit(0)) + F.col("v"))).alias("lp"))
-    return asked.join(scored, ["prev", "word"], "left").groupBy("subset", "pair_id", "side").agg(
-        F.sum("lp").alias("lp"),
-        F.count("word").cast("int").alias("n_tokens"),
-        F.max("n_chars").alias("n_chars"),
-        F.max("n_bytes").alias("n_bytes"),
-    )
+    # a row stands for a bigram of a pair, with its times on either side
+    at = lambda side: F.sum(F.when(F.col("side") == side, 1).otherwise(0)).alias(side)
+    asked = long.select("subset", "pair_id", "side", F.explode(_bigrams(F.col("text"))).alias("g")).repartition(F.col("g.prev"), F.col("g.word"))
+    asked = asked.groupBy(F.col("g.prev").alias("prev"), F.col("g.word").alias("word"), "subset", "pair_id").agg(at("good"), at("bad"))
+    met = asked.join(pairs.join(prevs, "prev"), ["prev", "word"], "left")
+    # a bigram that the corpus has not still has a first word; few rows are left to look that up
+    new = met.filter("c IS NULL").drop("c", "cp").join(prevs, "prev", "left").withColumn("c", F.lit(None).cast("long"))
+    known = met.filter("c IS NOT NULL").unionByName(new)
+    lp = F.log((F.coalesce("c", F.lit(0)) + 1) / (F.coalesce("cp", F.lit(0)) + F.col("v")))
+    # one row has the size of the vocabulary
+    scored = known.join(F.broadcast(size), F.lit(True)).withColumn("lp", lp)
+    side = lambda s: F.struct(F.lit(s).alias("side"), F.when(F.sum(s) > 0, F.sum(F.col(s) * F.col("lp"))).alias("lp"), F.sum(s).cast("int").alias("n_tokens"))
+    sums = scored.groupBy("subset", "pair_id").agg(F.array(side("good"), side("bad")).alias("each")).select("subset", "pair_id", F.inline("each"))
+    sized = long.select("subset", "pair_id", "side", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"))
+    out = sized.join(sums, ["subset", "pair_id", "side"], "left")
+    return out.select("subset", "pair_id", "side", "lp", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "n_chars", "n_bytes")
 
 
 def _bigrams(text: Column) -> Column:

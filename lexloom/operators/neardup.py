@@ -118,7 +118,7 @@ def similar_pairs(lines: DataFrame, threshold: float = NEAR_THRESHOLD, hot: int
     sets = written(gram_lists(lines, frequent), "gram-lists")
     # a little more than needed, so that rounding loses no pair
     need = lambda n: F.ceil(n * F.lit(threshold) - 1e-9).cast("int")
-    width = -math.log(threshold)
+    width = max(-math.log(threshold), 1e-3)
     band = F.floor(F.log(F.col("n").cast("double")) / width + 1e-9).cast("int")
     grams = F.slice("grams", F.lit(1), F.col("n") - need(F.col("n")) + 1)
     keyed = sets.select("id", "n", F.posexplode(grams).alias("at", "gram")).select("id", "n", (F.col("at") + 1).alias("at"), F.col("gram").cast("long").alias("key"))

@@ -26,6 +26,11 @@ def _affix(word: Column, affixes: list[str], front: bool, spare: int) -> Column:
     return F.regexp_extract(word, pattern, 1)
 
 
+def longest_affix(word: Column, affixes: list[str], front: bool) -> Column:
+    """The longest affix that is shorter than the word, or ''."""
+    return _affix(word, affixes, front, 0)
+
+
 def split_marked(word: Column) -> Column:
     """Segmentation with boundary marks: words of at most three characters stay as they are."""
     low = F.lower(word)

@@ -179,9 +179,11 @@ def table_filter(spark, d):
     return I.lines(spark, d).select("doc_id", "pos", X.table_share(F.col("line")).alias("share")).filter(F.col("share") > R.TABLE_SHARE)
 
 
-@query(f"SELECT * FROM (VALUES {I.target_values(10_000_000)}) AS t(corpus, target)")
+@query(f"WITH {I.LINES}, n AS (SELECT CAST(sum(len({I.toks('line')})) AS BIGINT) AS n FROM lines) SELECT corpus, CAST(floor(n * CAST(share AS DOUBLE)) AS BIGINT) AS target FROM n, {I.SHARES}")
 def mixture_targets(spark, d):
-    return curate.target_table(I.table(spark, d, "documents"), 10_000_000)
+    """Each corpus's share of as many tokens as all lines have."""
+    lines = I.lines(spark, d)
+    return curate.target_table(lines, lines.agg(F.sum(X.count_tokens(F.col("line")))).first()[0] or 0)
 
 
 @query(f"WITH {I.PHASE1}, {I.sampled(TARGET)} SELECT corpus, doc_id, pos, n_tokens, cum FROM s1 WHERE total <= target OR cum <= target")
@@ -189,6 +191,24 @@ def budget_prefix(spark, d):
     return curate.budget_prefix(_kept(spark, d), TARGET).select("corpus", "doc_id", "pos", "n_tokens", "cum")
 
 
+@query(f"WITH {I.PHASE1}, {I.sampled_share(8)} SELECT corpus, doc_id, pos, n_tokens, cum FROM s1 WHERE total <= target OR cum <= target")
+def budget_prefix_cut(spark, d):
+    """The sample under a budget of an eighth of the table's own tokens, which every corpus exceeds."""
+    kept = _kept(spark, d)
+    return curate.budget_prefix(kept, _tokens(kept) // 8).select("corpus", "doc_id", "pos", "n_tokens", "cum")
+
+
+@query(f"WITH {I.PHASE1}, {I.sampled_share(8)} SELECT corpus, doc_id, pos, n_tokens FROM s1 WHERE cum <= target OR (cum - n_tokens <= target AND cum > target AND cum - target < target - (cum - n_tokens))")
+def nearest_prefix_cut(spark, d):
+    """The nearest sample under that budget."""
+    kept = _kept(spark, d)
+    return curate.nearest_prefix(kept, _tokens(kept) // 8).select("corpus", "doc_id", "pos", "n_tokens")
+
+
+def _tokens(lines) -> int:
+    return lines.agg(F.sum("n_tokens")).first()[0] or 0
+
+
 @query(f"WITH {I.phase2(TARGET)} SELECT corpus, doc_id, pos, reason FROM p2")
 def phase2_reasons(spark, d):
     return _phase2(spark, d).select("corpus", "doc_id", "pos", "reason")
@@ -424,6 +444,19 @@ def vocab_sweep(spark, d):
     return minpair.sweep(minpair.wide(_sides(spark, d)), lengths)
 
 
+_DISPLAY = {"raw_log_prob": "Raw Log-Prob", "normalized_log_prob": "Normalized (per token)", "bpc": "Bits per Character", "bpb": "Bits per Byte"}
+
+
+@query(
+    f"""WITH {I.ERRORS}, by_size AS (SELECT metric, CAST(floor(pair_id / 100) AS BIGINT) * 1000 AS size, avg(error) AS e FROM errors GROUP BY ALL)
+SELECT CASE metric {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _DISPLAY.items())} END AS metric, CAST(size // 1000 AS VARCHAR) || 'k' AS size, {r6('e')} FROM by_size"""
+)
+def plot_labels(spark, d):
+    """Error rates of pairs in hundreds under the names that plots show."""
+    rows = _errors(spark, d).groupBy("metric", (F.floor(F.col("pair_id") / 100) * 1000).alias("size")).agg(F.avg("error").alias("e"))
+    return rows.select(X.pretty_metric(F.col("metric")).alias("metric"), X.k_label(F.col("size")).alias("size"), "e")
+
+
 @query(f"WITH {I.ERRORS} SELECT subset, pair_id, category, delta, abs_delta FROM imb")
 def imbalance_pairs(spark, d):
     return minpair.imbalance(_metrics(spark, d)).select("subset", "pair_id", "category", "delta", "abs_delta")
@@ -488,20 +521,64 @@ def metric_gap_rank(spark, d):
     return minpair.gap_rank(_accuracy(spark, d))
 
 
-_MODELS = f"""{I.ACCURACY}, avgs AS (SELECT {', '.join(f'avg({m}) AS {m}' for m in R.METRICS)} FROM acc),
-labels_(label, size) AS (VALUES ('Baseline-Clean', 0), ('Morph-5000', 5000), ('Morph-10000', 10000), ('Other', 1)), models AS (SELECT * FROM labels_, avgs),
-toks_(tokenizer, size, compression_ratio, tokens_per_1000_chars, avg_tokens_per_word, morph_percent) AS (VALUES
-  ('baseline', 0, 0.4359125, 435.9125, 2.2765, 3.84), ('morph_5000', 5000, 0.4058475, 405.8475, 2.1285, 6.73))"""
+_IN_AFFIXES = f"IN ({', '.join(f"'{a}'" for a in _AFFIXES)})"
+_UNIFORM = f"""uni AS (SELECT subset, pair_id, side, round(-len({I.toks('text')}) * ln(256), 9) AS lp, len({I.toks('text')}) AS n_tokens, length(text) AS n_chars, strlen(text) AS n_bytes FROM sides),
+uwide AS (SELECT g.subset, g.pair_id, {', '.join(f'{s}.{c} AS {c}_{n}' for s, n in (('g', 'good'), ('b', 'bad')) for c in ('lp', 'n_tokens', 'n_chars', 'n_bytes'))}
+  FROM uni g JOIN uni b ON g.pair_id = b.pair_id AND g.side = 'good' AND b.side = 'bad'),
+uacc AS (SELECT subset, count(*) AS pairs, {', '.join(f'avg(CAST({I.correct(m)} AS DOUBLE)) AS {m}' for m in R.METRICS)} FROM uwide GROUP BY subset)"""
+_FIGURES = f"""{_PLAIN}, said AS (SELECT word, count(*) AS n FROM (SELECT unnest({I.toks('line')}) AS word FROM lines) GROUP BY word),
+cut AS (SELECT n, string_split(parts, ' ') AS p FROM said JOIN plain USING (word)),
+tok_counts AS (SELECT 'baseline' AS tokenizer, 0 AS size, sum(n) AS tokens, sum(CASE WHEN word {_IN_AFFIXES} OR lower(word) {_IN_AFFIXES} THEN n ELSE 0 END) AS aligned FROM said
+  UNION ALL SELECT 'morph_5000', 5000, sum(n * len(p)), sum(n * len(list_filter(p, lambda x: x {_IN_AFFIXES}))) FROM cut),
+toks_ AS (SELECT tokenizer, size, tokens / chars AS compression_ratio, tokens / chars * 1000 AS tokens_per_1000_chars, tokens / words AS avg_tokens_per_word, aligned / tokens * 100 AS morph_percent
+  FROM tok_counts, (SELECT CAST(sum(length(trim(line))) AS DOUBLE) AS chars FROM lines), (SELECT CAST(sum(n) AS DOUBLE) AS words FROM said))"""
+_MODELS = f"""{I.ACCURACY}, {_UNIFORM}, {_FIGURES},
+avgs AS (SELECT 'bigram' AS scorer, {', '.join(f'avg({m}) AS {m}' for m in R.METRICS)} FROM acc UNION ALL SELECT 'uniform', {', '.join(f'avg({m})' for m in R.METRICS)} FROM uacc),
+labels_(label, size, scorer) AS (VALUES ('Baseline-Clean', 0, 'bigram'), ('Morph-5000', 5000, 'uniform'), ('Morph-10000', 10000, 'bigram'), ('Other', 1, 'uniform')),
+models AS (SELECT * FROM labels_ JOIN avgs USING (scorer))"""
+
+
+def _uniform(spark, d):
+    """Accuracies under the scorer that gives every token the same loss."""
+    scored = minpair.sentence_scores(minpair.score(minpair.sides(I.pairs(spark, d)), minpair.uniform_scorer))
+    # without the last bits of long sums, so that equal means tie
+    scored = scored.withColumn("lp", F.round("lp", 9))
+    return minpair.subset_accuracy(minpair.pair_metrics(minpair.wide(scored)))
+
+
+@query(f"WITH {I.PAIRS}, {_UNIFORM} SELECT subset, pairs, {r6(*R.METRICS)} FROM uacc")
+def uniform_accuracy(spark, d):
+    """What the metrics say of a model that knows nothing but the number of tokens."""
+    return _uniform(spark, d)
 
 
 def _models(spark, d):
-    labels = spark.createDataFrame([("Baseline-Clean", 0), ("Morph-5000", 5000), ("Morph-10000", 10000), ("Other", 1)], "label string, size int")
-    return labels.join(F.broadcast(minpair.macro_average(_accuracy(spark, d))), F.lit(True))
+    """Models by label, each with the averages of its scorer."""
+    averages = lambda accuracy, name: minpair.macro_average(accuracy).withColumn("scorer", F.lit(name))
+    both = averages(_accuracy(spark, d), "bigram").unionByName(averages(_uniform(spark, d), "uniform"))
+    rows = [("Baseline-Clean", 0, "bigram"), ("Morph-5000", 5000, "uniform"), ("Morph-10000", 10000, "bigram"), ("Other", 1, "uniform")]
+    return spark.createDataFrame(rows, "label string, size int, scorer string").join(F.broadcast(both), "scorer")
+
+
+def _tokenizers(spark, d):
+    """Figures of two tokenizers over all lines: whole words, and words cut by the rules."""
+    lines = I.lines(spark, d)
+    words = lines.select(F.explode(X.tokens(F.col("line"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    aligned = lambda parts: F.size(F.filter(parts, lambda p: p.isin(_AFFIXES) | F.lower(p).isin(_AFFIXES)))
+    cuts = X.once(words, whole=F.array("word"), parts=F.split(M.plain_line(F.col("word")), " "))
+    each = F.array(*[F.struct(F.lit(t).alias("tokenizer"), F.lit(k).alias("size"), F.size(c).alias("pieces"), aligned(F.col(c)).alias("aligned")) for t, k, c in (("baseline", 0, "whole"), ("morph_5000", 5000, "parts"))])
+    sums = cuts.select("n", F.inline(each)).groupBy("tokenizer", "size").agg(F.sum("n").alias("words"), F.sum(F.col("n") * F.col("pieces")).alias("tokens"), F.sum(F.col("n") * F.col("aligned")).alias("aligned"))
+    chars = lines.agg(F.sum(F.length(F.trim("line"))).alias("chars"))
+    ratio = F.col("tokens") / F.col("chars")
+    return sums.join(F.broadcast(chars), F.lit(True)).select(
+        "tokenizer", "size", ratio.alias("compression_ratio"), (ratio * 1000).alias("tokens_per_1000_chars"), (F.col("tokens") / F.col("words")).alias("avg_tokens_per_word"), (F.col("aligned") / F.col("tokens") * 100).alias("morph_percent")
+    )
 
 
-def _tokenizers(spark):
-    rows = [("baseline", 0, 0.4359125, 435.9125, 2.2765, 3.84), ("morph_5000", 5000, 0.4058475, 405.8475, 2.1285, 6.73)]
-    return spark.createDataFrame(rows, "tokenizer string, size int, compression_ratio double, tokens_per_1000_chars double, avg_tokens_per_word double, morph_percent double")
+@query(f"WITH {_FIGURES} SELECT tokenizer, CAST(size AS BIGINT) AS size, {r6('compression_ratio', 'tokens_per_1000_chars', 'avg_tokens_per_word', 'morph_percent')} FROM toks_")
+def tokenizer_figures(spark, d):
+    """Tokens per character and word, and the share of pieces that are affixes."""
+    return _tokenizers(spark, d)
 
 
 @query(
@@ -509,7 +586,7 @@ def _tokenizers(spark):
 FROM (SELECT CAST(m.size AS BIGINT) AS size, normalized_log_prob, bpb, compression_ratio FROM models m JOIN toks_ t ON m.size = t.size)"""
 )
 def granularity_rows(spark, d):
-    return report.granularity_rows(_models(spark, d), _tokenizers(spark))
+    return report.granularity_rows(_models(spark, d), _tokenizers(spark, d))
 
 
 _CELL = "coalesce(printf('%.{n}f', round(CAST({c} AS DOUBLE), {n})), '-') AS {a}"
@@ -521,7 +598,7 @@ _CELL = "coalesce(printf('%.{n}f', round(CAST({c} AS DOUBLE), {n})), '-') AS {a}
 FROM models m LEFT JOIN toks_ t ON t.tokenizer = CASE WHEN contains(label, 'Baseline') THEN 'baseline' WHEN contains(label, 'Morph-') THEN 'morph_' || regexp_extract(label, '-([^-]*)$', 1) END"""
 )
 def benchmark_table(spark, d):
-    return report.benchmark_table(_models(spark, d), _tokenizers(spark))
+    return report.benchmark_table(_models(spark, d), _tokenizers(spark, d))
 
 
 # ---------------------------------------------------------------- training data and metrics
@@ -549,12 +626,13 @@ w AS (SELECT *, max(len(ids)) OVER (PARTITION BY shard, batch) AS width FROM b)"
 
 @query(
     f"""WITH {_BATCH} SELECT doc_id, shard, batch, CAST(width AS BIGINT) AS width, array_to_string(list_concat(ids, list_transform(range(width - len(ids)), lambda i: 0)), ' ') AS input_ids,
-  array_to_string(list_concat(ids, list_transform(range(width - len(ids)), lambda i: -100)), ' ') AS labels FROM w"""
+  array_to_string(list_concat(ids, list_transform(range(width - len(ids)), lambda i: -100)), ' ') AS labels,
+  array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(width - len(ids)), lambda i: 0)), ' ') AS attention_mask FROM w"""
 )
 def pad_batches(spark, d):
     out = training.batches(_id_rows(spark, d), "ids", 16, shards=8, max_len=1024)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
-    return out.select("doc_id", "shard", "batch", "width", text("input_ids"), text("labels"))
+    return out.select("doc_id", "shard", "batch", "width", text("input_ids"), text("labels"), text("attention_mask"))
 
 
 @query(f"WITH {_IDS} SELECT doc_id, array_to_string(list_concat([1], ids, [2])[1:1024], ' ') AS framed, array_to_string(ids[1:len(ids) - 1], ' ') AS inputs, array_to_string(ids[2:], ' ') AS labels FROM ids")

@@ -6,13 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lexloom.functions import morphology as M
 from lexloom.functions import rules as R
 from lexloom.functions import text as X
 from lexloom.operators import minpair, report, training
 from lexloom.plans import catalogue as Q
 from lexloom.plans import inputs as I
+from lexloom.plans import pipeline
 from lexloom.plans.catalogue import query
-from lexloom.session import shared_dir
+from lexloom.session import shared_dir, written
 from lexloom.sources import corpora, sinks
 
 #: Corpora that ``corpus_files`` writes; the reader has to skip the one that is missing.
@@ -49,9 +51,15 @@ def natural_sample(spark, d):
     return corpora.natural_lines(I.lines(spark, d))
 
 
+@query(f"WITH {I.LINES}, k AS (SELECT doc_id, pos, trim(line) AS line FROM lines WHERE length(trim(line)) > 10) SELECT doc_id, pos, line FROM k ORDER BY md5('42|' || line), doc_id, pos LIMIT 500")
+def natural_sample_cut(spark, d):
+    """The seeded sample where it cuts at every size."""
+    return corpora.natural_lines(I.lines(spark, d), 500)
+
+
 @query(f"WITH {I.PAIRS} SELECT subset, sentence_good, sentence_bad, count(*) AS n FROM pairs WHERE subset IN ({', '.join(f"'{s}'" for s in SUBSETS)}) GROUP BY ALL")
 def pair_files(spark, d):
-    """JSON lines per subset, half of them in the fallback folder; the other subsets' files are missing."""
+    """JSON lines of four subsets, half of them in the fallback folder; all other subsets' files are missing and have to be skipped."""
     at, pairs = folder(spark), I.pairs(spark, d)
     for i, s in enumerate(SUBSETS):
         sinks.records_json(pairs.filter(F.col("subset") == s).select("sentence_good", "sentence_bad"), f"{at}/{'data/' * (i % 2)}{s}.jsonl")
@@ -103,18 +111,20 @@ def pair_file_counts(spark, d):
     return each[0].unionByName(each[1])
 
 
-_RULES = [("prefix", a) for a in R.PREFIXES] + [("suffix", a) for a in R.SUFFIXES]
+_LONGEST = {k: Q._sql_affix("low", v, k == "prefix", 0) for k, v in (("prefix", R.PREFIXES), ("suffix", R.SUFFIXES))}
 
 
-@query(values(sorted((k, a, sum(x == (k, a) for x in _RULES)) for k, a in set(_RULES)), "kind, affix, n").replace("SELECT *", "SELECT kind, affix, CAST(n AS BIGINT) AS n", 1))
+@query(f"WITH {Q._WORDS}, l AS (SELECT lower(word) AS low FROM words), f AS ({' UNION ALL '.join(f"SELECT '{k}' AS kind, {v} AS affix FROM l" for k, v in _LONGEST.items())}) SELECT kind, affix, count(*) AS n FROM f WHERE affix <> '' GROUP BY ALL")
 def rule_file(spark, d):
-    """Prefixes and suffixes of a rule file; a missing file has none."""
+    """Distinct words by the longest prefix and suffix of a rule file; a missing file has none."""
     at = folder(spark)
     sinks.write_document(spark, {"prefixes": list(R.PREFIXES), "suffixes": list(R.SUFFIXES), "morpheme_marker": R.MARKER}, f"{at}/config.json")
-    prefixes, suffixes, _ = corpora.read_rules(spark, f"{at}/config.json")
+    found = dict(zip(("prefix", "suffix"), corpora.read_rules(spark, corpora.first_existing(spark, f"{at}/none.json", f"{at}/config.json")), strict=False))
     missing, _, _ = corpora.read_rules(spark, f"{at}/none.json")
-    rows = [("prefix", a) for a in prefixes + missing] + [("suffix", a) for a in suffixes]
-    return spark.createDataFrame(rows, "kind string, affix string").groupBy("kind", "affix").agg(F.count(F.lit(1)).alias("n"))
+    low = F.lower("word")
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), M.longest_affix(low, v + missing, k == "prefix").alias("affix")) for k, v in found.items()])
+    rows = Q._words(spark, d).select(F.inline(each)).filter("affix <> ''")
+    return rows.groupBy("kind", "affix").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -143,8 +153,11 @@ def result_files(spark, d):
     nested = {"subsets": {r["subset"]: {m: r[m] for m in R.METRICS} for r in rows}, "averages": {}}
     flat, wrapped = ({f"{r['subset']} {n}": r[m] for r in rows} for n, m in (("flat", "bpb"), ("wrapped", "bpc")))
     out = None
-    for name, value in (("nested", nested), ("flat", flat), ("wrapped", {"results": wrapped})):
-        sinks.write_document(spark, value, f"{at}/{name}.json")
+    one_row = sinks.results_json(spark.createDataFrame(list(flat.items()), "subset string, accuracy double"))
+    sinks.write_lines(one_row, f"{at}/flat.json", "json", single_file=True)
+    for name, value in (("nested", nested), ("flat", None), ("wrapped", {"results": wrapped})):
+        if value is not None:
+            sinks.write_document(spark, value, f"{at}/{name}.json")
         one = corpora.read_results(spark, f"{at}/{name}.json")
         out = one if out is None else out.unionByName(one)
     return out
@@ -185,20 +198,50 @@ _CELLS = "tokens_per_1k_chars avg_tokens_per_word morph_align sum mean bpc bpb".
 def benchmark_markdown(spark, d):
     """The benchmark table as a Markdown file, read back by line."""
     path = f"{folder(spark)}/table.md"
-    rows = report.benchmark_table(Q._models(spark, d), Q._tokenizers(spark)).select("model", *_CELLS).collect()  # one per model
+    rows = report.benchmark_table(Q._models(spark, d), Q._tokenizers(spark, d)).select("model", *_CELLS).collect()  # one per model
     sinks.write_lines(spark.createDataFrame([(sinks.markdown(["model", *_CELLS], [tuple(r) for r in rows]),)], "line string"), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@query(values([(p, n) for p, n in sinks.phase_names(Q.TARGET, Q.TOP, Q.SAMPLE).items()], "phase, name"))
+_PHASES = dict(zip(sinks.phase_names(Q.TARGET, Q.TOP, Q.SAMPLE).items(), ("kept2", "top3", "p4"), strict=True))
+
+
+@query(f"WITH {Q._NEAREST} " + " UNION ALL ".join(f"SELECT '{p}' AS phase, '{n}' AS name, count(*) AS lines FROM {t}" for (p, n), t in _PHASES.items()))
 def phase_files(spark, d):
-    """Names of the phases' files by the sizes asked for, as they are found after writing."""
+    """The phases' files by the names that follow from the sizes asked for, and their lines as they are found after writing."""
     at = folder(spark)
     names = sinks.phase_names(Q.TARGET, Q.TOP, Q.SAMPLE)
-    for name in names.values():
-        sinks.write_lines(spark.createDataFrame([("x",)], "line string"), f"{at}/{name}")
+    full = written(Q._full(spark, d), "full")
+    best = written(Q.curate.top_fraction(written(Q.curate.scored(full), "scored"), Q.TOP), "top")
+    for rows, name in zip((full, best, Q.curate.nearest_prefix(best, Q.SAMPLE)), names.values(), strict=True):
+        sinks.write_lines(rows, f"{at}/{name}")
     found = corpora.present(spark, {p: f"{at}/{n}" for p, n in names.items()})
-    return spark.createDataFrame([(p, path.rsplit("/", 1)[1]) for p, path in found.items()], "phase string, name string")
+    out = None
+    for phase, path in found.items():
+        one = spark.read.text(path).agg(F.count(F.lit(1)).alias("lines")).select(F.lit(phase).alias("phase"), F.lit(path.rsplit("/", 1)[1]).alias("name"), "lines")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {I.PHASE1} SELECT corpus, count(*) AS input_lines, CAST(sum(n_in) AS BIGINT) AS input_tokens, CAST(count(*) FILTER (reason IS NULL) AS BIGINT) AS output_lines FROM p1 GROUP BY corpus")
+def cleaning_report_file(spark, d):
+    """Phase 1 of the pipeline's report document, read back."""
+    path = f"{folder(spark)}/cleaning_report"
+    sinks.write_document(spark, pipeline.run(I.lines(spark, d), Q.TARGET, Q.TOP, Q.SAMPLE)["report"], path)
+    rows = "array<struct<corpus:string,input_lines:long,input_tokens:long,output_lines:long>>"
+    return spark.read.text(path, wholetext=True).select(F.inline(F.from_json(F.get_json_object("value", "$.phases.phase1.stats"), rows)))
+
+
+@query(f"WITH {Q._FIGURES} SELECT tokenizer, {Q.r6('compression_ratio', 'tokens_per_1000_chars', 'avg_tokens_per_word')} FROM toks_")
+def tokenizer_report_file(spark, d):
+    """A report document per tokenizer, read back."""
+    at = folder(spark)
+    out = None
+    for r in Q._tokenizers(spark, d).collect():  # one row per tokenizer
+        sinks.write_document(spark, {k: r[k] for k in ("tokenizer", "compression_ratio", "tokens_per_1000_chars", "avg_tokens_per_word")}, f"{at}/{r['tokenizer']}.json")
+        one = corpora.read_tokenizer_report(spark, f"{at}/{r['tokenizer']}.json").select("tokenizer", "compression_ratio", "tokens_per_1000_chars", "avg_tokens_per_word")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(

@@ -124,6 +124,15 @@ def target_values(total: int) -> str:
     return ", ".join(f"('{c}', CAST({int(total * p)} AS BIGINT))" for c, p in R.MIXTURE.items())
 
 
+SHARES = "(VALUES " + ", ".join(f"('{c}', {p})" for c, p in R.MIXTURE.items()) + ") AS m(corpus, share)"
+
+
+def sampled_share(part: int) -> str:
+    """As ``sampled``, against the ``part``-th part of the kept lines' own tokens."""
+    own = f"SELECT corpus, CAST(floor((SELECT CAST(sum(n_tokens) AS BIGINT) // {part} FROM kept1) * CAST(share AS DOUBLE)) AS BIGINT) FROM {SHARES}"
+    return sampled(0).replace(f"VALUES {target_values(0)}", own)
+
+
 URL = "regexp_matches(line, '(?i)https?://|www\\.|\\.com|\\.org|\\.net')"
 CODE = f"coalesce(len(list_filter({toks('line')}, lambda t: regexp_matches(t, '[{{}};]'))) / nullif(len({toks('line')}), 0), 0.0)"
 TABLE = f"coalesce((length(line) - length(regexp_replace(line, '[{DIGIT}.,;:|()\\[\\]{{}}]', '', 'g'))) / nullif(length(line), 0), 0.0)"

@@ -522,7 +522,7 @@ def metric_gap_rank(spark, d):
 
 
 _IN_AFFIXES = f"IN ({', '.join(f"'{a}'" for a in _AFFIXES)})"
-_UNIFORM = f"""uni AS (SELECT subset, pair_id, side, round(-len({I.toks('text')}) * ln(256), 9) AS lp, len({I.toks('text')}) AS n_tokens, length(text) AS n_chars, strlen(text) AS n_bytes FROM sides),
+_UNIFORM = f"""uni AS (SELECT subset, pair_id, side, -len({I.toks('text')}) * CAST({minpair.LN256!r} AS DOUBLE) AS lp, len({I.toks('text')}) AS n_tokens, length(text) AS n_chars, strlen(text) AS n_bytes FROM sides),
 uwide AS (SELECT g.subset, g.pair_id, {', '.join(f'{s}.{c} AS {c}_{n}' for s, n in (('g', 'good'), ('b', 'bad')) for c in ('lp', 'n_tokens', 'n_chars', 'n_bytes'))}
   FROM uni g JOIN uni b ON g.pair_id = b.pair_id AND g.side = 'good' AND b.side = 'bad'),
 uacc AS (SELECT subset, count(*) AS pairs, {', '.join(f'avg(CAST({I.correct(m)} AS DOUBLE)) AS {m}' for m in R.METRICS)} FROM uwide GROUP BY subset)"""
@@ -541,8 +541,8 @@ models AS (SELECT * FROM labels_ JOIN avgs USING (scorer))"""
 def _uniform(spark, d):
     """Accuracies under the scorer that gives every token the same loss."""
     scored = minpair.sentence_scores(minpair.score(minpair.sides(I.pairs(spark, d)), minpair.uniform_scorer))
-    # without the last bits of long sums, so that equal means tie
-    scored = scored.withColumn("lp", F.round("lp", 9))
+    # whole multiples of the loss, without the last bits of long sums
+    scored = scored.withColumn("lp", F.round(F.col("lp") / minpair.LN256) * minpair.LN256)
     return minpair.subset_accuracy(minpair.pair_metrics(minpair.wide(scored)))
 
 

@@ -115,7 +115,7 @@ def test_unigram_training(spark):
     assert tokenize.decode(v.pieces("the cat")) == "the cat" and len(v.pieces("the")) < 4
 
 
-ORACLES = ("phase1_stats", "phase2_stats", "quality_threshold", "nearest_prefix_mixture", "morph_split_marked", "morph_split_plain", "macro_average", "vocab_sweep", "imbalance_bins", "error_trend", "benchmark_table", "pad_batches", "early_stop", "glue_metrics", "phase1_reasons", "phase1_removed", "corpus_files", "pair_files", "training_pair_files", "split_files", "rule_file", "vocab_file", "result_files", "benchmark_markdown", "packed_blocks", "pseudo_likelihood", "final_order")
+ORACLES = ("phase1_stats", "phase2_stats", "quality_threshold", "nearest_prefix_mixture", "morph_split_marked", "morph_split_plain", "macro_average", "vocab_sweep", "imbalance_bins", "error_trend", "benchmark_table", "pad_batches", "early_stop", "glue_metrics", "phase1_reasons", "phase1_removed", "corpus_files", "pair_files", "training_pair_files", "split_files", "rule_file", "vocab_file", "result_files", "benchmark_markdown", "packed_blocks", "pseudo_likelihood", "final_order", "final_files", "budget_prefix_cut", "nearest_prefix_cut", "uniform_accuracy", "granularity_rows", "imbalance_corr", "category_corr", "near_dup_exact_pairs", "pair_file_counts")
 
 
 @pytest.mark.parametrize("name", ORACLES)

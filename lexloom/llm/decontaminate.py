@@ -143,7 +143,7 @@ class Automaton:
         return spans, found
 
 
-def _scan(automaton: Automaton, at: int):
+def _scan(automaton: Automaton, at: int, own: str):
     """Rows with their word count, hit word ranges (flat) and items; the text is column ``at``."""
     vocabulary = automaton.vocabulary
 
@@ -174,18 +174,18 @@ def _scan(automaton: Automaton, at: int):
                                 found |= names
                     hits.append(spans)
                     items.append(sorted(found))
-            yield with_marks(batch, counts, hits, items)
+            yield with_marks(batch, counts, hits, items, own)
 
     return run
 
 
-def with_marks(batch: pa.RecordBatch, counts: list, hits: list, items: list) -> pa.RecordBatch:
-    """A batch with three further columns; Spark names them by their places."""
+def with_marks(batch: pa.RecordBatch, counts: list, hits: list, items: list, own: str) -> pa.RecordBatch:
+    """A batch with three further columns, whose names have the prefix ``own``."""
     marks = [pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-    return pa.RecordBatch.from_arrays([*batch.columns, *marks], names=[*batch.schema.names, "n_words", "hits", "items"])
+    return pa.RecordBatch.from_arrays([*batch.columns, *marks], names=[*batch.schema.names, own + "n_words", own + "hits", own + "items"])
 
 
-def _merge(at: int):
+def _merge(at: int, own: str):
     """Rows whose last two columns list hits and items of several passes: word counts and unions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,7 @@ def _merge(at: int):
                 counts += np.diff(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).first).tolist()
             hits = [union(each or []) for each in batch.column(last - 2).to_pylist()]
             items = [sorted({x for some in each or [] for x in some}) for each in batch.column(last - 1).to_pylist()]
-            yield with_marks(rows, counts, hits, items)
+            yield with_marks(rows, counts, hits, items, own)
 
     return run
 
@@ -248,18 +248,18 @@ def marked(
     blocks = blocks_of(benchmark, block_words, item_id, item_text)
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
-        return docs.mapInArrow(_scan(Automaton(first, window), docs.columns.index(text)), schema), own
+        return docs.mapInArrow(_scan(Automaton(first, window), docs.columns.index(text), own), schema), own
     numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     slim = numbered.select(row, text)
     passes = T.StructType([*slim.schema.fields, *marks])
     found = None
     for block in chain((first, second), blocks):
-        hits = slim.mapInArrow(_scan(Automaton(block, window), 1), passes).filter(F.size(own + "items") > 0).select(row, own + "hits", own + "items")
+        hits = slim.mapInArrow(_scan(Automaton(block, window), 1, own), passes).filter(F.size(own + "items") > 0).select(row, own + "hits", own + "items")
         hits = written(hits, "hits")
         found = hits if found is None else found.unionByName(hits)
     listed = found.groupBy(row).agg(F.collect_list(own + "hits").alias(each), F.collect_list(own + "items").alias(names))
     both = numbered.join(listed, row, "left").select(*docs.columns, each, names)
-    return both.mapInArrow(_merge(docs.columns.index(text)), schema), own
+    return both.mapInArrow(_merge(docs.columns.index(text), own), schema), own
 
 
 def n_hit(hits: str) -> Column:

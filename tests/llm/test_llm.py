@@ -257,6 +257,7 @@ def test_toxicity_logit_by_loops():
     other = toxicity.train(texts, np.array([1.0, 0.0] * 24), 5)
     other.compile()
     both = toxicity.mean_of([net, other])
+    both.compile()
     for h in texts[:12]:
         ids = net.ids(h)
         assert abs(both.logit(ids) - (net.logit(ids) + other.logit(ids)) / 2) < 1e-3

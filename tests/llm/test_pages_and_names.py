@@ -177,7 +177,7 @@ def test_no_part_of_an_article_is_lost(page, parts):
 
 # ------------------------------------------------------------------ names
 
-NAMES = ("__mark", "__id", "__tag", "__hits", "__items", "__n_words", "__row", "___n")
+NAMES = ("__mark", "__id", "__tag", "__hits", "__items", "__n_words", "__row", "___n", "n_words", "hits", "items", "row", "n")
 
 
 def test_helper_names_are_free(spark, tmp_path, monkeypatch):

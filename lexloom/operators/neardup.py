@@ -152,6 +152,11 @@ def similar_pairs(lines: DataFrame, threshold: float = NEAR_THRESHOLD, hot: int
     return found.filter(F.col("similarity") >= threshold)
 
 
+def exact_pairs(lines: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:
+    """:func:`similar_pairs` with the similarity to six places."""
+    return similar_pairs(lines, threshold).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 def greedy_resolve(pairs: DataFrame, report: dict | None = None) -> DataFrame:
     """ids that are dropped: a row stays if no earlier row that stays is similar to it.
 

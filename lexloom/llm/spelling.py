@@ -16,7 +16,9 @@ each step, has at most 19 links, so five rounds end it.
 A key is shared by words that have one letter more at some place, at most the
 alphabet's size times the key's length; that bound, not the number of rows,
 limits a key's pairs. Counts are added before they are shuffled, so a frequent
-word is one row per task.
+word is one row per task. Every join is a merge of two shuffled sides: tables of
+words are a small part of their size as files, so what looks small enough to be
+broadcast is not, and the driver holds none of them.
 
 Null texts have no words; a null doc_id is written as nothing before the colon.
 Empty texts have no words; a very long run is one word, whole. Repeated rows
@@ -96,10 +98,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """
     keys = keyed(words)
     left, right = keys.select(F.col("id").alias("a"), "key"), keys.select(F.col("id").alias("b"), "key")
-    candidates = left.join(right, "key").filter("a < b").select("a", "b").distinct()
+    candidates = left.join(right.hint("merge"), "key").filter("a < b").select("a", "b").distinct()
     one = words.select(F.col("id").alias("a"), F.col("word").alias("word_a"), F.col("n").alias("n_a"))
     two = words.select(F.col("id").alias("b"), F.col("word").alias("word_b"), F.col("n").alias("n_b"))
-    close = candidates.join(one, "a").join(two, "b").filter(F.levenshtein("word_a", "word_b", 1) == 1)
+    close = candidates.join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter(F.levenshtein("word_a", "word_b", 1) == 1)
     both = F.array(
         F.struct("a", "b", F.col("word_b").alias("word"), F.col("n_b").alias("n")),
         F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("word_a").alias("word"), F.col("n_a").alias("n")),
@@ -113,7 +115,7 @@ def roots(forms: DataFrame) -> DataFrame:
     while True:
         # words without a form are their own roots and so have no row to go on to
         ahead = state.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        moved = written(state.join(ahead, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
+        moved = written(state.join(ahead.hint("merge"), "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
         state = moved.select("id", "root")
         if moved.filter("moved").isEmpty():
             return state
@@ -124,11 +126,11 @@ def variants(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ratio:
     words = written(written(counted(docs, text, doc_id), "spelling-counts").withColumn("id", F.monotonically_increasing_id()), "spelling-words")
     # smallest by (-n, word): the largest count, the first word among equals
     best = near_pairs(words).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("n")).alias("m"), "word", "b")).alias("best"))
-    close = written(words.join(best, "id", "left").withColumn("takes", F.coalesce(-F.col("best.m") >= ratio * F.col("n"), F.lit(False))), "spelling-near")
+    close = written(words.join(best.hint("merge"), "id", "left").withColumn("takes", F.coalesce(-F.col("best.m") >= ratio * F.col("n"), F.lit(False))), "spelling-near")
     found = roots(close.filter("takes").select("id", F.col("best.b").alias("root")))
     names = words.select(F.col("id").alias("root"), F.col("word").alias("root_word"))
-    named = found.join(names, "root").select("id", "root_word")
-    return close.join(named, "id", "left").select(
+    named = found.join(names.hint("merge"), "root").select("id", "root_word")
+    return close.join(named.hint("merge"), "id", "left").select(
         "word",
         F.when(F.col("takes"), F.col("best.word")).alias("form"),
         F.coalesce("root_word", "word").alias("root"),

@@ -53,7 +53,7 @@ def scored_pairs(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Both sides of all pairs with their scores, written once."""
     text = corpora.read_corpora(spark, a.corpus_dir).select(F.col("line").alias("text"))
     pairs = corpora.read_pairs(spark, a.pairs_dir)
-    return written(minpair.wide(minpair.bigram_scores(minpair.sides(pairs), text)), "scored-pairs")
+    return written(minpair.bigram_wide(minpair.rows_of(pairs, text)), "scored-pairs")
 
 
 def pairs(spark: SparkSession, a: argparse.Namespace) -> None:

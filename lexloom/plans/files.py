@@ -187,7 +187,7 @@ def printed_averages(spark, d):
 def imbalance_file(spark, d):
     """Pair details as JSON records, read back."""
     path = f"{folder(spark)}/imbalance.json"
-    sinks.records_json(minpair.imbalance(Q._metrics(spark, d)).select("subset", "pair_id", "category", "delta", "abs_delta"), path)
+    sinks.records_json(Q._imbalance(spark, d).select("subset", "pair_id", "category", "delta", "abs_delta"), path)
     return spark.read.schema("subset string, pair_id long, category string, delta long, abs_delta long").json(path)
 
 

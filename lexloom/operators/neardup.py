@@ -1,4 +1,4 @@
-"""Near-duplicate lines: MinHash over byte 3-grams, exact similar pairs by prefixes, and the greedy rule in order."""
+"""Near-duplicate lines: MinHash over byte 3-grams, exact similar pairs by equal parts, and the greedy rule in order."""
 
 from __future__ import annotations
 
@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.rules import NEAR_THRESHOLD
 from lexloom.functions.text import let
-from lexloom.session import ship, written
+from lexloom.session import ship, slices, written
 
 PERMUTATIONS, BANDS = 128, 8
-#: Grams whose frequency is known to the tasks; all others count as rare.
+#: Grams that are dealt into parts by their frequency; all others are by their hash.
 FREQUENT = 1 << 16
-#: Lines of a key from which it is extended by another gram, and grams of a key at most.
+#: Lines of a key from which it is extended by another part, and parts of a key at most.
 HOT, DEEPEST = 500, 3
+#: Columns of a line's sketch, 64 bits each.
+WORDS = 4
+SKETCH = tuple(f"s{k}" for k in range(WORDS))
 
 
 def byte_grams(line: Column, n: int = 3) -> Column:
@@ -70,81 +73,108 @@ def gram_numbers(text: str) -> np.ndarray:
     return np.unique(raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) if len(raw) > 2 else raw[:0]
 
 
-def gram_lists(lines: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """id, n and grams of lines of at least three bytes; rare grams first.
+def gram_lists(lines: DataFrame) -> DataFrame:
+    """id, n and grams of lines of at least three bytes."""
+    ship(lines.sparkSession)
 
-    The ``frequent`` most frequent grams are ordered by their frequency and come
-    after all others.
-    """
-    spark = lines.sparkSession
-    ship(spark)
-    rows = lines.select("id", "line")
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
             found = [gram_numbers(t or "") for t in batch.column(1).to_pylist()]
-            numbers, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(counts, pa.int64())], names=["gram", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in found], pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["id", "n", "grams"])
 
-    top = rows.mapInArrow(grams, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(frequent).collect()
-    order = np.zeros(1 << 24, np.int32)
-    for rank, r in enumerate(top):
-        order[r["gram"]] = frequent - rank
-    sent = spark.sparkContext.broadcast((np.flatnonzero(order), order[np.flatnonzero(order)]))
+    return lines.select("id", "line").mapInArrow(lists, "id long, n int, grams array<int>").filter("n > 0")
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.zeros(1 << 24, np.int32)
-        order[sent.value[0]] = sent.value[1]
-        for batch in batches:
-            found = [g[np.lexsort((g, order[g]))] for g in (gram_numbers(t or "") for t in batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in found], pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["id", "n", "grams"])
 
-    return rows.mapInArrow(lists, "id long, n int, grams array<int>").filter("n > 0")
+def apart(nx, ny, threshold: float):
+    """Grams that at most are in only one of two similar sets of these sizes; a little more, so that rounding loses no pair."""
+    return (nx + ny) * ((1 - threshold) / (1 + threshold)) + 1e-6
+
+
+def sketches(sets: DataFrame, threshold: float, sure: int, frequent: int) -> DataFrame:
+    """A row per line and level: id, n, level, own, parts and the words of the line's sketch.
+
+    A level is a range of sizes; a line is in its own and, as the smaller one of
+    a pair, in the next. The grams of a level are dealt into as many parts as
+    grams can be apart there and ``sure`` more, so two similar lines are equal in
+    at least ``sure`` parts; ``parts`` has a hash of each. The ``frequent`` most
+    frequent grams are dealt in turn, so that parts are alike in size. A sketch
+    has the parity of the grams that fall to each bit: two lines differ in at
+    most as many bits as grams.
+    """
+    spark = sets.sparkSession
+    top = sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(frequent).collect()
+    sent = spark.sparkContext.broadcast(np.array([r["gram"] for r in top], np.int64))
+    width = max(-math.log(threshold), 1e-3)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = np.full(1 << 24, -1, np.int32)
+        turn[sent.value] = np.arange(len(sent.value))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_000):
+                batch, out = whole.slice(at, 1_000), []
+                for id_, grams in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    g = np.asarray(grams.values, np.int64)
+                    h = mixed(g.astype(np.uint64))
+                    dealt = np.where(turn[g] >= 0, turn[g], (h >> np.uint64(34)).astype(np.int64))
+                    bits = np.bincount((h >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+                    words = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+                    place = math.log(len(g)) / width
+                    own = math.floor(place + 1e-9)
+                    for level in sorted({own, own + 1, math.floor(place + 1 + 1e-6)}):
+                        largest = math.exp((level + 1) * width + 1e-6)
+                        k = math.floor(apart(largest, largest, threshold)) + sure
+                        sums = np.zeros(k, np.uint64)
+                        with np.errstate(over="ignore"):
+                            np.add.at(sums, dealt % k, h)
+                            parts = mixed(sums + mixed(np.arange(k, dtype=np.uint64) + np.uint64(level << 32)))
+                        out.append((id_, len(g), level, level == own, parts.view(np.int64), *words.tolist()))
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), *[pa.int64()] * WORDS]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "n", "level", "own", "parts", *SKETCH])
+
+    return sets.select("id", "grams").mapInArrow(run, "id long, n int, level int, own boolean, parts array<long>, " + ", ".join(f"{s} long" for s in SKETCH))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(32))
 
 
 def similar_pairs(lines: DataFrame, threshold: float = NEAR_THRESHOLD, hot: int = HOT, deepest: int = DEEPEST, frequent: int = FREQUENT) -> DataFrame:
     """a < b (ids) and the exact Jaccard similarity of byte 3-grams, for all pairs at ``threshold`` or more.
 
-    ``lines`` has id (unique) and line. Grams stand in one order, rare ones
-    first. Two similar lines share their first common gram within the first
-    n - ceil(t n) + 1 grams of either, the second one within one gram more, and
-    so on. So lines meet on single grams; where more than ``hot`` lines share
-    one, they meet on it with a second gram behind it instead, and so on up to
-    ``deepest`` grams. A key's lines meet only in neighbouring bands of sizes,
-    and are verified if their sizes and what stands behind the key's last gram
-    leave room for enough common grams. No pair is lost: keys of ``deepest``
-    grams are joined however many lines they have.
+    ``lines`` has id (unique) and line. Similar lines of a level are equal in
+    ``deepest`` parts or more (:func:`sketches`). So lines meet on a part; where
+    more than ``hot`` lines share one, they meet on it with another part behind
+    it instead, and so on up to ``deepest`` parts. Lines that meet are compared
+    by their sketches, and only those that can be similar by these have their
+    grams fetched. No pair is lost: keys of ``deepest`` parts are joined however
+    many lines they have.
     """
-    sets = written(gram_lists(lines, frequent), "gram-lists")
-    # a little more than needed, so that rounding loses no pair
-    need = lambda n: F.ceil(n * F.lit(threshold) - 1e-9).cast("int")
-    width = max(-math.log(threshold), 1e-3)
-    band = F.floor(F.log(F.col("n").cast("double")) / width + 1e-9).cast("int")
-    grams = F.slice("grams", F.lit(1), F.col("n") - need(F.col("n")) + 1)
-    keyed = sets.select("id", "n", F.posexplode(grams).alias("at", "gram")).select("id", "n", (F.col("at") + 1).alias("at"), F.col("gram").cast("long").alias("key"))
+    sets = written(gram_lists(lines), "gram-lists")
+    dealt = written(sketches(sets, threshold, deepest, frequent), "gram-parts")
+    keyed = dealt.select("id", "n", "level", "own", F.posexplode("parts").alias("at", "key"), *SKETCH)
     candidates, depth = None, 1
     while True:
-        keyed = written(keyed.withColumn("band", band), "gram-keys")
         counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > hot)
         # at most one key in ``hot`` rows
         many = written(counts.select("key"), "hot-keys") if depth < deepest else None
         few = keyed if many is None else keyed.join(many, "key", "left_anti")
-        small = few.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2)).alias("band"))
-        large = few.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), "band")
-        room = F.lit(depth) + F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))
-        enough = room * (1 + threshold) >= (F.col("nx") + F.col("ny")) * F.lit(threshold) - 1e-6
+        small = few.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), *[F.col(s).alias(f"x{s}") for s in SKETCH])
+        large = few.filter("own").select("key", F.col("id").alias("y"), F.col("n").alias("ny"), *[F.col(s).alias(f"y{s}") for s in SKETCH])
         order = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
-        met = small.join(large, ["key", "band"]).filter(order & (F.col("nx") >= F.col("ny") * threshold - 1e-6) & enough)
+        differ = sum((F.bit_count(F.col(f"x{s}").bitwiseXOR(F.col(f"y{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"x{SKETCH[0]}").bitwiseXOR(F.col(f"y{SKETCH[0]}"))))
+        met = small.join(large.hint("merge"), "key").filter(order & (F.col("nx") >= F.col("ny") * threshold - 1e-6) & (differ <= apart(F.col("nx"), F.col("ny"), threshold)))
         met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         candidates = met if candidates is None else candidates.unionByName(met)
         if many is None or many.isEmpty():
             break
         depth += 1
-        behind = F.slice("grams", F.col("at") + 1, F.greatest(F.col("n") - need(F.col("n")) + depth - F.col("at"), F.lit(0)))
-        longer = keyed.join(many, "key", "left_semi").join(sets.select("id", "grams"), "id")
-        keyed = longer.select("id", "n", "at", "key", F.posexplode(behind).alias("more", "gram")).select(
-            "id", "n", (F.col("at") + F.col("more") + 1).alias("at"), F.xxhash64("key", "gram").alias("key")
-        )
+        shared = keyed.join(many, "key", "left_semi").select("id", "level", "at", "key")
+        behind = shared.join(dealt, ["id", "level"]).select("*", F.posexplode("parts").alias("next", "part")).filter("next > at")
+        keyed = written(behind.select("id", "n", "level", "own", F.col("next").alias("at"), F.xxhash64("key", "part").alias("key"), *SKETCH), "gram-keys")
     pairs = candidates.distinct()
     left, right = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
     common = F.size(F.array_intersect("ga", "gb"))

@@ -46,3 +46,9 @@ def test_what_is_shuffled(spark):
     assert plan(Q.QUERIES["pair_metrics"](spark, d)).count("SortMergeJoin") == 0
     assert "Window" not in plan(Q.QUERIES["imbalance_pairs"](spark, d)) and "Join" not in plan(Q.QUERIES["imbalance_pairs"](spark, d))
     assert I.pair_rows(spark, d).filter("pair_id IS NOT NULL").drop("text").exceptAll(I.pairs(spark, d)).count() == 0
+
+
+def test_category_table_scores_once(spark):
+    """Both halves of the table read one table of errors; no terms are counted in its own plan."""
+    plan = Q.QUERIES["category_table"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" not in plan

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from lexloom.functions.rules import NEAR_THRESHOLD
 from lexloom.functions.text import let
@@ -41,23 +42,83 @@ def signature(line: Column, permutations: int = PERMUTATIONS) -> Column:
     return let(F.transform(byte_grams(line), lambda g: F.xxhash64(g)), lambda hashes: F.transform(seeds, lambda s: least(hashes, s)))
 
 
-def lsh_pairs(lines: DataFrame, threshold: float = NEAR_THRESHOLD, bands: int = BANDS) -> DataFrame:
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def final(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(33)) * P2
+    h = (h ^ h >> np.uint64(29)) * P3
+    return h ^ h >> np.uint64(32)
+
+
+def gram_hashes(grams: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
+    """For each gram (a number of 24 bits) the hashes whose minima :func:`signature` takes: xxhash64 of (xxhash64 of the hex digits, seed)."""
+    with np.errstate(over="ignore"):
+        nibbles = (grams.astype(np.uint64)[:, None] >> np.arange(20, -1, -4, dtype=np.uint64)) & np.uint64(15)
+        digits = np.frombuffer(b"0123456789ABCDEF", np.uint8).astype(np.uint64)[nibbles.astype(np.int64)]
+        four = digits[:, 0] | digits[:, 1] << np.uint64(8) | digits[:, 2] << np.uint64(16) | digits[:, 3] << np.uint64(24)
+        h = np.uint64(42 + 6) + P5 ^ four * P1
+        h = rotated(h, 23) * P2 + P3
+        for k in (4, 5):
+            h = rotated(h ^ digits[:, k] * P5, 11) * P1
+        h = np.uint64(42 + 8) + P5 ^ rotated(final(h) * P2, 31) * P1
+        h = final(rotated(h, 27) * P1 + P4)
+        h = (h + P5 + np.uint64(4))[:, None] ^ np.arange(1, permutations + 1, dtype=np.uint64) * P1
+        return final(rotated(h, 23) * P2 + P3).view(np.int64)
+
+
+def signatures(lines: DataFrame, permutations: int = PERMUTATIONS) -> DataFrame:
+    """id, place and sig, the :func:`signature` of each line, in Arrow batches: a gram is hashed once a block of lines."""
+    ship(lines.sparkSession)
+    block = 1 << 15
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2, 1 << 18):
+            found = [gram_numbers(t or "") for t in batch.column(2).to_pylist()]
+            grams, line = np.concatenate(found), np.repeat(np.arange(len(found)), [len(g) for g in found])
+            sig = np.full((len(found), permutations), (1 << 63) - 1, np.int64)
+            for at in range(0, len(grams), block):
+                here, some = line[at : at + block], grams[at : at + block]
+                distinct, which = np.unique(some, return_inverse=True)
+                first = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+                low = np.minimum.reduceat(gram_hashes(distinct, permutations)[which.reshape(-1)], first, axis=0)
+                sig[here[first]] = np.minimum(sig[here[first]], low)
+            edge = pa.array(np.arange(len(found) + 1) * permutations, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(edge, pa.array(sig.reshape(-1)))], names=["id", "place", "sig"])
+
+    rows = lines.select("id", "place", "line")
+    return rows.mapInArrow(run, StructType([*rows.schema[:2], StructField("sig", ArrayType(LongType()))]))
+
+
+def lsh_pairs(lines: DataFrame, threshold: float = NEAR_THRESHOLD, bands: int = BANDS, hot: int = HOT) -> DataFrame:
     """a, b (a before b by ``place``) and similarity of lines whose signatures agree in ``threshold`` of all places.
 
     Lines with equal signatures are one class: its first line is compared with
     the other classes, and paired with the rest of its own; under the greedy
-    rule the first line decides for all of them.
+    rule the first line decides for all of them. Where more than ``hot`` classes
+    share a band, they meet on it with a further part of the signature instead:
+    of one part more than places may differ, one is equal, so no pair is lost.
     """
     rows = PERMUTATIONS // bands
-    sig = written(lines.select("id", "place", signature(F.col("line")).alias("sig")), "minhash")
+    sig = written(signatures(lines), "minhash")
     first = sig.groupBy("sig").agg(F.min(F.struct("place", "id")).alias("first")).select("sig", F.col("first.id").alias("id"), F.col("first.place").alias("place"))
     first = written(first, "minhash-classes")
     own = sig.select("sig", F.col("id").alias("b")).join(first.select("sig", F.col("id").alias("a")), "sig").filter("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
-    band = first.select(
-        "id",
-        "place",
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("sig", b * rows + 1, rows)))).alias("band", "key"),
-    )
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("sig", b * rows + 1, rows)))
+    band = first.select("id", "place", F.posexplode(keys).alias("band", "key"))
+    # at most one key in ``hot`` rows
+    many = written(band.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("band", "key"), "minhash-hot")
+    if not many.isEmpty():
+        parts = min(PERMUTATIONS - math.ceil(threshold * PERMUTATIONS - 1e-9) + 1, PERMUTATIONS)
+        # every parts-th place, so that parts are alike in size
+        part = lambda k: F.xxhash64(k, F.filter("sig", lambda x, i: i % parts == k))
+        cut = first.select("id", F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), part).alias("parts"))
+        shared = band.join(many, ["band", "key"], "left_semi").join(cut, "id").select("id", "place", "band", "key", F.explode("parts").alias("part"))
+        band = band.join(many, ["band", "key"], "left_anti").unionByName(shared.select("id", "place", "band", F.xxhash64("key", "part").alias("key")))
     a, b = band.alias("a"), band.alias("b")
     near = F.col("a.place") < F.col("b.place")
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from lexloom.functions import rules as R
 from lexloom.functions import text as T
@@ -22,8 +24,8 @@ LN2 = math.log(2)
 LN256 = math.log(256)
 METRICS = R.METRICS
 SIZES = ("n_tokens", "n_chars", "n_bytes")
-#: Steps of a logarithm's first part, and terms that a task hands on at once.
-UNIT, TERM_ROWS = 1 << 22, 100_000
+#: Steps of a logarithm's first part, and bytes of text in a block of the bigram model.
+UNIT, BLOCK = 1 << 22, 8 << 20
 
 
 class Scorer(Protocol):
@@ -78,82 +80,246 @@ def sentence_scores(scored: DataFrame) -> DataFrame:
 
 
 def rows_of(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Rows for :func:`bigram_wide` where pairs and corpus are different tables."""
+    """Rows for :func:`bigram_wide` where pairs and corpus are different tables; ``at`` tells equal texts of the corpus apart."""
     none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
-    return pairs.select("subset", "pair_id", "sentence_good", "sentence_bad", *none("text")).unionByName(
-        corpus.select(*none("subset"), F.lit(None).cast(pairs.schema["pair_id"].dataType).alias("pair_id"), *none("sentence_good", "sentence_bad"), "text")
+    return pairs.select("subset", "pair_id", "sentence_good", "sentence_bad", *none("text"), F.lit(None).cast("long").alias("at")).unionByName(
+        corpus.select(
+            *none("subset"), F.lit(None).cast(pairs.schema["pair_id"].dataType).alias("pair_id"), *none("sentence_good", "sentence_bad"), "text", F.monotonically_increasing_id().alias("at")
+        )
     )
 
 
-def terms(rows: DataFrame) -> DataFrame:
-    """Per row its distinct bigrams, and its distinct words that something follows (word is null): how often the
-    corpus text (c), the good (g) and the bad side (b) have them.
+def packed(numbers: np.ndarray) -> bytes:
+    """First bytes of all numbers, then all second ones and so on, which compresses well where they are sorted or small."""
+    return numbers.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
+
+
+@dataclass
+class Bigrams:
+    """The words of a block's texts: ``words`` are sorted, everything else has places in it.
+
+    ``corpus``, ``good`` and ``bad`` have the word before, the word and the row
+    of each word; rows whose good side is the corpus text (``same``) have no
+    words of their own in ``good``.
     """
-    ship(rows.sparkSession)
-    keys = rows.select("subset", "pair_id").schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 3):
-            texts = [batch.column(k).to_pylist() for k in range(2, 5)]
-            of, found, counts = [], [], ([], [], [])
-            for i, row in enumerate(zip(*texts, strict=True)):
-                each = [_term_counts(text or "") for text in row]
-                distinct = list(dict.fromkeys(chain(*each)))
-                found += distinct
-                of += [i] * len(distinct)
-                for out, one in zip(counts, each, strict=True):
-                    out += [one.get(t, 0) for t in distinct]
-                if len(of) > TERM_ROWS or i + 1 == batch.num_rows:
-                    at = pa.array(of, pa.int32())
-                    columns = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array([t[k] for t in found], pa.string()) for k in range(2)), *(pa.array(n, pa.int32()) for n in counts)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["subset", "pair_id", "prev", "word", "c", "g", "b"])
-                    of, found, counts = [], [], ([], [], [])
-
-    names = [("prev", StringType()), ("word", StringType()), ("c", IntegerType()), ("g", IntegerType()), ("b", IntegerType())]
-    return rows.select("subset", "pair_id", "text", "sentence_good", "sentence_bad").mapInArrow(run, StructType([*keys, *(StructField(n, k) for n, k in names)]))
-
-
-def _term_counts(text: str) -> Counter:
-    words = [w for w in text.replace("\n", " ").split(" ") if w]
-    before = ["<s>", *words[:-1]] if words else []
-    out = Counter(zip(before, words, strict=True))
-    out.update((w, None) for w in before)
-    return out
-
-
-def bigram_wide(rows: DataFrame) -> DataFrame:
+    words: pa.Array
+    corpus: np.ndarray
+    good: np.ndarray
+    bad: np.ndarray
+    same: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Table) -> Bigrams:
+        text, good, bad = (pc.replace_substring(texts.column(c).combine_chunks().cast(pa.large_string()), "\n", " ") for c in ("text", "sentence_good", "sentence_bad"))
+        same = pc.fill_null(pc.equal(text, good), False)
+        lists = [pc.split_pattern(c, " ") for c in (text, pc.if_else(same, pa.scalar(None, pa.large_string()), good), bad)]
+        found, row = [c.flatten() for c in lists], [pc.list_parent_indices(c).to_numpy() for c in lists]
+        kept = [pc.greater(pc.binary_length(c), 0) for c in found]
+        coded = pa.concat_arrays([pa.array(["<s>"], pa.large_string()), *(c.filter(k) for c, k in zip(found, kept, strict=True))]).dictionary_encode()
+        order = pc.array_sort_indices(coded.dictionary)
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        at, out, start = place[coded.indices.to_numpy()], [], 1
+        for r, k in zip(row, kept, strict=True):
+            r = r[k.to_numpy(zero_copy_only=False)]
+            word = at[start : start + len(r)]
+            before = np.concatenate([at[:1], word[:-1]])[: len(r)]
+            before[np.flatnonzero(r[1:] != r[:-1]) + 1] = at[0]
+            out.append(np.stack([before, word, r]))
+            start += len(r)
+        return cls(coded.dictionary.take(order), *out, same.to_numpy(zero_copy_only=False))
+
+    def parts(self, n: int) -> list[np.ndarray]:
+        """Places of the words that fall to each of ``n`` parts."""
+        return parted(np.fromiter((zlib.crc32(w.encode()) for w in self.words.to_pylist()), np.int64, len(self.words)) % n, n)
+
+    def numbers(self, answers: dict[int, tuple[bytes, bytes]], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's number and how often a word follows it, from the answers of the ``n`` parts."""
+        number, followed = np.zeros((2, len(self.words)), np.int64)
+        for part, places in enumerate(self.parts(n)):
+            if len(places):
+                number[places], followed[places] = map(unpacked, answers[part])
+        return number, followed
+
+    def terms(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The block's distinct bigrams as numbers, and for each word of ``corpus``, ``good`` and ``bad`` together its place in them."""
+        before, word, _ = np.concatenate([self.corpus, self.good, self.bad], axis=1)
+        return np.unique(number[before] << 32 | number[word], return_inverse=True)
+
+
+def parted(of: np.ndarray, n: int) -> list[np.ndarray]:
+    """Places of 0 to n - 1 in ``of``, each in order."""
+    return np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=n))[:-1])
+
+
+def term_parts(terms: np.ndarray, n: int) -> list[np.ndarray]:
+    with np.errstate(over="ignore"):
+        mixed = terms.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return parted((mixed >> np.uint64(32)).astype(np.int64) % n, n)
+
+
+ASKED = "part int, block int, keys binary, counts binary"
+ANSWERED = "block int, part int, first binary, second binary"
+
+
+def block_words(docs: DataFrame, n: int) -> DataFrame:
+    """For each block and part its distinct words, and how often the corpus has them and has a word behind them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        b, out = Bigrams.of(table), []
+        said, followed = (np.bincount(b.corpus[k], minlength=len(b.words)) for k in (1, 0))
+        for part, places in enumerate(b.parts(n)):
+            if len(places):
+                out.append((part, table["block"][0].as_py(), "\n".join(b.words.take(pa.array(places)).to_pylist()).encode(), packed(np.concatenate([said[places], followed[places]]))))
+        return rows_table(out, ASKED)
+
+    return docs.groupBy("block").applyInArrow(run, ASKED)
+
+
+def word_numbers(words: DataFrame, n: int) -> DataFrame:
+    """Answers for :meth:`Bigrams.numbers`, frequent words have small numbers; ``fresh`` adds up to the number of the corpus's distinct words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = pc.split_pattern(table["keys"].combine_chunks().cast(pa.large_string()), "\n")
+        coded = lists.flatten().dictionary_encode()
+        at, size = coded.indices.to_numpy(), len(coded.dictionary)
+        counts = np.concatenate([unpacked(c).reshape(2, -1) for c in table["counts"].to_pylist()], axis=1)
+        said, followed = (np.bincount(at, c, size).astype(np.int64) for c in counts)
+        name = np.empty(size, np.int64)
+        name[pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(size)
+        number = np.empty(size, np.int64)
+        number[np.lexsort((name, -said))] = np.arange(size)
+        ends, part, out = lists.offsets.to_numpy(), table["part"][0].as_py(), []
+        for k, block in enumerate(table["block"].to_pylist()):
+            here = at[ends[k] - ends[0] : ends[k + 1] - ends[0]]
+            out.append((block, part, packed(number[here] * n + part), packed(followed[here]), 0 if k else int((said > 0).sum())))
+        return rows_table(out, ANSWERED + ", fresh long")
+
+    return words.groupBy("part").applyInArrow(run, ANSWERED + ", fresh long")
+
+
+def block_terms(docs: DataFrame, numbers: DataFrame, n: int) -> DataFrame:
+    """For each block and part its distinct bigrams as numbers, and how often the corpus has them."""
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        b, out = Bigrams.of(table), []
+        terms, at = b.terms(b.numbers(answers_of(answers), n)[0])
+        counts = np.bincount(at[: b.corpus.shape[1]], minlength=len(terms))
+        for part, places in enumerate(term_parts(terms, n)):
+            if len(places):
+                out.append((part, table["block"][0].as_py(), packed(terms[places]), packed(counts[places])))
+        return rows_table(out, ASKED)
+
+    return docs.groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(run, ASKED)
+
+
+def term_totals(terms: DataFrame, n: int) -> DataFrame:
+    """How often the whole corpus has each block's bigrams; parts are counted from ``n`` on."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, counts = ([unpacked(x) for x in table[c].to_pylist()] for c in ("keys", "counts"))
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(at, np.concatenate(counts)).astype(np.int64)[at]
+        each = np.split(total, np.cumsum([len(k) for k in keys])[:-1])
+        return rows_table([(block, n + part, packed(t), b"") for block, part, t in zip(table["block"].to_pylist(), table["part"].to_pylist(), each, strict=True)], ANSWERED)
+
+    return terms.groupBy("part").applyInArrow(run, ANSWERED)
+
+
+def answers_of(table: pa.Table) -> dict[int, tuple[bytes, bytes]]:
+    return {r["part"]: (r["first"], r["second"]) for r in table.select(["part", "first", "second"]).to_pylist()}
+
+
+def rows_table(rows: list[tuple], ddl: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names = [f.split() for f in ddl.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], names=[n for n, _ in names])
+
+
+def block_sums(docs: DataFrame, answers: DataFrame, n: int) -> DataFrame:
+    """Per row of a pair the sums of both sides' log-probabilities, in two parts, and their sizes; ``docs`` has v, the number of distinct words."""
+    keys = docs.select("subset", "pair_id").schema
+    sums = [f"{part}_{side}" for side in ("good", "bad") for part in ("high", "low")]
+    sizes = [f"{v}_{side}" for side in ("good", "bad") for v in SIZES]
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        b, found = Bigrams.of(table), answers_of(answers)
+        number, followed = b.numbers(found, n)
+        terms, at = b.terms(number)
+        total = np.zeros(len(terms), np.int64)
+        for part, places in enumerate(term_parts(terms, n)):
+            if len(places):
+                total[places] = unpacked(found[n + part][0])
+        edge = np.cumsum([b.corpus.shape[1], b.good.shape[1]])
+        seen = dict(zip(("corpus", "good", "bad"), np.split(at, edge), strict=True))
+        up, down = np.log(total + 1.0) * UNIT, -np.log(followed + float(table["v"][0].as_py() if table.num_rows else 1)) * UNIT
+
+        def added(side: str) -> list[np.ndarray]:
+            before, _, row = getattr(b, side)
+            out = [np.bincount(row, minlength=table.num_rows)]
+            for x, k in ((up, seen[side]), (down, before)):
+                high = np.floor(x)
+                out += [np.bincount(row, v[k], table.num_rows) for v in (high, np.round((x - high) * UNIT))]
+            return [out[0], out[1] + out[3], out[2] + out[4]]
+
+        whole, columns = added("corpus"), {}
+        for side in ("good", "bad"):
+            text = table[f"sentence_{side}"].combine_chunks()
+            none = pc.is_null(text).to_numpy(zero_copy_only=False)
+            n_tokens, high, low = (np.where(b.same, w, x) if side == "good" else x for w, x in zip(whole, added(side), strict=True))
+            for name, x, kind in (("high", high, pa.int64()), ("low", low, pa.int64()), ("n_tokens", n_tokens, pa.int32())):
+                # sums of whole numbers below 2^53
+                columns[f"{name}_{side}"] = pa.array(x.astype(np.int64), kind, mask=none)
+            columns[f"n_chars_{side}"], columns[f"n_bytes_{side}"] = pc.utf8_length(text).cast(pa.int32()), pc.binary_length(text).cast(pa.int32())
+        out = pa.table([table["subset"], table["pair_id"], *(columns[c] for c in (*sums, *sizes))], names=["subset", "pair_id", *sums, *sizes])
+        return out.filter(pc.or_(pc.is_valid(table["sentence_good"]), pc.is_valid(table["sentence_bad"])))
+
+    schema = StructType([*keys, *(StructField(c, LongType()) for c in sums), *(StructField(c, IntegerType()) for c in sizes)])
+    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+
+
+def bigram_wide(rows: DataFrame, build: Callable[[DataFrame], DataFrame] | None = None, block: int = BLOCK) -> DataFrame:
     """One row per pair with both sides' scores under an add-one bigram model of the words of ``rows.text``.
 
     ``rows`` has subset, pair_id, sentence_good, sentence_bad and text, each of
-    which may be null: a row can be a pair, a text of the corpus, or both. The
+    which may be null: a row can be a pair, a text of the corpus, or both; or
+    ``build`` makes these columns from what it has and keeps ``block``. The
     first word follows <s>. A bigram's log-probability is ln(c + 1) less
-    ln(cp + v), so all that a row needs are counts of its bigrams and of its
-    words. Rows of one term meet in one shuffle, which carries a distinct term
-    of a row once for corpus and sides; no model leaves the executors. Sums are
-    of whole numbers (2^-44 each), so they do not depend on the order, and sides
-    of the same terms tie.
+    ln(cp + v), so all that a row needs are counts of its bigrams and words.
+
+    Texts are dealt into blocks of about ``block`` bytes, and only they are shuffled whole.
+    A block asks for its distinct words, and gets each word's number and how
+    often something follows it; then for its distinct bigrams, now pairs of
+    numbers, and gets how often the corpus has them. Words and bigrams are dealt
+    into parts, so a frequent one is a single entry of each block; no model
+    leaves the executors. Sums are of whole numbers (2^-44 each), so they do
+    not depend on the order, and sides of the same terms tie.
     """
-    found = terms(rows)
-    spoken = rows.filter("text IS NOT NULL").select(F.explode(_words(F.col("text"))).alias("word"))
-    size = spoken.agg(F.countDistinct("word").alias("v"))
-    total = F.sum("c").over(Window.partitionBy("prev", "word"))
-    asked = found.withColumn("total", total).filter("g > 0 OR b > 0").join(F.broadcast(size), F.lit(True))
-    value = F.when(F.col("word").isNull(), -F.log((F.col("total") + F.col("v")).cast("double"))).otherwise(F.log((F.col("total") + 1).cast("double")))
-    asked = asked.select("subset", "pair_id", "g", "b", (value * UNIT).alias("x"))
-    high = F.floor("x")
-    low = F.round((F.col("x") - high) * UNIT).cast("long")
-    none = F.lit(None)
-    sums = {f"{part}_{side}": F.col(n) * v for side, n in (("good", "g"), ("bad", "b")) for part, v in (("high", high), ("low", low))}
-    sized = {f"{n}_{side}": f(F.col(f"sentence_{side}")) for side in ("good", "bad") for n, f in (("n_tokens", lambda c: F.size(_words(c))), ("n_chars", F.length), ("n_bytes", F.octet_length))}
-    # a size where there is a text; size() of null is -1 in some settings
-    sized = {n: F.when(F.col(f"sentence_{n.rsplit('_', 1)[1]}").isNotNull(), c).cast("int") for n, c in sized.items()}
-    scores = asked.select("subset", "pair_id", *[c.alias(n) for n, c in sums.items()], *[none.cast("int").alias(n) for n in sized])
-    sizes = rows.filter("sentence_good IS NOT NULL OR sentence_bad IS NOT NULL").select("subset", "pair_id", *[none.cast("long").alias(n) for n in sums], *[c.alias(n) for n, c in sized.items()])
-    both = scores.unionByName(sizes).groupBy("subset", "pair_id").agg(
-        *[F.sum(n).alias(n) for n in sums], *[(F.sum(n) if n.startswith("n_tokens") else F.max(n)).cast("int").alias(n) for n in sized]
+    ship(rows.sparkSession)
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in rows.schema if isinstance(f.dataType, StringType)]
+    size = rows.agg(F.sum(sum(texts[1:], texts[0]))).first()[0] or 0
+    blocks = size // block + 1
+    n = blocks // 2 + 1
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)).cast("int")).repartition("block")
+    docs = (build(dealt) if build else dealt).select("block", "subset", "pair_id", "text", "sentence_good", "sentence_bad")
+    numbers = word_numbers(block_words(docs, n), n)
+    answers = numbers.drop("fresh")
+    totals = term_totals(block_terms(docs, answers, n), n)
+    v = numbers.agg(F.coalesce(F.sum("fresh"), F.lit(0)).alias("v"))
+    scores = block_sums(docs.join(F.broadcast(v), F.lit(True)), answers.unionByName(totals), n)
+    sides_ = ("good", "bad")
+    both = scores.groupBy("subset", "pair_id").agg(
+        *[F.sum(f"{part}_{s}").alias(f"{part}_{s}") for s in sides_ for part in ("high", "low")],
+        *[(F.sum if name == "n_tokens" else F.max)(f"{name}_{s}").cast("int").alias(f"{name}_{s}") for s in sides_ for name in SIZES],
     )
     lp = lambda side: F.when(F.col(f"n_tokens_{side}") > 0, F.col(f"high_{side}") / UNIT + F.col(f"low_{side}") / (UNIT * UNIT)).alias(f"lp_{side}")
-    return both.select("subset", "pair_id", *[c for side in ("good", "bad") for c in (lp(side), *(F.col(f"{v}_{side}") for v in SIZES))])
+    return both.select("subset", "pair_id", *[c for side in sides_ for c in (lp(side), *(F.col(f"{v}_{side}") for v in SIZES))])
 
 
 def tall(pairs: DataFrame) -> DataFrame:

@@ -386,7 +386,7 @@ def pair_lengths(spark, d):
 
 def _wide(spark, d):
     """Scores of both sides of all pairs; what reads them does so once."""
-    return minpair.bigram_wide(I.pair_rows(spark, d))
+    return minpair.bigram_wide(I.texts(spark, d), I.paired)
 
 
 def _metrics(spark, d):

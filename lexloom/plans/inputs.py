@@ -46,20 +46,30 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     The bad side swaps the first two words; every third one also loses its last
     word and every third one repeats it.
     """
-    return _worded(spark, sf_dir).filter(F.size("w") >= 4).select(*_pair())
+    return _worded(table(spark, sf_dir, "documents").select("doc_id", "text")).filter(F.size("w") >= 4).select(*_pair())
 
 
 def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' texts, each with its pair, which is null where a text has no pair."""
-    return _worded(spark, sf_dir).filter("text IS NOT NULL").select("text", *[F.when(F.size("w") >= 4, c).alias(n) for n, c in zip(PAIR, _pair(), strict=True)])
+    return paired(table(spark, sf_dir, "documents"))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of all documents that have one, as they are stored."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").filter("text IS NOT NULL")
+
+
+def paired(docs: DataFrame) -> DataFrame:
+    """Texts with their pairs, from doc_id and text; ``block`` is kept where it is there."""
+    kept = [c for c in docs.columns if c in ("block", "text")]
+    return _worded(docs.select("doc_id", *kept)).filter("text IS NOT NULL").select(*kept, *[F.when(F.size("w") >= 4, c).alias(n) for n, c in zip(PAIR, _pair(), strict=True)])
 
 
 PAIR = ("subset", "pair_id", "sentence_good", "sentence_bad")
 
 
-def _worded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.filter(F.split("text", r"[ \n]+"), lambda w: w != "")
-    return X.once(table(spark, sf_dir, "documents").select("doc_id", "text"), w=words)
+def _worded(docs: DataFrame) -> DataFrame:
+    return X.once(docs, w=F.filter(F.split("text", r"[ \n]+"), lambda w: w != ""))
 
 
 def _pair() -> list[Column]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +14,15 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from lexloom.functions.rules import NEAR_THRESHOLD
 from lexloom.functions.text import let
-from lexloom.session import ship, slices, written
+from lexloom.session import dropped, ship, slices, written
 
 PERMUTATIONS, BANDS = 128, 8
 #: Grams that are dealt into parts by their frequency; all others are by their hash.
 FREQUENT = 1 << 16
 #: Lines of a key from which it is extended by another part, and parts of a key at most.
 HOT, DEEPEST = 500, 3
+#: Slices of the keys, one after the other, whose shuffles are on disk together with no other's.
+SLICES = 8
 #: Columns of a line's sketch, 64 bits each.
 WORDS = 4
 SKETCH = tuple(f"s{k}" for k in range(WORDS))
@@ -157,7 +160,7 @@ def sketches(sets: DataFrame, threshold: float, sure: int, frequent: int) -> Dat
     A level is a range of sizes; a line is in its own and, as the smaller one of
     a pair, in the next. The grams of a level are dealt into as many parts as
     grams can be apart there and ``sure`` more, so two similar lines are equal in
-    at least ``sure`` parts; ``parts`` has a hash of each. The ``frequent`` most
+    at least ``sure`` parts; ``parts`` has 32 bits of a hash of each. The ``frequent`` most
     frequent grams are dealt in turn, so that parts are alike in size. A sketch
     has the parity of the grams that fall to each bit: two lines differ in at
     most as many bits as grams.
@@ -188,11 +191,11 @@ def sketches(sets: DataFrame, threshold: float, sure: int, frequent: int) -> Dat
                         with np.errstate(over="ignore"):
                             np.add.at(sums, dealt % k, h)
                             parts = mixed(sums + mixed(np.arange(k, dtype=np.uint64) + np.uint64(level << 32)))
-                        out.append((id_, len(g), level, level == own, parts.view(np.int64), *words.tolist()))
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), *[pa.int64()] * WORDS]
+                        out.append((id_, len(g), level, level == own, (parts >> np.uint64(32)).astype(np.uint32).view(np.int32), *words.tolist()))
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), *[pa.int64()] * WORDS]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "n", "level", "own", "parts", *SKETCH])
 
-    return sets.select("id", "grams").mapInArrow(run, "id long, n int, level int, own boolean, parts array<long>, " + ", ".join(f"{s} long" for s in SKETCH))
+    return sets.select("id", "grams").mapInArrow(run, "id long, n int, level int, own boolean, parts array<int>, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -203,44 +206,69 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def similar_pairs(lines: DataFrame, threshold: float = NEAR_THRESHOLD, hot: int = HOT, deepest: int = DEEPEST, frequent: int = FREQUENT) -> DataFrame:
+def meeting(keyed: DataFrame, threshold: float) -> DataFrame:
+    """a < b of the lines that share a key and can be similar by their sizes and sketches."""
+    small = keyed.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), *[F.col(s).alias(f"x{s}") for s in SKETCH])
+    large = keyed.filter("own").select("key", F.col("id").alias("y"), F.col("n").alias("ny"), *[F.col(s).alias(f"y{s}") for s in SKETCH])
+    order = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
+    differ = sum((F.bit_count(F.col(f"x{s}").bitwiseXOR(F.col(f"y{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"x{SKETCH[0]}").bitwiseXOR(F.col(f"y{SKETCH[0]}"))))
+    met = small.join(large.hint("merge"), "key").filter(order & (F.col("nx") >= F.col("ny") * threshold - 1e-6) & (differ <= apart(F.col("nx"), F.col("ny"), threshold)))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def similar_pairs(lines: DataFrame, threshold: float = NEAR_THRESHOLD, hot: int = HOT, deepest: int = DEEPEST, frequent: int = FREQUENT, turns: int = SLICES) -> DataFrame:
     """a < b (ids) and the exact Jaccard similarity of byte 3-grams, for all pairs at ``threshold`` or more.
 
     ``lines`` has id (unique) and line. Similar lines of a level are equal in
-    ``deepest`` parts or more (:func:`sketches`). So lines meet on a part; where
+    ``deepest`` parts or more (:func:`sketches`), so the first of these is not among the
+    last parts. Lines meet on a part; where
     more than ``hot`` lines share one, they meet on it with another part behind
     it instead, and so on up to ``deepest`` parts. Lines that meet are compared
     by their sketches, and only those that can be similar by these have their
     grams fetched. No pair is lost: keys of ``deepest`` parts are joined however
-    many lines they have.
+    many lines they have. Keys, each with its line's sketch, are much more than
+    the lines; they are joined in ``turns`` slices one after the other, each a job whose
+    shuffles are deleted before the next.
     """
     sets = written(gram_lists(lines), "gram-lists")
     dealt = written(sketches(sets, threshold, deepest, frequent), "gram-parts")
-    keyed = dealt.select("id", "n", "level", "own", F.posexplode("parts").alias("at", "key"), *SKETCH)
-    candidates, depth = None, 1
-    while True:
-        counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > hot)
-        # at most one key in ``hot`` rows
-        many = written(counts.select("key"), "hot-keys") if depth < deepest else None
-        few = keyed if many is None else keyed.join(many, "key", "left_anti")
-        small = few.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), *[F.col(s).alias(f"x{s}") for s in SKETCH])
-        large = few.filter("own").select("key", F.col("id").alias("y"), F.col("n").alias("ny"), *[F.col(s).alias(f"y{s}") for s in SKETCH])
-        order = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
-        differ = sum((F.bit_count(F.col(f"x{s}").bitwiseXOR(F.col(f"y{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"x{SKETCH[0]}").bitwiseXOR(F.col(f"y{SKETCH[0]}"))))
-        met = small.join(large.hint("merge"), "key").filter(order & (F.col("nx") >= F.col("ny") * threshold - 1e-6) & (differ <= apart(F.col("nx"), F.col("ny"), threshold)))
-        met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        candidates = met if candidates is None else candidates.unionByName(met)
-        if many is None or many.isEmpty():
-            break
+    line = ["id", "n", "level", "own"]
+
+    def parts(depth: int, table: DataFrame, *more: str) -> DataFrame:
+        """A row per part that can be the ``depth``-th equal one; ``at`` is its place and ``part`` tells it from all other parts."""
+        each = table.select("*", F.posexplode("parts").alias("at", "bits")).filter(F.col("at") <= F.size("parts") - (deepest - depth + 1))
+        part = F.shiftleft(F.col("level").cast("long"), 54).bitwiseXOR(F.shiftleft(F.col("at").cast("long"), 32)).bitwiseXOR(F.col("bits").cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
+        return each.select(*line, "at", part.alias("part"), *SKETCH, *more)
+
+    def met(keyed: DataFrame, depth: int) -> DataFrame | None:
+        """Writes the pairs of a slice; returns its keys of too many lines, if there are any."""
+        few, shared = keyed, None
+        if depth < deepest:
+            counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > hot)
+            # at most one key in ``hot`` rows
+            many = written(counts.select("key"), "hot-keys")
+            if not many.isEmpty():
+                few = keyed.join(many, "key", "left_anti")
+                shared = written(keyed.join(many, "key", "left_semi").select("id", "level", F.col("at").alias("last"), "key"), "gram-shared")
+        found.append(written(meeting(few, threshold).distinct(), "gram-pairs"))
+        return shared
+
+    found: list[DataFrame] = []
+    sliced = lambda keyed, depth: [met(keyed.filter(F.pmod(F.xxhash64("key"), F.lit(turns)) == k), depth) for k in range(turns)]
+    shared = sliced(parts(1, dealt).withColumnRenamed("part", "key"), depth := 1)
+    while shared := [s for s in shared if s is not None]:
         depth += 1
-        shared = keyed.join(many, "key", "left_semi").select("id", "level", "at", "key")
-        behind = shared.join(dealt, ["id", "level"]).select("*", F.posexplode("parts").alias("next", "part")).filter("next > at")
-        keyed = written(behind.select("id", "n", "level", "own", F.col("next").alias("at"), F.xxhash64("key", "part").alias("key"), *SKETCH), "gram-keys")
-    pairs = candidates.distinct()
+        longer = reduce(DataFrame.unionByName, shared).join(dealt, ["id", "level"])
+        keyed = parts(depth, longer, "key", "last").filter("at > last").withColumn("key", F.xxhash64("key", "part")).drop("part", "last")
+        keyed = written(keyed, "gram-keys")
+        shared = sliced(keyed, depth)
+        dropped(keyed)
+    dropped(dealt)
+    pairs = reduce(DataFrame.unionByName, found).distinct()
     left, right = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
     common = F.size(F.array_intersect("ga", "gb"))
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", (common / (F.size("ga") + F.size("gb") - common)).alias("similarity"))
-    return found.filter(F.col("similarity") >= threshold)
+    similar = pairs.join(left, "a").join(right, "b").select("a", "b", (common / (F.size("ga") + F.size("gb") - common)).alias("similarity"))
+    return similar.filter(F.col("similarity") >= threshold)
 
 
 def exact_pairs(lines: DataFrame, threshold: float = NEAR_THRESHOLD) -> DataFrame:

@@ -19,10 +19,13 @@ from lexloom.session import dropped, ship, slices, written
 PERMUTATIONS, BANDS = 128, 8
 #: Grams that are dealt into parts by their frequency; all others are by their hash.
 FREQUENT = 1 << 16
-#: Lines of a key from which it is extended by another part, and parts of a key at most.
-HOT, DEEPEST = 500, 3
+#: Lines of a key from which it is extended by another part, and parts of a key at most. A line's further keys
+#: cost about what thousands of comparisons by sketches do.
+HOT, DEEPEST = 4_000, 3
 #: Slices of the keys, one after the other, whose shuffles are on disk together with no other's.
 SLICES = 8
+#: Keys of a bucket, about; keys or pairs that are handled at once; lines of a key up to which keys are taken together.
+BUCKET, BLOCK, FEW = 400_000, 1 << 18, 32
 #: Columns of a line's sketch, 64 bits each.
 WORDS = 4
 SKETCH = tuple(f"s{k}" for k in range(WORDS))
@@ -137,18 +140,52 @@ def gram_numbers(text: str) -> np.ndarray:
     return np.unique(raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) if len(raw) > 2 else raw[:0]
 
 
+def starts(values: np.ndarray) -> np.ndarray:
+    """Whether a value of a sorted array is the first of its kind."""
+    return np.concatenate([np.ones(min(len(values), 1), bool), values[1:] != values[:-1]])
+
+
+def flat_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct byte 3-grams of each text end to end, and how many each has."""
+    raw = column.fill_null("").cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    size = np.diff(ends)
+    if not len(size) or size.max() < 3:
+        return np.zeros(0, np.int32), np.zeros(len(size), np.int64)
+    text = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.int64)
+    line = np.repeat(np.arange(len(size)), size)
+    inside = line[:-2] == line[2:]
+    found = np.sort((line[:-2] << 24 | text[:-2] << 16 | text[1:-1] << 8 | text[2:])[inside])
+    found = found[starts(found)]
+    return (found & 0xFFFFFF).astype(np.int32), np.bincount(found >> 24, minlength=len(size))
+
+
 def gram_lists(lines: DataFrame) -> DataFrame:
     """id, n and grams of lines of at least three bytes."""
     ship(lines.sparkSession)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            found = [gram_numbers(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in found], pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["id", "n", "grams"])
+        for batch in slices(batches, 1, 1 << 20):
+            grams, n = flat_grams(batch.column(1))
+            edge = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.ListArray.from_arrays(edge, pa.array(grams))], names=["id", "n", "grams"])
 
     return lines.select("id", "line").mapInArrow(lists, "id long, n int, grams array<int>").filter("n > 0")
 
 
+def gram_counts(sets: DataFrame) -> DataFrame:
+    """gram and n, the lines that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = np.sort(np.asarray(batch.column(0).flatten()))
+            first = np.flatnonzero(starts(grams))
+            gram, n = grams[first], np.diff(np.append(first, len(grams)))
+            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int32()), pa.array(n, pa.int64())], names=["gram", "n"])
+
+    return sets.select("grams").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def apart(nx, ny, threshold: float):
     """Grams that at most are in only one of two similar sets of these sizes; a little more, so that rounding loses no pair."""
     return (nx + ny) * ((1 - threshold) / (1 + threshold)) + 1e-6
@@ -166,34 +203,43 @@ def sketches(sets: DataFrame, threshold: float, sure: int, frequent: int) -> Dat
     most as many bits as grams.
     """
     spark = sets.sparkSession
-    top = sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(frequent).collect()
+    top = gram_counts(sets).orderBy(F.desc("n"), "gram").limit(frequent).collect()
     sent = spark.sparkContext.broadcast(np.array([r["gram"] for r in top], np.int64))
     width = max(-math.log(threshold), 1e-3)
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), *[pa.int64()] * WORDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = np.full(1 << 24, -1, np.int32)
         turn[sent.value] = np.arange(len(sent.value))
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
-                batch, out = whole.slice(at, 1_000), []
-                for id_, grams in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    g = np.asarray(grams.values, np.int64)
-                    h = mixed(g.astype(np.uint64))
-                    dealt = np.where(turn[g] >= 0, turn[g], (h >> np.uint64(34)).astype(np.int64))
-                    bits = np.bincount((h >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
-                    words = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
-                    place = math.log(len(g)) / width
-                    own = math.floor(place + 1e-9)
-                    for level in sorted({own, own + 1, math.floor(place + 1 + 1e-6)}):
-                        largest = math.exp((level + 1) * width + 1e-6)
-                        k = math.floor(apart(largest, largest, threshold)) + sure
-                        sums = np.zeros(k, np.uint64)
-                        with np.errstate(over="ignore"):
-                            np.add.at(sums, dealt % k, h)
-                            parts = mixed(sums + mixed(np.arange(k, dtype=np.uint64) + np.uint64(level << 32)))
-                        out.append((id_, len(g), level, level == own, (parts >> np.uint64(32)).astype(np.uint32).view(np.int32), *words.tolist()))
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), *[pa.int64()] * WORDS]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "n", "level", "own", "parts", *SKETCH])
+                batch = whole.slice(at, 1_000)
+                ids, n = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1).value_lengths(), np.int64)
+                g, line = np.asarray(batch.column(1).flatten(), np.int64), np.repeat(np.arange(len(n)), n)
+                h = mixed(g.astype(np.uint64))
+                dealt = np.where(turn[g] >= 0, turn[g], (h >> np.uint64(34)).astype(np.int64))
+                bits = np.bincount(line * (64 * WORDS) + (h >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=len(n) * 64 * WORDS) & 1
+                words = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).reshape(-1, WORDS)
+                place = np.log(n) / width
+                own = np.floor(place + 1e-9).astype(np.int64)
+                above = np.floor(place + 1 + 1e-6).astype(np.int64)
+                for level, some in ((own, own == own), (own + 1, own == own), (above, above > own + 1)):
+                    if not some.any():
+                        continue
+                    has = np.repeat(some, n)
+                    level, size = level[some], n[some]
+                    largest = np.exp((level + 1) * width + 1e-6)
+                    k = np.floor(apart(largest, largest, threshold)).astype(np.int64) + sure
+                    edge = np.concatenate([[0], np.cumsum(k)])
+                    of = np.repeat(np.arange(len(k)), size)
+                    sums = np.zeros(edge[-1], np.uint64)
+                    with np.errstate(over="ignore"):
+                        np.add.at(sums, edge[of] + dealt[has] % k[of], h[has])
+                        part = np.arange(edge[-1]) - np.repeat(edge[:-1], k)
+                        parts = mixed(sums + mixed((part + np.repeat(level << 32, k)).astype(np.uint64)))
+                    parts = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array((parts >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                    columns = [ids[some], size, level, level == own[some], parts, *words[some].T]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["id", "n", "level", "own", "parts", *SKETCH])
 
     return sets.select("id", "grams").mapInArrow(run, "id long, n int, level int, own boolean, parts array<int>, " + ", ".join(f"{s} long" for s in SKETCH))
 
@@ -206,14 +252,143 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def meeting(keyed: DataFrame, threshold: float) -> DataFrame:
-    """a < b of the lines that share a key and can be similar by their sizes and sketches."""
-    small = keyed.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), *[F.col(s).alias(f"x{s}") for s in SKETCH])
-    large = keyed.filter("own").select("key", F.col("id").alias("y"), F.col("n").alias("ny"), *[F.col(s).alias(f"y{s}") for s in SKETCH])
-    order = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
-    differ = sum((F.bit_count(F.col(f"x{s}").bitwiseXOR(F.col(f"y{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"x{SKETCH[0]}").bitwiseXOR(F.col(f"y{SKETCH[0]}"))))
-    met = small.join(large.hint("merge"), "key").filter(order & (F.col("nx") >= F.col("ny") * threshold - 1e-6) & (differ <= apart(F.col("nx"), F.col("ny"), threshold)))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+#: A line under one of its keys, as tasks hand it on.
+KEYED = np.dtype([("key", "<u8"), ("id", "<i8"), ("n", "<i4"), ("at", "<i4"), ("level", "<i2"), ("own", "?"), ("sketch", "<u8", (WORDS,))])
+
+
+def keyed(table: DataFrame, depth: int, deepest: int, turn: int, turns: int, buckets: int) -> DataFrame:
+    """bucket and rows: the lines' keys of one slice, packed (:data:`KEYED`).
+
+    A key is a part that can be the ``depth``-th equal one, and behind the first
+    the key of the parts before, which end at ``last``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            bucket = (mixed(rows["key"]) // np.uint64(turns) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[order], bucket[order]
+            first = np.flatnonzero(starts(bucket))
+            held.clear()
+            packed = [rows[i:j].tobytes() for i, j in zip(first, [*first[1:], len(rows)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "rows"])
+
+        for whole in batches:
+            ends = np.cumsum(np.asarray(whole.column(4).value_lengths(), np.int64))
+            start = 0
+            while start < whole.num_rows:
+                end = max(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BLOCK, side="right")), start + 1)
+                batch, start = whole.slice(start, end - start), end
+                id_, n, level, own, parts, before, last, *words = batch.columns
+                k = np.asarray(parts.value_lengths(), np.int64)
+                line, edge = np.repeat(np.arange(len(k)), k), np.cumsum(k)
+                at = np.arange(edge[-1]) - np.repeat(edge - k, k)
+                level = np.asarray(level, np.int64)
+                part = (level[line] << 54 ^ at << 32 ^ np.asarray(parts.flatten(), np.int64) & 0xFFFFFFFF).astype(np.uint64)
+                key = part if depth == 1 else mixed(mixed(part) ^ np.asarray(before, np.int64).view(np.uint64)[line])
+                here = (at > np.asarray(last, np.int64)[line]) & (at <= k[line] - (deepest - depth + 1)) & (mixed(key) % np.uint64(turns) == turn)
+                line = line[here]
+                rows = np.empty(len(line), KEYED)
+                rows["key"], rows["at"], rows["level"] = key[here], at[here], level[line]
+                rows["id"], rows["n"], rows["own"] = np.asarray(id_)[line], np.asarray(n)[line], own.to_numpy(zero_copy_only=False)[line]
+                for w, word in enumerate(words):
+                    rows["sketch"][:, w] = np.asarray(word, np.int64).view(np.uint64)[line]
+                held.append(rows)
+                if sum(map(len, held)) > BLOCK:
+                    yield out()
+        if sum(map(len, held)):
+            yield out()
+
+    return table.select("id", "n", "level", "own", "parts", "key", "last", *SKETCH).mapInArrow(run, "bucket int, rows binary")
+
+
+def differing(sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which sketches (a row of ``sketch`` per word) differ, in 8 bits: all of them, 256, come out as 0, which lets a pair in."""
+    out = np.bitwise_count(sketch[0][i] ^ sketch[0][j])
+    for word in sketch[1:]:
+        out += np.bitwise_count(word[i] ^ word[j])
+    return out
+
+
+def near_places(rows: np.ndarray, first: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of two rows of one key that can be similar by their sizes and sketches; keys are at ``first``, with ``size`` rows each."""
+    n, own, sketch, id_ = rows["n"].astype(np.int64), rows["own"], np.ascontiguousarray(rows["sketch"].T), rows["id"]
+
+    def possible(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        later = (n[i] > n[j]) | (n[i] == n[j]) & (id_[i] > id_[j])
+        x, y = np.where(later, j, i), np.where(later, i, j)
+        ok = own[y] & (id_[x] != id_[y]) & (n[x] >= n[y] * threshold - 1e-6)
+        return np.stack([x[ok], y[ok]])
+
+    few = size <= FEW
+    # each row with those of its key that come after it
+    left = np.repeat(first[few] + size[few], size[few])
+    row = np.arange(len(left)) - np.repeat(np.cumsum(size[few]) - size[few], size[few]) + np.repeat(first[few], size[few])
+    after = left - row - 1
+    ends = np.cumsum(after)
+    start = 0
+    while start < len(row):
+        end = max(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BLOCK, side="right")), start + 1)
+        some, start = slice(start, end), end
+        i = np.repeat(row[some], after[some])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[some]) - after[some], after[some])
+        x, y = possible(i, j)
+        ok = differing(sketch, x, y) <= apart(n[x], n[y], threshold)
+        yield x[ok], y[ok]
+    for begin, c in zip(first[~few], size[~few], strict=True):
+        here = begin + np.argsort(n[begin : begin + c], kind="stable")
+        for at in range(0, c, step := max(BLOCK // int(c), 1)):
+            some = here[at : at + step]
+            rest = here[at:]
+            # at most as many as can be apart from the largest; what is let in is looked at again
+            room = np.minimum(apart(n[some], n[rest].max(), threshold), 255).astype(np.uint8)
+            i, j = np.nonzero(differing(sketch, some[:, None], rest[None, :]) <= room[:, None])
+            x, y = possible(some[i[j > i]], rest[j[j > i]])
+            ok = differing(sketch, x, y) <= apart(n[x], n[y], threshold)
+            yield x[ok], y[ok]
+
+
+def distinct_pairs(pairs: list[np.ndarray]) -> np.ndarray:
+    a, b = np.concatenate(pairs, axis=1)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = starts(a) | starts(b)
+    return np.stack([a[first], b[first]])
+
+
+def meeting(packed: DataFrame, threshold: float, hot: int | None) -> DataFrame:
+    """a < b of the lines that share a key and can be similar, level and last null.
+
+    Of keys of more than ``hot`` lines, if that is given, the lines instead: a
+    is the line, b the key, with the level and the place of the key's last part.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), KEYED)
+        order = np.argsort(rows["key"], kind="stable")
+        key = rows["key"][order]
+        first = np.flatnonzero(starts(key))
+        size = np.diff(np.append(first, len(key)))
+        shared = size > 1
+        rows, first, size = rows[order[np.repeat(shared, size)]], np.cumsum(size[shared]) - size[shared], size[shared]
+        many = size > hot if hot else size < 0
+        pairs, held = np.zeros((2, 0), np.int64), []
+        for x, y in near_places(rows, first[~many], size[~many], threshold):
+            x, y = rows["id"][x], rows["id"][y]
+            held.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+            if sum(h.shape[1] for h in held) > BLOCK:
+                pairs, held = distinct_pairs([pairs, *held]), []
+        pairs = distinct_pairs([pairs, *held])
+        over = rows[np.repeat(many, size)]
+        none = pa.nulls(pairs.shape[1], pa.int32())
+        columns = [[pa.array(pairs[0]), pa.array(over["id"])], [pa.array(pairs[1]), pa.array(over["key"].view(np.int64) if len(over) else over["id"])]]
+        columns += [[none, pa.array(over["level"], pa.int32())], [none, pa.array(over["at"])]]
+        return pa.Table.from_arrays([pa.chunked_array(c) for c in columns], names=["a", "b", "level", "last"])
+
+    return packed.groupBy("bucket").applyInArrow(run, "a long, b long, level int, last int")
 
 
 def similar_pairs(lines: DataFrame, threshold: float = NEAR_THRESHOLD, hot: int = HOT, deepest: int = DEEPEST, frequent: int = FREQUENT, turns: int = SLICES) -> DataFrame:
@@ -228,41 +403,27 @@ def similar_pairs(lines: DataFrame, threshold: float = NEAR_THRESHOLD, hot: int
     grams fetched. No pair is lost: keys of ``deepest`` parts are joined however
     many lines they have. Keys, each with its line's sketch, are much more than
     the lines; they are joined in ``turns`` slices one after the other, each a job whose
-    shuffles are deleted before the next.
+    shuffles are deleted before the next. A slice's keys are made from the parts
+    in arrays and go to buckets of about ``BUCKET`` keys.
     """
     sets = written(gram_lists(lines), "gram-lists")
     dealt = written(sketches(sets, threshold, deepest, frequent), "gram-parts")
-    line = ["id", "n", "level", "own"]
-
-    def parts(depth: int, table: DataFrame, *more: str) -> DataFrame:
-        """A row per part that can be the ``depth``-th equal one; ``at`` is its place and ``part`` tells it from all other parts."""
-        each = table.select("*", F.posexplode("parts").alias("at", "bits")).filter(F.col("at") <= F.size("parts") - (deepest - depth + 1))
-        part = F.shiftleft(F.col("level").cast("long"), 54).bitwiseXOR(F.shiftleft(F.col("at").cast("long"), 32)).bitwiseXOR(F.col("bits").cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
-        return each.select(*line, "at", part.alias("part"), *SKETCH, *more)
-
-    def met(keyed: DataFrame, depth: int) -> DataFrame | None:
-        """Writes the pairs of a slice; returns its keys of too many lines, if there are any."""
-        few, shared = keyed, None
-        if depth < deepest:
-            counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > hot)
-            # at most one key in ``hot`` rows
-            many = written(counts.select("key"), "hot-keys")
-            if not many.isEmpty():
-                few = keyed.join(many, "key", "left_anti")
-                shared = written(keyed.join(many, "key", "left_semi").select("id", "level", F.col("at").alias("last"), "key"), "gram-shared")
-        found.append(written(meeting(few, threshold).distinct(), "gram-pairs"))
-        return shared
-
     found: list[DataFrame] = []
-    sliced = lambda keyed, depth: [met(keyed.filter(F.pmod(F.xxhash64("key"), F.lit(turns)) == k), depth) for k in range(turns)]
-    shared = sliced(parts(1, dealt).withColumnRenamed("part", "key"), depth := 1)
-    while shared := [s for s in shared if s is not None]:
-        depth += 1
-        longer = reduce(DataFrame.unionByName, shared).join(dealt, ["id", "level"])
-        keyed = parts(depth, longer, "key", "last").filter("at > last").withColumn("key", F.xxhash64("key", "part")).drop("part", "last")
-        keyed = written(keyed, "gram-keys")
-        shared = sliced(keyed, depth)
-        dropped(keyed)
+    table, depth = dealt.select("*", F.lit(0).cast("long").alias("key"), F.lit(-1).alias("last")), 1
+    while True:
+        keys = table.agg(F.sum(F.greatest(F.size("parts") - F.col("last") - 1, F.lit(0)))).first()[0] or 0
+        buckets = max(lines.sparkSession.sparkContext.defaultParallelism, -(-keys // (turns * BUCKET)))
+        met = []
+        for turn in range(turns):
+            packed = keyed(table, depth, deepest, turn, turns, buckets)
+            met.append(written(meeting(packed, threshold, hot if depth < deepest else None).distinct(), "gram-pairs"))
+        found += [m.filter("level IS NULL").select("a", "b") for m in met]
+        shared = reduce(DataFrame.unionByName, met).filter("level IS NOT NULL").select(F.col("a").alias("id"), "level", "last", F.col("b").alias("key"))
+        if depth > 1:
+            dropped(table)
+        if depth == deepest or shared.isEmpty():
+            break
+        table, depth = written(shared.join(dealt, ["id", "level"]), "gram-keys"), depth + 1
     dropped(dealt)
     pairs = reduce(DataFrame.unionByName, found).distinct()
     left, right = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))

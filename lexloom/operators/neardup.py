@@ -108,29 +108,39 @@ def lsh_pairs(lines: DataFrame, threshold: float = NEAR_THRESHOLD, bands: int =
     rule the first line decides for all of them. Where more than ``hot`` classes
     share a band, they meet on it with a further part of the signature instead:
     of one part more than places may differ, one is equal, so no pair is lost.
+    Signatures are much more than the lines: classes go by 128 bits of their
+    hashes, and pairs are compared band by band, with that of no other on disk.
     """
     rows = PERMUTATIONS // bands
-    sig = written(signatures(lines), "minhash")
-    first = sig.groupBy("sig").agg(F.min(F.struct("place", "id")).alias("first")).select("sig", F.col("first.id").alias("id"), F.col("first.place").alias("place"))
+    cut = [f"band{b}" for b in range(bands)]
+    made = signatures(lines).withColumn("one", F.xxhash64("sig")).withColumn("two", F.xxhash64(F.lit(1), "sig"))
+    sig = written(made.select("id", "place", "one", "two", *[F.slice("sig", b * rows + 1, rows).alias(c) for b, c in enumerate(cut)]), "minhash")
+    first = sig.groupBy("one", "two").agg(F.min(F.struct("place", "id")).alias("first")).select("one", "two", F.col("first.id").alias("id"), F.col("first.place").alias("place"))
     first = written(first, "minhash-classes")
-    own = sig.select("sig", F.col("id").alias("b")).join(first.select("sig", F.col("id").alias("a")), "sig").filter("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("sig", b * rows + 1, rows)))
-    band = first.select("id", "place", F.posexplode(keys).alias("band", "key"))
+    own = sig.select("one", "two", F.col("id").alias("b")).join(first.select("one", "two", F.col("id").alias("a")), ["one", "two"]).filter("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
+    keys = sig.select("id", "place", F.array(*[F.xxhash64(c) for c in cut]).alias("keys")).join(first.select("id"), "id", "left_semi")
+    band = keys.select("id", "place", F.posexplode("keys").alias("band", "key"))
     # at most one key in ``hot`` rows
     many = written(band.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("band", "key"), "minhash-hot")
     if not many.isEmpty():
         parts = min(PERMUTATIONS - math.ceil(threshold * PERMUTATIONS - 1e-9) + 1, PERMUTATIONS)
         # every parts-th place, so that parts are alike in size
         part = lambda k: F.xxhash64(k, F.filter("sig", lambda x, i: i % parts == k))
-        cut = first.select("id", F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), part).alias("parts"))
-        shared = band.join(many, ["band", "key"], "left_semi").join(cut, "id").select("id", "place", "band", "key", F.explode("parts").alias("part"))
+        whole = sig.select("id", F.concat(*cut).alias("sig")).select("id", F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), part).alias("parts"))
+        shared = band.join(many, ["band", "key"], "left_semi").join(whole, "id").select("id", "place", "band", "key", F.explode("parts").alias("part"))
         band = band.join(many, ["band", "key"], "left_anti").unionByName(shared.select("id", "place", "band", F.xxhash64("key", "part").alias("key")))
     a, b = band.alias("a"), band.alias("b")
     near = F.col("a.place") < F.col("b.place")
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    left, right = first.select(F.col("id").alias("a"), F.col("sig").alias("x")), first.select(F.col("id").alias("b"), F.col("sig").alias("y"))
-    same = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda e: e)) / F.lit(PERMUTATIONS)
-    other = pairs.join(left, "a").join(right, "b").select("a", "b", same.alias("similarity")).filter(F.col("similarity") >= threshold)
+    pairs = written(pairs.withColumn("same", F.lit(0)), "minhash-pairs")
+    for k, c in enumerate(cut):
+        # one band of the signatures at a time is shuffled; pairs that can no longer be similar go
+        left, right = sig.select(F.col("id").alias("a"), F.col(c).alias("x")), sig.select(F.col("id").alias("b"), F.col(c).alias("y"))
+        same = F.col("same") + F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda e: e))
+        rest = PERMUTATIONS - (k + 1) * rows
+        old, pairs = pairs, written(pairs.join(left, "a").join(right, "b").select("a", "b", same.alias("same")).filter((F.col("same") + rest) / F.lit(PERMUTATIONS) >= threshold), "minhash-pairs")
+        dropped(old)
+    other = pairs.select("a", "b", (F.col("same") / F.lit(PERMUTATIONS)).alias("similarity"))
     return other.unionByName(own)
 
 
